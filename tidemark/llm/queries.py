@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -17,15 +20,37 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_automata import remove_repeats, removed_words
+
+    out = remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+    return out.select("doc_id", "n_words", removed_words().alias("n_removed"), "kept_sha256")
+
+
 def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_whole_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import count_tokens
+
+    return count_tokens(_documents(spark, sf_dir))
+
+
+def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
+    "op5_phrase_automata": op5_phrase_automata,
     "op6_water_filling": op6_water_filling,
+    "op9_whole_token_count": op9_whole_token_count,
+    "op10_hierarchical_packing": op10_hierarchical_packing,
 }
 
 OP6_SQL = r"""
