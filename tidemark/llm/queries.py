@@ -20,6 +20,13 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .projection_passes import near_vectors
+
+    ship(spark)
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_automata import remove_repeats, removed_words
 
@@ -33,6 +40,13 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .isolation_rules import judge_quality
+
+    out = judge_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_whole_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -47,8 +61,10 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
+    "op3_projection_passes": op3_projection_passes,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_water_filling": op6_water_filling,
+    "op8_isolation_rules": op8_isolation_rules,
     "op9_whole_token_count": op9_whole_token_count,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
