@@ -27,6 +27,13 @@ def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_language import held_out, identify_language
+
+    out = identify_language(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrase_automata import remove_repeats, removed_words
 
@@ -40,6 +47,13 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .template_extract import extract_main_text
+
+    ship(spark)
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .isolation_rules import judge_quality
 
@@ -62,8 +76,10 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_projection_passes": op3_projection_passes,
+    "op4_crf_language": op4_crf_language,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_water_filling": op6_water_filling,
+    "op7_template_extract": op7_template_extract,
     "op8_isolation_rules": op8_isolation_rules,
     "op9_whole_token_count": op9_whole_token_count,
     "op10_hierarchical_packing": op10_hierarchical_packing,

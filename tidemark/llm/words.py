@@ -81,11 +81,15 @@ class Block:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each text the range of its words."""
+        return self.runs(~SPACE)
+
+    def runs(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As words(), for the maximal runs of bytes of a kind (a mask of 256)."""
         n = len(self.data)
         if not n:
             empty = np.empty(0, dtype=np.int64)
             return empty, empty, np.zeros(len(self.offsets), dtype=np.int64)
-        inside = ~SPACE[self.data]
+        inside = kind[self.data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
