@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..deploy import ship
 
@@ -14,6 +15,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licences
+
+    out = scan_licences(_documents(spark, sf_dir))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"))
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_forest import near_duplicates
 
@@ -74,6 +82,7 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_sentences": op1_license_sentences,
     "op2_minhash_forest": op2_minhash_forest,
     "op3_projection_passes": op3_projection_passes,
     "op4_crf_language": op4_crf_language,
