@@ -36,7 +36,7 @@ L = "L AS (SELECT doc_id, topic_id, SUM(dist) AS dist FROM R WHERE rk <= 2 GROUP
 BEST = "B AS (SELECT doc_id, topic_id, dist FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY dist, topic_id) AS rk FROM L) WHERE rk = 1)"
 MATCH = "M AS (SELECT doc_id, CASE WHEN dist < 1.5 THEN topic_id ELSE -1 END AS topic_id, dist FROM B)"
 EDGES = "G AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist FROM E a JOIN E b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) < 0.6)"
-TF = r"""W AS (SELECT doc_id, UNNEST(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '[ \t\n\r\x0B\f]+'), x -> x <> '')) AS w FROM documents),
+TF = r"""W AS (SELECT doc_id, UNNEST([x FOR x IN REGEXP_SPLIT_TO_ARRAY(text, '[ \t\n\r\x0B\f]+') IF x <> '']) AS w FROM documents),
 C AS (SELECT doc_id, ('0x' || SUBSTR(MD5(w), 1, 2))::INT AS b, COUNT(*)::DOUBLE AS n FROM W GROUP BY ALL),
 N AS (SELECT doc_id, SQRT(SUM(n * n)) AS norm FROM C GROUP BY doc_id),
 V AS (SELECT k.doc_id, k.b, COALESCE(c.n, 0) AS n FROM (SELECT N.doc_id, r.b FROM N, (SELECT UNNEST(RANGE(256)) AS b) r) k LEFT JOIN C c ON c.doc_id = k.doc_id AND c.b = k.b),
@@ -274,7 +274,7 @@ def pivot_counts(spark, d):
     return T.pivot_counts(vectors(spark, d), _pivots(spark, d))
 
 
-TOKENS = r"T AS (SELECT doc_id, source, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '[ \t\n\r\x0B\f]+'), x -> x <> '') AS tokens FROM documents)"
+TOKENS = r"T AS (SELECT doc_id, source, [x FOR x IN REGEXP_SPLIT_TO_ARRAY(text, '[ \t\n\r\x0B\f]+') IF x <> ''] AS tokens FROM documents)"
 
 
 @query("q19_topic_dump", with_(TOKENS) + "SELECT source AS topic_id, COUNT(*) AS n_docs, COUNT(DISTINCT tokens) AS distinct_texts FROM T GROUP BY source")
@@ -298,7 +298,7 @@ def term_frequencies(spark, d):
     return cells.filter("n > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"))
 
 
-@query("q21_parse_floats", "WITH T AS (SELECT vec_id, LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(ARRAY_TO_STRING(LIST_TRANSFORM(embedding, x -> ROUND(x::DOUBLE, 4)::VARCHAR), ',') || ',bad', ','), x -> TRY_CAST(x AS FLOAT)), x -> x IS NOT NULL) AS v FROM embeddings) SELECT vec_id, LEN(v)::BIGINT AS n, ROUND(LIST_SUM(LIST_TRANSFORM(v, x -> x::DOUBLE)), 4) AS total FROM T")
+@query("q21_parse_floats", "WITH C AS (SELECT vec_id, STRING_SPLIT(ARRAY_TO_STRING([ROUND(x::DOUBLE, 4)::VARCHAR FOR x IN embedding], ',') || ',bad', ',') AS cells FROM embeddings), T AS (SELECT vec_id, [TRY_CAST(x AS FLOAT)::DOUBLE FOR x IN cells IF TRY_CAST(x AS FLOAT) IS NOT NULL] AS v FROM C) SELECT vec_id, LEN(v)::BIGINT AS n, ROUND(LIST_SUM(v), 4) AS total FROM T")
 def parse(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
     line = F.concat(F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ","), F.lit(",bad"))
@@ -447,7 +447,7 @@ def join_clusters(spark, d):
     return proto.assign_lowest(proto.accepted(D.member_distances(_pairs(spark, d)), sizes, wide))
 
 
-@query("q38_merged_balls", with_(E, P) + ", F AS (SELECT a.topic_id, a.pivot_id AS a, b.pivot_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist, LIST_TRANSFORM(LIST_ZIP(a.v, b.v), s -> (s[1] + s[2]) / 2) AS m FROM P a JOIN P b ON a.topic_id = b.topic_id AND a.pivot_id < b.pivot_id) SELECT topic_id, a, b, ROUND(1 - COS(LEAST(ACOS(1 - 0.3) + ACOS(1 - dist), PI())), 6) AS radius, ROUND(SQRT(list_dot_product(m, m)), 6) AS center_norm, ROUND(CASE WHEN dist > 0.3 THEN 0.303 ELSE 0.3 END, 6) AS grown FROM F")
+@query("q38_merged_balls", with_(E, P) + ", F AS (SELECT a.topic_id, a.pivot_id AS a, b.pivot_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist, [(s[1] + s[2]) / 2 FOR s IN LIST_ZIP(a.v, b.v)] AS m FROM P a JOIN P b ON a.topic_id = b.topic_id AND a.pivot_id < b.pivot_id) SELECT topic_id, a, b, ROUND(1 - COS(LEAST(ACOS(1 - 0.3) + ACOS(1 - dist), PI())), 6) AS radius, ROUND(SQRT(list_dot_product(m, m)), 6) AS center_norm, ROUND(CASE WHEN dist > 0.3 THEN 0.303 ELSE 0.3 END, 6)::DOUBLE AS grown FROM F")
 def merged_balls(spark, d):
     rows = _pivots(spark, d).withColumn("n", norm(F.col("v")))
     a, b = rows.alias("a"), rows.alias("b")
