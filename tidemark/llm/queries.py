@@ -117,4 +117,49 @@ SELECT c.doc_id, c.size, q.source_size::BIGINT AS source_size, q.target,
 FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_water_filling": OP6_SQL}
+_REACH = """
+Q AS (SELECT {node} AS node, {node} AS r FROM {nodes} UNION SELECT Q.node, S.y FROM Q JOIN (SELECT a AS x, b AS y FROM L UNION SELECT b, a FROM L) S ON S.x = Q.r),
+O AS (SELECT node, MIN(r) AS component_id FROM Q GROUP BY node)"""
+
+OP2_SQL = (
+    r"""
+WITH RECURSIVE W AS (SELECT doc_id, COALESCE(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+S AS (SELECT DISTINCT doc_id, UNNEST(CASE WHEN LEN(w) >= 5 THEN [ARRAY_TO_STRING(w[i:i + 4], ' ') FOR i IN RANGE(1, LEN(w) - 3)] WHEN LEN(w) > 0 THEN [ARRAY_TO_STRING(w, ' ')] ELSE [] END) AS s FROM W),
+N AS (SELECT W.doc_id, COUNT(S.s) AS n FROM W LEFT JOIN S ON S.doc_id = W.doc_id GROUP BY W.doc_id),
+I AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS n FROM S x JOIN S y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+L AS (SELECT a, b FROM I JOIN N p ON p.doc_id = a JOIN N q ON q.doc_id = b WHERE 100 * I.n >= 75 * (p.n + q.n - I.n)),"""
+    + _REACH.format(node="doc_id", nodes="N")
+    + """
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM N JOIN O ON O.node = N.doc_id
+"""
+)
+
+OP3_SQL = (
+    r"""
+WITH RECURSIVE E AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND LEN([x FOR x IN embedding IF x IS NULL OR NOT ISFINITE(x)]) = 0 AND LEN([x FOR x IN embedding IF x <> 0]) > 0),
+L AS (SELECT x.vec_id AS a, y.vec_id AS b FROM E x JOIN E y ON x.vec_id < y.vec_id AND LEN(x.v) = LEN(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.95),"""
+    + _REACH.format(node="vec_id", nodes="embeddings")
+    + """
+SELECT vec_id, COALESCE(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM O JOIN embeddings ON vec_id = node LEFT JOIN (SELECT node AS k, COUNT(*) AS n FROM (SELECT a AS node FROM L UNION ALL SELECT b FROM L) GROUP BY node) ON k = vec_id
+"""
+)
+
+OP5_SQL = r"""
+WITH W AS (SELECT doc_id, COALESCE(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+P AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(RANGE(1, LEN(w) + 1)) AS i FROM W),
+T AS (SELECT doc_id, i, ARRAY_TO_STRING(w[i:i + 34], ' ') AS t FROM (SELECT doc_id, w, UNNEST(RANGE(1, LEN(w) - 33)) AS i FROM W WHERE LEN(w) >= 35)),
+D AS (SELECT t FROM T GROUP BY t HAVING COUNT(*) > 1),
+R AS (SELECT T.doc_id, T.i, 1 AS r FROM T JOIN D ON D.t = T.t),
+M AS (SELECT P.doc_id, P.i, P.word, COALESCE(MAX(r) OVER (PARTITION BY P.doc_id ORDER BY P.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone FROM P LEFT JOIN R ON R.doc_id = P.doc_id AND R.i = P.i),
+K AS (SELECT doc_id, SUM(gone)::BIGINT AS n_removed, STRING_AGG(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM M GROUP BY doc_id)
+SELECT W.doc_id, LEN(w)::BIGINT AS n_words, COALESCE(n_removed, 0) AS n_removed, SHA256(COALESCE(kept, '')) AS kept_sha256 FROM W LEFT JOIN K ON K.doc_id = W.doc_id
+"""
+
+#: Languages, licences, templates, forests and token ids have no SQL; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_forest": OP2_SQL,
+    "op3_projection_passes": OP3_SQL,
+    "op5_phrase_automata": OP5_SQL,
+    "op6_water_filling": OP6_SQL,
+}
