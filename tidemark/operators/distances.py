@@ -138,13 +138,13 @@ def nearest_topics(docs: DataFrame, pivots: DataFrame, k: int, settings: Setting
     """
     settings = settings or Settings()
     if pivots.count() > settings.broadcast_pivots:
-        return top_topics(pair_distances(pivot_pairs(docs, pivots, settings)), k)
+        return top_topics(pair_distances(pivot_pairs(docs, pivots, settings)), k).select("doc_id", "rank", "topic_id", "dist")
     ship(docs.sparkSession)
     rows = pivots.select("pivot_id", "topic_id", "v").orderBy("pivot_id").collect()
     rows = [r for r in rows if any(r["v"])]
-    matrix = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    if not len(rows):
+    if not rows:
         return docs.sparkSession.createDataFrame([], "doc_id long, rank long, topic_id long, dist double")
+    matrix = np.array([r["v"] for r in rows], dtype=np.float64)
     matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
     state = (np.array([r["pivot_id"] for r in rows]), np.array([r["topic_id"] for r in rows]), matrix)
     shared = docs.sparkSession.sparkContext.broadcast(state)

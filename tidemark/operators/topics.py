@@ -64,8 +64,8 @@ def new_pivots(pairs: DataFrame, beta: float) -> DataFrame:
     return pairs.groupBy("doc_id", "topic_id").agg(F.min("dist").alias("dist")).filter(F.col("dist") > beta / 2)
 
 
-def average_linkage(pivots: DataFrame) -> DataFrame:
-    """(topic_a, topic_b, dist), a < b: the mean distance of their pivots.
+def average_linkage(pivots: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(topic_a, topic_b, dist), a < b: the mean distance of their pivots; with of (topic_id), only pairs with one of these.
 
     The mean of cosines is a product of sums of unit vectors, so topics are
     compared by one vector each instead of by all pairs of pivots.
@@ -75,8 +75,15 @@ def average_linkage(pivots: DataFrame) -> DataFrame:
     sums = cells.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.max("k").alias("k"))
     sums = sums.select("topic_id", F.transform("c", lambda s: s["x"]).alias("v"), "k")
     a, b = sums.alias("a"), sums.alias("b")
-    pairs = a.join(b, F.col("a.topic_id") < F.col("b.topic_id"))
-    return pairs.select(F.col("a.topic_id").alias("topic_a"), F.col("b.topic_id").alias("topic_b"), (1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))).alias("dist"))
+    if of is None:
+        pairs = a.join(b, F.col("a.topic_id") < F.col("b.topic_id"))
+        low, high = F.col("a.topic_id"), F.col("b.topic_id")
+    else:
+        chosen = of.select("topic_id").distinct()
+        pairs = sums.join(chosen, "topic_id", "left_semi").alias("a").join(b, F.col("a.topic_id") != F.col("b.topic_id"))
+        low, high = F.least("a.topic_id", "b.topic_id"), F.greatest("a.topic_id", "b.topic_id")
+        return pairs.select(low.alias("topic_a"), high.alias("topic_b"), (1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))).alias("dist")).dropDuplicates(["topic_a", "topic_b"])
+    return pairs.select(low.alias("topic_a"), high.alias("topic_b"), (1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))).alias("dist"))
 
 
 def nearest_other(linkage: DataFrame, sizes: DataFrame, alpha: float) -> DataFrame:
