@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .storage import Workspace
+from ..operators.components import components
+from ..storage import Workspace
 
 LIMIT = 0.95
 BITS = 48
