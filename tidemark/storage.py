@@ -34,10 +34,22 @@ class Workspace:
         out._tidemark_path = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """As table(), laid out so that joins on key need not move these rows. df should be dealt by key already."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"tidemark_{name}_{uuid.uuid4().hex}"
+        path = f"{self.path}/{name}-bucketed"
+        df.write.option("path", path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+        out = self.spark.table(table)
+        out._tidemark_path, out._tidemark_table = path, table
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
+            if hasattr(t, "_tidemark_table"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._tidemark_table}")
             path = jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
             path.getFileSystem(conf).delete(path, True)
