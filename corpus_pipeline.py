@@ -32,18 +32,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    # the operator hands other columns through: the text rides along under another name
-    found = identify_language(docs.withColumn("_text", F.col("text")).withColumn("_lang", F.col("lang")))
+    found = identify_language(docs.select(*COLUMNS), keep=True)
     words = F.aggregate("labelled", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     mixed = (words >= MIXED_WORDS) & (F.col("score") < MIXED_SHARE)
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~mixed)
-    return kept.withColumnRenamed("_text", "text").withColumnRenamed("_lang", "lang").select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~mixed).select(*COLUMNS)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    numbered = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return numbered.union(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +53,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(docs).filter("repeats > 0").select("doc_id", "repeats")
-    rows = docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return rows.select(*COLUMNS)
+    mixed = mix_sources(docs, carry=COLUMNS).filter("repeats > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("carried.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,14 @@ def test_odd_rows(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, sf)
-    docs.collect()
+    assert {r.doc_id for r in docs.collect()} <= {3, None}
+
+
+def test_rows_without_an_id_stay(spark, sf):
+    rows = [(None, f"these words are number {i} of them", "en", "a", 10) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.deduplicated(spark, docs, sf).count() == 3
+    assert corpus_pipeline.source_mix(spark, docs, sf).count() == 3
 
 
 def test_empty_table(spark, sf):

@@ -183,14 +183,16 @@ def fit(texts: list[bytes], labels: list[str], seed: int = SEED) -> Model | None
     return Model(languages, full, start, move)
 
 
-def _predict(shared):
+def _predict(shared, text_field: str | None):
+    """Predictions of the text column, or of the field of row that holds the text."""
+
     def run(batches):
         model: Model = shared.value
         names = model.languages
         for batch in batches:
             lang, score = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
             counts = np.zeros((batch.num_rows, len(names)), dtype=np.int64)
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("row").field(text_field) if text_field else batch.column("text")):
                 mean, own = model.label(block)
                 at = slice(block.first, block.first + len(block))
                 lang[at], score[at], counts[at] = mean.argmax(axis=1), mean.max(axis=1), own
@@ -221,8 +223,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return [bytes(r["text"]) for r in rows], [r["lang"] for r in rows]
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of docs but text and language, with lang_pred, score and labelled (words by language).
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
+    """All columns of docs but text and language (these too with keep), with lang_pred, score and labelled (words by language).
 
     Learns from rows that are not held out and have a text and a language. A
     text that is null or has no letter gets ``und`` and score 0, as do all
@@ -232,14 +234,14 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     texts, labels = training_rows(docs, id_col, text_col, lang_col)
     model = fit(texts, labels)
-    others = [c for c in docs.columns if c not in (text_col, lang_col)]
+    others = [c for c in docs.columns if keep or c not in (text_col, lang_col)]
     row = F.struct(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False)).alias("_letters"))
-    rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(row.alias("row"), *([] if keep else [F.col(f"`{text_col}`").cast("binary").alias("text")]))
     labelled = "array<struct<lang: string, words: long>>"
     if model is None:
         out = rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(labelled).alias("labelled"))
     else:
-        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, labelled {labelled}")
+        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), text_col if keep else None), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, labelled {labelled}")
     known = F.col("row._letters")
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in others],

@@ -52,8 +52,8 @@ def _draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED, size: Column | None = None, weights=cyclic_weights) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, taken, repeats.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED, size: Column | None = None, weights=cyclic_weights, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: id, source, size, source_size, target, taken, repeats, and carried (a struct of the columns in carry).
 
     size defaults to the number of words; a null or empty text has size 0 and
     takes nothing. Null is a source like others. Documents are put in a seeded
@@ -64,7 +64,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words has target 0.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carried)
     rows = rows.withColumn("draw", _draw("doc_id", seed)).withColumn("block", (F.col("draw") / F.lit(2**48 // BLOCKS)).cast("int"))
     parts = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     sources = parts.groupBy("source").agg(F.sum("block_size").alias("source_size"))
@@ -78,4 +79,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")))
     again = (F.col("p.ahead") + F.col("r.before") + F.col("r.size") / 2) <= F.col("p.rest")
     repeats = F.col("p.whole") + again.cast("long")
-    return rows.select(F.col("r.doc_id").alias(id_col), "r.source", "r.size", "p.source_size", "p.target", (F.col("r.size") * repeats).alias("taken"), repeats.alias("repeats"))
+    return rows.select(F.col("r.doc_id").alias(id_col), "r.source", "r.size", "p.source_size", "p.target", (F.col("r.size") * repeats).alias("taken"), repeats.alias("repeats"), *(["r.carried"] if carry else []))
