@@ -14,8 +14,9 @@ from ..config import Settings
 from ..functions.text import parse_floats
 from ..functions.vectors import angle, as_doubles, combined_norm_distance, half_angle_radius, join_limit, merge_limit, midpoint, norm, squared_l2
 from ..operators import distances as D
-from ..operators import metrics, multiset, proto, subscriptions
+from ..operators import metrics, multiset, proto, reports, subscriptions
 from ..operators import topics as T
+from ..operators.arrivals import arrivals
 from ..operators.similarity import edges_below
 from ..sources.paired import document_vectors, documents, vectors
 from .registry import query
@@ -400,11 +401,8 @@ def score(spark, d):
 @query("q32_mode_switch", "SELECT seq, kind, row FROM (SELECT vec_id AS seq, CASE WHEN vec_id < 200 THEN 'subscribe' ELSE 'publish' END AS kind, CASE WHEN vec_id < 200 THEN vec_id ELSE vec_id - 200 + 1 END AS row FROM embeddings)")
 def mode_switch(spark, d):
     """After 200 subscriptions the stream goes on as publications, from row 1 of the table."""
-    seq = F.col("vec_id")
-    limit = 200
-    kind = F.when(seq < limit, "subscribe").otherwise("publish")
-    row = F.when(seq < limit, seq).otherwise(seq - limit + SETTINGS.publish_from)
-    return vectors(spark, d).select(seq.alias("seq"), kind.alias("kind"), row.alias("row"))
+    first = Settings(subscriptions=200)
+    return arrivals(vectors(spark, d).select(F.col("vec_id").alias("seq")), first).select("seq", "kind", "row")
 
 
 @query("q33_text_dedup", with_(TOKENS) + "SELECT source, MIN(doc_id) AS first_doc, COUNT(*) AS copies FROM T GROUP BY source, tokens")
@@ -458,3 +456,20 @@ def merged_balls(spark, d):
     rows = pairs.select(F.col("a.topic_id").alias("topic_id"), F.col("a.pivot_id").alias("a"), F.col("b.pivot_id").alias("b"), dist.alias("dist"), midpoint(F.col("a.v"), F.col("b.v")).alias("m"))
     r = F.lit(0.3)
     return rows.select("topic_id", "a", "b", F.round(proto.merged_radius(r, r, F.col("dist")), 6).alias("radius"), F.round(norm(F.col("m")), 6).alias("center_norm"), F.round(proto.inflated(r, F.col("dist")), 6).alias("grown"))
+
+
+@query("q39_cluster_report", COMPONENTS + "SELECT cluster_id, ROUND(0.66 / (LN(2) + 1), 6) AS radius, COUNT(*) AS members FROM O GROUP BY cluster_id")
+def cluster_report(spark, d):
+    return reports.cluster_report(_clusters(spark, d), SETTINGS).select("cluster_id", _r("radius"), "members")
+
+
+@query("q40_birth_log", COMPONENTS + ", N AS (SELECT cluster_id, ROW_NUMBER() OVER (ORDER BY cluster_id) - 1 AS topic_id FROM O GROUP BY cluster_id HAVING COUNT(*) > 3) SELECT topic_id, N.cluster_id, COUNT(*) AS members, MIN(id) AS first_doc, MAX(id) AS last_doc FROM N JOIN O ON O.cluster_id = N.cluster_id GROUP BY ALL")
+def birth_log(spark, d):
+    members = _clusters(spark, d)
+    born = proto.births(members, CHECK).select("cluster_id", (F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("long").alias("topic_id"))
+    return reports.birth_log(born, members)
+
+
+@query("q41_topic_lines", with_(TOKENS) + "SELECT source AS topic_id, MAX(doc_id % 2) || ' : ' || ARRAY_TO_STRING(tokens, ' ') AS line FROM T GROUP BY source, tokens")
+def topic_lines(spark, d):
+    return reports.text_lines(documents(spark, d).select(F.col("source").alias("topic_id"), "tokens", (F.col("doc_id") % 2).alias("flag")))
