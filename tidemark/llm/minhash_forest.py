@@ -2,17 +2,18 @@
 
 Each distinct shingle set has one signature of 48 minima. A tree is one cyclic
 order of that signature: tree t starts at its minimum number 3t, so the first
-three minima of the sixteen trees are independent. Rows sorted by a tree's
-order have their longest-common-prefix neighbours next to them; rows that
-share at least ``MIN_DEPTH`` minima form a region. Candidates are taken in
-three steps, and every candidate is confirmed on the full shingle sets:
-
-1. each row with the first row of its region, in a few trees (stars);
-2. each row with the next rows of its region, in all trees, where the two are
-   not yet in one component;
-3. all rows of a region that are still in different components. A region with
-   more than ``REGION_ROWS`` such rows is split by the next minimum, and so on
-   down to ``MAX_DEPTH``: the depth adapts to the region.
+three minima of the sixteen trees are independent. Rows that share at least
+``MIN_DEPTH`` minima of a tree form a region; rows that are alone in all their
+regions have no near copy and take no further part. The others are sorted by
+each tree's order, where longest-common-prefix neighbours stand next to each
+other. Candidates are confirmed on the full shingle sets:
+
+1. each row with the next ``NEIGHBOURS`` rows of its region in all trees. Each
+   row's likeliest candidate goes first, then its likeliest among those that
+   the found links leave in another component, then all that are left;
+2. all rows of a region that are still in different components. A region with
+   more than ``REGION_ROWS`` rows is split by the next minimum, and so on down
+   to ``MAX_DEPTH``: the depth adapts to the region.
 
 Two sets of similarity 0.75 miss each other in all sixteen trees with a
 probability of 0.00016; a link that an already known path implies need not be
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .storage import Workspace
+from ..operators.components import components
+from ..storage import Workspace
 from .words import LOWER, Block, blocks, full_runs, run_hash, span_hash
 
 SHINGLE = 5
@@ -37,9 +38,10 @@ TREES = 16
 MIN_DEPTH = 3
 MAX_DEPTH = 8
 MINIMA = TREES * MIN_DEPTH
-STAR_TREES = (0, 5, 10)
-NEIGHBOURS = 3
-REGION_ROWS = 64
+NEIGHBOURS = 2
+#: Rounds in which each row's likeliest candidate is confirmed before all others are.
+FIRST_ROUNDS = 2
+REGION_ROWS = 20
 #: Links need 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 #: Candidates with fewer equal minima are dropped unconfirmed: at similarity 0.75 that has a probability under 1e-5.
@@ -104,13 +106,14 @@ def _sets(batches):
 
 
 def _alike(batches):
-    """Pairs whose signatures agree often enough."""
+    """Pairs whose signatures agree often enough, with the number of equal minima."""
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=">u4").reshape(-1, MINIMA) for c in ("sa", "sb"))
-        good = pa.array((a == b).sum(axis=1) >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+        equal = (a == b).sum(axis=1).astype(np.int32)
+        good = pa.array(equal >= LEAST_EQUAL)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(equal).filter(good)], names=["a", "b", "equal"])
 
 
 def _confirm(batches):
@@ -128,57 +131,88 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (a, b) that are links, as (u, v)."""
-    pairs = work.table(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = work.table(docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-    links = work.table(joined.select("a", "b", "xa", "xb").mapInArrow(_confirm, "u long, v long"), "links")
-    work.drop(pairs, sets)
-    return links
+def _sets_of(docs: DataFrame, rows: DataFrame, work: Workspace) -> DataFrame:
+    """(id, shingles) of rows, in buckets of id; the join is the same at every size."""
+    return work.bucketed(docs.join(rows.select("id").hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets", "id")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """The pairs (a, b) that are links, as (u, v). One set of each pair is moved, the other one's bucket stays."""
+    joined = pairs.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
+    joined = joined.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
+    return work.table(joined.select("a", "b", "xa", "xb").mapInArrow(_confirm, "u long, v long"), "links")
 
 
 def _prefix(depth: int) -> Column:
     return F.substring("key", 1, 4 * depth)
 
 
-def _trees(rows: DataFrame, trees) -> DataFrame:
+def _trees(rows: DataFrame) -> DataFrame:
     """Each row once for each tree, with the beginning of its signature in that tree's order."""
-    twice = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees])))
+    rows = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(TREES)])))
     start = F.col("tree") * (4 * MIN_DEPTH) + 1
-    return twice.withColumn("key", F.substring(F.concat("signature", "signature"), start, F.lit(4 * MAX_DEPTH))).withColumn("region", _prefix(MIN_DEPTH))
+    return rows.withColumn("key", F.substring(F.concat("signature", "signature"), start, F.lit(4 * MAX_DEPTH))).withColumn("region", F.xxhash64("tree", _prefix(MIN_DEPTH)))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of rows (a, sa, b, sb) with like signatures."""
-    like = rows.filter("a <> b").mapInArrow(_alike, "a long, b long")
-    return like.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _crowded(rows: DataFrame) -> DataFrame:
+    """The ids that share a region with another one."""
+    placed = _trees(rows).select("region", "id")
+    return placed.withColumn("n", F.count("*").over(Window.partitionBy("region"))).filter("n > 1").select("id").distinct()
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("tree", "region").orderBy("key", "id")
-    first = F.first(F.struct("id", "signature")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = _trees(rows, STAR_TREES).withColumn("head", first)
-    return _pairs(rows.filter("head.id <> id").select(F.col("head.id").alias("a"), F.col("head.signature").alias("sa"), F.col("id").alias("b"), F.col("signature").alias("sb")))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b, equal), a < b, of rows (a, sa, b, sb) with like signatures."""
+    like = rows.filter("a <> b").mapInArrow(_alike, "a long, b long, equal int")
+    return like.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal").distinct()
 
 
 def _neighbour_pairs(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("tree", "region").orderBy("key", "id")
-    near = F.array(*[F.lag(F.struct("id", "signature", "component"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    rows = _trees(rows, range(TREES)).withColumn("near", near).withColumn("near", F.explode(F.filter("near", lambda x: x.isNotNull() & (x["component"] != F.col("component")))))
+    order = Window.partitionBy("region").orderBy("key", "id")
+    near = F.array(*[F.lag(F.struct("id", "signature"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    rows = _trees(rows).select("region", "key", "id", "signature").withColumn("near", near).withColumn("near", F.explode(F.filter("near", lambda x: x.isNotNull())))
     return _pairs(rows.select(F.col("near.id").alias("a"), F.col("near.signature").alias("sa"), F.col("id").alias("b"), F.col("signature").alias("sb")))
 
 
-def _region_pairs(rows: DataFrame) -> DataFrame:
-    rows = _trees(rows, range(TREES)).drop("signature")
+def _region_pairs(rows: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs of one region that are in different components."""
+    signatures = rows.select("id", "signature")
+    rows = _trees(rows).select("region", "key", "id", "component")
     depth = F.lit(MAX_DEPTH)
-    for d in range(MAX_DEPTH - 1, MIN_DEPTH - 1, -1):
-        rows = rows.withColumn(f"n{d}", F.count("*").over(Window.partitionBy("tree", "region", _prefix(d))))
+    counts = []
+    for d in range(MIN_DEPTH, MAX_DEPTH):  # from the shallowest, so that one exchange serves all
+        rows = rows.withColumn(f"n{d}", F.count("*").over(Window.partitionBy("region", _prefix(d)) if d > MIN_DEPTH else Window.partitionBy("region")))
+        counts.append(d)
+    for d in reversed(counts):
         depth = F.when(F.col(f"n{d}") <= REGION_ROWS, d).otherwise(depth)
-    at = Window.partitionBy("tree", "region", "part")
+    at = Window.partitionBy("region", "part")
     rows = rows.withColumn("part", F.substring("key", F.lit(1), 4 * depth)).withColumn("low", F.min("component").over(at)).withColumn("high", F.max("component").over(at))
-    return rows.filter("low <> high").select("tree", "part", "id", "component")
+    open_ = work.table(rows.filter("low <> high").select(F.xxhash64("region", "part").alias("part"), "id", "component"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    near = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near = near.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    return _pairs(near.select("a", "sa", "b", "sb"))
+
+
+def _across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The pairs whose rows are in different components."""
+    if label is None:
+        return pairs
+    for c in ("a", "b"):
+        pairs = pairs.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "equal")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Each row's pair with the most equal minima."""
+    ends = pairs.select(F.col("a").alias("id"), "a", "b", "equal").union(pairs.select("b", "a", "b", "equal"))
+    best = ends.groupBy("id").agg(F.max(F.struct("equal", -F.col("a"), -F.col("b"))).alias("best"))
+    return best.select((-F.col("best.col2")).alias("a"), (-F.col("best.col3")).alias("b")).distinct()
+
+
+def _linked(label: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
+    if label is not None:
+        links = links.union(label.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(links, work)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,23 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = marked.filter("n > 0 AND id IS NOT NULL")
     classes = work.table(usable.groupBy("mark1", "mark2", "n").agg(F.min("id").alias("head")), "classes")
     rows = usable.join(classes.select("mark1", "mark2", "n", F.col("head").alias("id")), ["mark1", "mark2", "n", "id"], "left_semi")
-    rows = work.table(rows.select("id", "signature"), "rows")
-
-    links = _confirmed(docs, _star_pairs(rows), work)
-    label = components(links, work)
-    for pairs in (_neighbour_pairs, None):
-        placed = work.table(rows.join(label, F.col("id") == F.col("node"), "left").select("id", "signature", F.coalesce("component", "id").alias("component")), "placed")
-        if pairs is not None:
-            found = pairs(placed)
-        else:
-            open_ = work.table(_region_pairs(placed), "open")
-            x, y = open_.alias("x"), open_.alias("y")
-            near = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")))
-            near = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            found = near.join(placed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(placed.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-            found = _pairs(found.select("a", "sa", "b", "sb"))
-        links = links.union(_confirmed(docs, found, work))
-        label = components(links, work)
+    rows = rows.select("id", "signature")
+    rows = work.table(rows.join(_crowded(rows), "id", "left_semi"), "crowded")
+    open_ = work.table(_neighbour_pairs(rows), "pairs")
+    sets, label = _sets_of(docs, rows, work), None
+    for k in range(FIRST_ROUNDS + 1):
+        chosen = work.table(_likeliest(open_), "chosen") if k < FIRST_ROUNDS else open_.select("a", "b")
+        label = _linked(label, _confirmed(chosen, sets, work), work)
+        if k < FIRST_ROUNDS:
+            open_ = work.table(_across(open_.join(chosen, ["a", "b"], "left_anti"), label), "pairs")
+    placed = work.table(rows.join(label, F.col("id") == F.col("node"), "left").select("id", "signature", F.coalesce("component", "id").alias("component")), "placed")
+    open_ = work.table(_region_pairs(placed, work).select("a", "b"), "pairs")
+    label = _linked(label, _confirmed(open_, sets, work), work)
+    work.drop(sets)
 
     heads = classes.join(label, F.col("head") == F.col("node"), "left").select("mark1", "mark2", "n", F.coalesce("component", "head").alias("class_component"))
     out = marked.join(heads, ["mark1", "mark2", "n"], "left")
