@@ -7,17 +7,18 @@ sequence also starts anywhere else, in the same text or another one.
    anchor; neighbouring windows share anchors, so about one word in fourteen
    starts one. Equal windows have equal anchors: an anchor that occurs once
    belongs to no recurring window, and a text without an anchor that recurs
-   holds none. Such texts are done.
+   holds none. Such texts are done, and so are texts with the same words as
+   another one: all of their windows recur. One of these stays as their head.
 2. Confirmation. Of the other texts, the windows with recurring anchors are
-   counted; those counted twice or more recur. Of each one place is kept.
-   Runs of such places that follow each other are the recurring passages, and
-   each recurring window lies in exactly one of them.
-3. Automata. Texts are dealt over shards of about ``SHARD_BYTES`` bytes, and
-   passages go to the shards where one of their anchors occurs. In a shard,
-   the first ``PATTERN`` words of every ``GRID`` words of a passage go into an
-   automaton: any window holds one of these patterns whole. All of the shard's
-   texts stream through it, each hit is extended while passage and text agree,
-   and a run of ``WINDOW`` words or more is removed.
+   counted, a head's twice; those counted twice or more recur. Of each one
+   place is kept. Runs of such places that follow each other are the recurring
+   passages, and each recurring window lies in exactly one of them.
+3. Automata. Texts are dealt over shards of about ``SHARD_BYTES`` bytes, and a
+   text's passages go to the shards where one of its windows occurs. In a
+   shard, the first ``PATTERN`` words of every ``GRID`` words of a passage go
+   into an automaton: any window holds one of these patterns whole. All of the
+   shard's texts stream through it, each hit is extended while passage and text
+   agree, and a run of ``WINDOW`` words or more is removed.
 
 Windows are told apart by 64-bit hashes of their words.
 """
@@ -32,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
-from .words import Block, blocks, full_runs, run_hash
+from ..storage import Workspace
+from .words import Block, blocks, full_runs, run_hash, span_hash
 
 WINDOW = 35
 ANCHOR = 8
@@ -66,11 +67,14 @@ def _anchor_lists(window: int):
     def run(batches):
         for batch in batches:
             out = [[]] * batch.num_rows
+            content = np.zeros(batch.num_rows, dtype=np.int64)
             for block in blocks(batch.column("text")):
                 starts, ends, bounds = block.words()
-                at, least, runs = _window_anchors(block.hashes(starts, ends), bounds, window)
+                hashes = block.hashes(starts, ends)
+                at, least, runs = _window_anchors(hashes, bounds, window)
                 if not len(at):
                     continue
+                content[block.first : block.first + len(block)] = span_hash(hashes, bounds[:-1], bounds[1:]).view(np.int64)
                 # a run is an anchor if it is the least of some window that holds it
                 by_start = np.zeros(len(runs), dtype=np.uint64)
                 by_start[at] = least
@@ -82,7 +86,7 @@ def _anchor_lists(window: int):
                 for k in range(len(block)):
                     if cut[k + 1] > cut[k]:
                         out[block.first + k] = anchors[cut[k] : cut[k + 1]]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int64()))], names=["key", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(content), pa.array(out, pa.list_(pa.int64()))], names=["key", "content", "anchors"])
 
     return run
 
@@ -103,19 +107,18 @@ _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 def _sorted_out(digest: bool):
-    """Texts without recurring anchors are done; the others keep their text."""
+    """Texts without recurring anchors and copies are done; the others, and heads, keep their text."""
 
     def run(batches):
         for batch in batches:
-            has = batch.column("anchors").is_valid().to_pylist()
             n, kept, text = [], [], []
-            for t, open_ in zip(batch.column("text"), has, strict=True):
+            for t, weight in zip(batch.column("text"), batch.column("weight").to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 words = raw.split()
                 n.append(len(words))
-                kept.append(None if open_ else _kept(words, None, digest))
-                text.append(raw if open_ else None)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), batch.column("anchors"), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.binary())], names=["row", "key", "anchors", "n_words", "kept", "text"])
+                kept.append(None if weight == 1 else _kept([] if weight in (0, 2) else words, None, digest))
+                text.append(raw if weight in (1, 2) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "key", "weight", "anchors")] + [pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.binary())], names=["row", "key", "weight", "anchors", "n_words", "kept", "text"])
 
     return run
 
@@ -142,28 +145,24 @@ def _windows(window: int):
                     if len(good):
                         places[block.first + k] = (at[a:b][good] - bounds[k]).astype(np.int32)
                         hashes[block.first + k] = whole[a:b][good]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "places", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("weight"), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "weight", "places", "hashes"])
 
     return run
 
 
 def _passages(window: int):
-    """The passages of a text: its words there, and the anchors of their windows."""
+    """The words of a text's passages."""
 
     def run(batches):
         for batch in batches:
-            texts, anchors = [], []
-            column = batch.column("text")
-            for i, found in enumerate(batch.column("places")):
-                block = next(blocks(column.slice(i, 1)))
-                words = column[i].as_buffer().to_pybytes().split()
-                starts, ends, bounds = block.words()
-                at, least, _ = _window_anchors(block.hashes(starts, ends), bounds, window)
+            keys, texts = [], []
+            for key, text, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+                words = text.as_buffer().to_pybytes().split()
                 own = np.unique(found.values.to_numpy())
                 for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                    keys.append(key)
                     texts.append(b" ".join(words[part[0] : part[-1] + window]))
-                    anchors.append(np.unique(least[part[0] : part[-1] + 1].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["text", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["key", "text"])
 
     return run
 
@@ -260,32 +259,39 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     docs = docs.withColumn("key", F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}), "text"))
     kind = docs.schema["row"].dataType.simpleString()
 
-    anchors = work.table(docs.select("key", "text").mapInArrow(_anchor_lists(window), "key long, anchors array<long>").filter(F.size("anchors") > 0), "anchors")
-    each = anchors.select("key", F.explode("anchors").alias("anchor"))
-    recurring = each.groupBy("anchor").count().filter("count > 1").select("anchor")
-    hits = work.table(each.join(recurring, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "hits")
+    anchors = work.table(docs.select("key", "text").mapInArrow(_anchor_lists(window), "key long, content long, anchors array<long>").filter(F.size("anchors") > 0), "anchors")
+    copies = anchors.groupBy("content").agg(F.count("*").alias("n"), F.min("key").alias("head")).filter("n > 1").select("content", "head")
+    weight = F.when(F.col("head").isNull(), 1).when(F.col("head") == F.col("key"), 2).otherwise(0)
+    marked = work.table(anchors.join(copies, "content", "left").select("key", weight.alias("weight"), F.when(weight > 0, F.col("anchors")).alias("anchors")), "marked")
     work.drop(anchors)
-    sorted_ = docs.join(hits, "key", "left").select("row", "key", "text", "anchors")
-    sorted_ = work.table(sorted_.mapInArrow(_sorted_out(digest), f"row {kind}, key long, anchors array<long>, n_words long, kept string, text binary"), "sorted")
+    each = marked.select("key", "weight", F.explode("anchors").alias("anchor"))
+    recurring = each.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor")
+    hits = each.join(recurring, "anchor").groupBy("key").agg(F.max("weight").alias("weight"), F.collect_set("anchor").alias("anchors"))
+    hits = work.table(hits.union(marked.filter("weight = 0").select("key", "weight", "anchors").distinct()), "hits")
+    work.drop(marked)
+    sorted_ = docs.join(hits, "key", "left").select("row", "key", "weight", "text", "anchors")
+    sorted_ = work.table(sorted_.mapInArrow(_sorted_out(digest), f"row {kind}, key long, weight int, anchors array<long>, n_words long, kept string, text binary"), "sorted")
     work.drop(hits)
-    open_ = sorted_.filter("text IS NOT NULL")
+    open_ = sorted_.filter("weight = 1")
+    shards = 1 + int((open_.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
 
-    found = open_.select("key", "text", "anchors").mapInArrow(_windows(window), "key long, places array<int>, hashes array<long>")
-    found = found.select("key", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("key", "w.places", "w.hashes")
-    found = found.groupBy("hashes").agg(F.count("*").alias("n"), F.min_by("places", "key").alias("place"), F.min("key").alias("key")).filter("n > 1")
+    windows = sorted_.filter("weight > 0").select("key", "weight", "text", "anchors").mapInArrow(_windows(window), "key long, weight int, places array<int>, hashes array<long>")
+    each = windows.select("key", "weight", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("key", "weight", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
+    found = each.groupBy("hash").agg(F.sum("weight").alias("n"), F.min_by("place", "key").alias("place"), F.min("key").alias("key")).filter("n > 1")
+    found = work.table(found.select("hash", "key", "place"), "windows")
     places = found.groupBy("key").agg(F.collect_set("place").alias("places"))
-    passages = open_.select("key", "text").dropDuplicates(["key"]).join(places, "key").select("text", "places")
-    passages = work.table(passages.mapInArrow(_passages(window), "text binary, anchors array<long>").withColumn("passage", F.xxhash64("text")), "passages")
+    passages = sorted_.filter("weight > 0").select("key", "text").dropDuplicates(["key"]).join(places, "key").select("key", "text", "places")
+    passages = passages.mapInArrow(_passages(window), "key long, text binary")
+    routes = each.filter("weight = 1").select("hash", shard.alias("shard")).join(found.select("hash", "key"), "hash").select("key", "shard").distinct()
 
-    shards = 1 + int((open_.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    there = open_.select(F.explode("anchors").alias("anchor"), shard.alias("shard")).distinct()
-    routes = passages.select("passage", F.explode("anchors").alias("anchor")).join(there, "anchor").select("passage", "shard").distinct()
-    patterns = passages.select("passage", "text").dropDuplicates(["passage"]).join(routes, "passage")
+    patterns = passages.join(routes, "key")
     texts = open_.select(shard.alias("shard"), F.lit(True).alias("is_doc"), "row", "text")
     both = patterns.select("shard", F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("row"), "text").union(texts)
     located = both.repartition("shard").sortWithinPartitions("shard", "is_doc").mapInArrow(_locate(window, digest), f"row {kind}, n_words long, removed array<struct<first: long, end: long>>, kept string")
-    done = sorted_.filter("text IS NULL").select("row", "n_words", F.array().cast("array<struct<first: long, end: long>>").alias("removed"), "kept")
+    spans = "array<struct<first: long, end: long>>"
+    whole = F.when(F.col("weight").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))).otherwise(F.array().cast(spans))
+    done = sorted_.filter("weight IS NULL OR weight <> 1").select("row", "n_words", whole.alias("removed"), "kept")
     out = done.union(located)
     cols = [F.col(f"row.`{c}`").alias(c) for c in others]
     if digest:
