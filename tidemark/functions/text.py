@@ -1,4 +1,4 @@
-"""Token lists, parsed vectors and hashed term frequencies."""
+"""Token lists, parsed vectors and the buckets of hashed term frequencies."""
 
 from __future__ import annotations
 
@@ -21,14 +21,3 @@ def parse_floats(line: Column) -> Column:
 
 def bucket(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 2), 16, 10).cast("int")
-
-
-def term_frequencies(words: Column) -> Column:
-    """A vector of BUCKETS counts of a token list."""
-    places = F.transform(words, bucket)
-    counts = F.aggregate(
-        places,
-        F.array_repeat(F.lit(0.0), BUCKETS),
-        lambda a, p: F.transform(a, lambda x, i: F.when(i == p, x + 1).otherwise(x)),
-    )
-    return counts

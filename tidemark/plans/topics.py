@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import parse_floats
-from ..functions.vectors import angle, as_doubles, combined_norm_distance, half_angle_radius, join_limit, merge_limit, midpoint, norm, squared_l2
+from ..functions.vectors import angle, as_doubles, combined_norm_distance, cosine_distance, half_angle_radius, join_limit, merge_limit, midpoint, norm, squared_l2
 from ..operators import distances as D
 from ..operators import metrics, multiset, proto, reports, subscriptions
 from ..operators import topics as T
@@ -450,8 +450,6 @@ def merged_balls(spark, d):
     rows = _pivots(spark, d).withColumn("n", norm(F.col("v")))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.topic_id") == F.col("b.topic_id")) & (F.col("a.pivot_id") < F.col("b.pivot_id")))
-    from ..functions.vectors import cosine_distance
-
     dist = cosine_distance(F.col("a.v"), F.col("b.v"), F.col("a.n"), F.col("b.n"))
     rows = pairs.select(F.col("a.topic_id").alias("topic_id"), F.col("a.pivot_id").alias("a"), F.col("b.pivot_id").alias("b"), dist.alias("dist"), midpoint(F.col("a.v"), F.col("b.v")).alias("m"))
     r = F.lit(0.3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_floats, term_frequencies, tokens
+from ..functions.text import BUCKETS, bucket, parse_floats, tokens
 from ..functions.vectors import as_doubles
 
 
@@ -45,13 +45,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", tokens(F.col("text")).alias("tokens"))
 
 
-def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, v): hashed term frequencies of whole texts, as counts of exploded tokens."""
-    words = documents(spark, sf_dir).select("doc_id", F.explode("tokens").alias("w"))
-    from ..functions.text import BUCKETS, bucket
-
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, v) of rows (doc_id, tokens): hashed term frequencies, as counts of exploded tokens."""
+    words = rows.select("doc_id", F.explode("tokens").alias("w"))
     counts = words.groupBy("doc_id", bucket(F.col("w")).alias("b")).count().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", F.col("count").cast("double")))).alias("m"))
     return counts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
 
 
-__all__ = ["document_vectors", "documents", "numbered_lines", "read_paired", "term_frequencies", "vectors"]
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, v): hashed term frequencies of whole texts."""
+    return token_counts(documents(spark, sf_dir))
