@@ -11,9 +11,10 @@ other. Candidates are confirmed on the full shingle sets:
 1. each row with the next ``NEIGHBOURS`` rows of its region in all trees. Each
    row's likeliest candidate goes first, then its likeliest among those that
    the found links leave in another component, then all that are left;
-2. all rows of a region that are still in different components. A region with
-   more than ``REGION_ROWS`` rows is split by the next minimum, and so on down
-   to ``MAX_DEPTH``: the depth adapts to the region.
+2. all rows of a region that are still in different components and haven't
+   been compared. A region with more than ``REGION_ROWS`` rows is split by the
+   next minimum, and so on down to ``MAX_DEPTH``: the depth adapts to the
+   region.
 
 Two sets of similarity 0.75 miss each other in all sixteen trees with a
 probability of 0.00016; a link that an already known path implies need not be
@@ -41,7 +42,7 @@ MINIMA = TREES * MIN_DEPTH
 NEIGHBOURS = 2
 #: Rounds in which each row's likeliest candidate is confirmed before all others are.
 FIRST_ROUNDS = 2
-REGION_ROWS = 20
+REGION_ROWS = 16
 #: Links need 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 #: Candidates with fewer equal minima are dropped unconfirmed: at similarity 0.75 that has a probability under 1e-5.
@@ -175,22 +176,18 @@ def _neighbour_pairs(rows: DataFrame) -> DataFrame:
 
 def _region_pairs(rows: DataFrame, work: Workspace) -> DataFrame:
     """Pairs of one region that are in different components."""
-    signatures = rows.select("id", "signature")
-    rows = _trees(rows).select("region", "key", "id", "component")
+    rows = _trees(rows).select("region", "key", "id", "component", "signature")
     depth = F.lit(MAX_DEPTH)
-    counts = []
     for d in range(MIN_DEPTH, MAX_DEPTH):  # from the shallowest, so that one exchange serves all
         rows = rows.withColumn(f"n{d}", F.count("*").over(Window.partitionBy("region", _prefix(d)) if d > MIN_DEPTH else Window.partitionBy("region")))
-        counts.append(d)
-    for d in reversed(counts):
+    for d in range(MAX_DEPTH - 1, MIN_DEPTH - 1, -1):
         depth = F.when(F.col(f"n{d}") <= REGION_ROWS, d).otherwise(depth)
     at = Window.partitionBy("region", "part")
     rows = rows.withColumn("part", F.substring("key", F.lit(1), 4 * depth)).withColumn("low", F.min("component").over(at)).withColumn("high", F.max("component").over(at))
-    open_ = work.table(rows.filter("low <> high").select(F.xxhash64("region", "part").alias("part"), "id", "component"), "open")
+    open_ = work.table(rows.filter("low <> high").select(F.xxhash64("region", "part").alias("part"), "id", "component", "signature"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    near = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    near = near.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-    return _pairs(near.select("a", "sa", "b", "sb"))
+    near = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")))
+    return _pairs(near.select(F.col("x.id").alias("a"), F.col("x.signature").alias("sa"), F.col("y.id").alias("b"), F.col("y.signature").alias("sb")))
 
 
 def _across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -232,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = usable.join(classes.select("mark1", "mark2", "n", F.col("head").alias("id")), ["mark1", "mark2", "n", "id"], "left_semi")
     rows = rows.select("id", "signature")
     rows = work.table(rows.join(_crowded(rows), "id", "left_semi"), "crowded")
-    open_ = work.table(_neighbour_pairs(rows), "pairs")
+    near = open_ = work.table(_neighbour_pairs(rows), "pairs")
     sets, label = _sets_of(docs, rows, work), None
     for k in range(FIRST_ROUNDS + 1):
         chosen = work.table(_likeliest(open_), "chosen") if k < FIRST_ROUNDS else open_.select("a", "b")
@@ -240,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if k < FIRST_ROUNDS:
             open_ = work.table(_across(open_.join(chosen, ["a", "b"], "left_anti"), label), "pairs")
     placed = work.table(rows.join(label, F.col("id") == F.col("node"), "left").select("id", "signature", F.coalesce("component", "id").alias("component")), "placed")
-    open_ = work.table(_region_pairs(placed, work).select("a", "b"), "pairs")
+    open_ = work.table(_region_pairs(placed, work).join(near, ["a", "b"], "left_anti").select("a", "b"), "pairs")
     label = _linked(label, _confirmed(open_, sets, work), work)
     work.drop(sets)
 
