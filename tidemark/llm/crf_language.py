@@ -27,7 +27,7 @@ from .words import _BYTE_CODE as BYTE_CODE
 BUCKETS = 1 << 18
 CHAIN = 48
 #: Documents of each language that are read for training, about, and the most bytes of one.
-FIT_DOCS = 250
+FIT_DOCS = 160
 FIT_BYTES = 1 << 16
 EPOCHS = 12
 SEED = 41
