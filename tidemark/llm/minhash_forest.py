@@ -11,10 +11,10 @@ other. Candidates are confirmed on the full shingle sets:
 1. each row with the next ``NEIGHBOURS`` rows of its region in all trees. Each
    row's likeliest candidate goes first, then its likeliest among those that
    the found links leave in another component, then all that are left;
-2. all rows of a region that are still in different components and haven't
-   been compared. A region with more than ``REGION_ROWS`` rows is split by the
-   next minimum, and so on down to ``MAX_DEPTH``: the depth adapts to the
-   region.
+2. all rows of a region that are still in different components. Regions of up
+   to ``REGION_ROWS`` rows list their pairs; larger ones are compared block
+   against block in one task each, first by signatures, then the rows that have
+   a like one by their full sets, and list no pairs.
 
 Two sets of similarity 0.75 miss each other in all sixteen trees with a
 probability of 0.00016; a link that an already known path implies need not be
@@ -37,12 +37,21 @@ from .words import LOWER, Block, blocks, full_runs, run_hash, span_hash
 SHINGLE = 5
 TREES = 16
 MIN_DEPTH = 3
-MAX_DEPTH = 8
+#: Minima by which the rows of a region are sorted.
+KEY_DEPTH = 8
 MINIMA = TREES * MIN_DEPTH
 NEIGHBOURS = 2
 #: Rounds in which each row's likeliest candidate is confirmed before all others are.
 FIRST_ROUNDS = 2
+#: Larger regions are compared in blocks.
 REGION_ROWS = 16
+#: Rows of a block of signatures, and shingles of a block of sets, about.
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1 << 15
+#: A set counts as so many shingles at least, which bounds the rows of a block.
+LEAST_SHINGLES = BLOCK_SHINGLES // BLOCK_ROWS
+#: Shingles that are compared in one matrix product.
+COLUMNS = 4096
 #: Links need 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 #: Candidates with fewer equal minima are dropped unconfirmed: at similarity 0.75 that has a probability under 1e-5.
@@ -132,6 +141,76 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
 
 
+def _like_rows(batches):
+    """The rows of two blocks of a region that have a like signature in another component of the other block."""
+    for batch in batches:
+        regions, ids = [], []
+        for region, *sides in zip(batch.column("region").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            (a, ca, sa), (b, cb, sb) = (_side(s, "signature") for s in sides)
+            sa, sb = (np.frombuffer(b"".join(s), dtype=">u4").reshape(-1, MINIMA).astype(np.uint32) for s in (sa, sb))
+            equal = np.zeros((len(a), len(b)), dtype=np.uint8)
+            for j in range(MINIMA):
+                equal += sa[:, j, None] == sb[None, :, j]
+            good = (equal >= LEAST_EQUAL) & (ca[:, None] != cb)
+            found = np.union1d(a[good.any(axis=1)], b[good.any(axis=0)])
+            regions.append(np.full(len(found), region, dtype=np.int64))
+            ids.append(found)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(ids))], names=["region", "id"])
+
+
+def _side(cell: pa.ListScalar, name: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The ids, components and bytes of a block."""
+    return cell.values.field("id").to_numpy(), cell.values.field("component").to_numpy(), cell.values.field(name).to_pylist()
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each set of x and each of y."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    sides = []
+    for sets in (x, y):
+        column, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        used = np.isin(column, shared)
+        column, row = np.searchsorted(shared, column[used]), row[used]
+        order = np.argsort(column, kind="stable")
+        sides.append((len(sets), row[order], column[order]))
+    out = np.zeros((len(x), len(y)))
+    for first in range(0, len(shared), COLUMNS):
+        parts = []
+        for n, row, column in sides:
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, len(shared) - first)), dtype=np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _linked_rows(batches):
+    """Of the links between two blocks of a region, the ones that unite components."""
+    for batch in batches:
+        u, v = [], []
+        for sides in zip(batch.column("x"), batch.column("y"), strict=True):
+            (a, ca, sa), (b, cb, sb) = (_side(s, "shingles") for s in sides)
+            sa, sb = ([np.frombuffer(s, dtype=np.uint64) for s in side] for side in (sa, sb))
+            both = common(sa, sb)
+            union = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb]) - both
+            above: dict[int, int] = {}
+
+            def root(x: int, above: dict[int, int] = above) -> int:
+                while (y := above.setdefault(x, x)) != x:
+                    above[x] = x = above[y]
+                return x
+
+            for i, j in zip(*np.nonzero((100 * both >= SIMILARITY * union) & (ca[:, None] != cb)), strict=True):
+                x, y = root(int(ca[i])), root(int(cb[j]))
+                if x != y:
+                    above[x] = y
+                    u.append(int(a[i]))
+                    v.append(int(b[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _sets_of(docs: DataFrame, rows: DataFrame, work: Workspace) -> DataFrame:
     """(id, shingles) of rows, in buckets of id; the join is the same at every size."""
     return work.bucketed(docs.join(rows.select("id").hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets", "id")
@@ -152,7 +231,7 @@ def _trees(rows: DataFrame) -> DataFrame:
     """Each row once for each tree, with the beginning of its signature in that tree's order."""
     rows = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(TREES)])))
     start = F.col("tree") * (4 * MIN_DEPTH) + 1
-    return rows.withColumn("key", F.substring(F.concat("signature", "signature"), start, F.lit(4 * MAX_DEPTH))).withColumn("region", F.xxhash64("tree", _prefix(MIN_DEPTH)))
+    return rows.withColumn("key", F.substring(F.concat("signature", "signature"), start, F.lit(4 * KEY_DEPTH))).withColumn("region", F.xxhash64("tree", _prefix(MIN_DEPTH)))
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -174,22 +253,39 @@ def _neighbour_pairs(rows: DataFrame) -> DataFrame:
     return _pairs(rows.select(F.col("near.id").alias("a"), F.col("near.signature").alias("sa"), F.col("id").alias("b"), F.col("signature").alias("sb")))
 
 
-def _region_pairs(rows: DataFrame, work: Workspace) -> DataFrame:
-    """Pairs of one region that are in different components."""
-    rows = _trees(rows).select("region", "key", "id", "component", "signature")
-    depth = F.lit(MAX_DEPTH)
-    for d in range(MIN_DEPTH, MAX_DEPTH):  # from the shallowest, so that one exchange serves all
-        rows = rows.withColumn(f"n{d}", F.count("*").over(Window.partitionBy("region", _prefix(d)) if d > MIN_DEPTH else Window.partitionBy("region")))
-    for d in range(MAX_DEPTH - 1, MIN_DEPTH - 1, -1):
-        depth = F.when(F.col(f"n{d}") <= REGION_ROWS, d).otherwise(depth)
-    at = Window.partitionBy("region", "part")
-    rows = rows.withColumn("part", F.substring("key", F.lit(1), 4 * depth)).withColumn("low", F.min("component").over(at)).withColumn("high", F.max("component").over(at))
-    open_ = work.table(rows.filter("low <> high").select(F.xxhash64("region", "part").alias("part"), "id", "component", "signature"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")))
+def _open_regions(rows: DataFrame, work: Workspace) -> DataFrame:
+    """The rows of regions that hold different components, once for each of them, with the region's number of rows."""
+    at = Window.partitionBy("region")
+    rows = _trees(rows).select("region", "id", "n", "component", "signature", F.count("*").over(at).alias("rows"), F.min("component").over(at).alias("low"), F.max("component").over(at).alias("high"))
+    return work.table(rows.filter("low <> high").drop("low", "high"), "open")
+
+
+def _region_pairs(regions: DataFrame) -> DataFrame:
+    """Pairs of one small region that are in different components."""
+    small = regions.filter(F.col("rows") <= REGION_ROWS)
+    x, y = small.alias("x"), small.alias("y")
+    near = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.component") < F.col("y.component")))
     return _pairs(near.select(F.col("x.id").alias("a"), F.col("x.signature").alias("sa"), F.col("y.id").alias("b"), F.col("y.signature").alias("sb")))
 
 
+def _blocked(rows: DataFrame, work: Workspace, *columns: str) -> DataFrame:
+    """Each two blocks of a region as (region, x, y); rows have (region, blocks)."""
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).groupBy("region", "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    packed = work.table(packed, "blocks")
+    x, y = (packed.select("region", F.col("block").alias(f"b{c}"), F.col("rows").alias(c)) for c in "xy")
+    return x.hint("merge").join(y, "region").filter("bx <= by").select("region", "x", "y")
+
+
+def _region_links(regions: DataFrame, placed: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """Links (u, v) that unite the components of each large region as far as its full sets do."""
+    large = regions.filter(F.col("rows") > REGION_ROWS).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    wanted = work.table(_blocked(large, work, "id", "component", "signature").mapInArrow(_like_rows, "region long, id long").distinct(), "wanted")
+    mass = F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))).over(Window.partitionBy("region"))
+    wanted = wanted.join(placed.select("id", "n", "component"), "id").withColumn("blocks", F.ceil(mass / BLOCK_SHINGLES)).select("region", "id", "component", "blocks")
+    full = wanted.hint("merge").join(sets, "id")
+    return work.table(_blocked(full, work, "id", "component", "shingles").mapInArrow(_linked_rows, "u long, v long"), "links")
+
+
 def _across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
     """The pairs whose rows are in different components."""
     if label is None:
@@ -227,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = marked.filter("n > 0 AND id IS NOT NULL")
     classes = work.table(usable.groupBy("mark1", "mark2", "n").agg(F.min("id").alias("head")), "classes")
     rows = usable.join(classes.select("mark1", "mark2", "n", F.col("head").alias("id")), ["mark1", "mark2", "n", "id"], "left_semi")
-    rows = rows.select("id", "signature")
+    rows = rows.select("id", "n", "signature")
     rows = work.table(rows.join(_crowded(rows), "id", "left_semi"), "crowded")
     near = open_ = work.table(_neighbour_pairs(rows), "pairs")
     sets, label = _sets_of(docs, rows, work), None
@@ -236,9 +332,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = _linked(label, _confirmed(chosen, sets, work), work)
         if k < FIRST_ROUNDS:
             open_ = work.table(_across(open_.join(chosen, ["a", "b"], "left_anti"), label), "pairs")
-    placed = work.table(rows.join(label, F.col("id") == F.col("node"), "left").select("id", "signature", F.coalesce("component", "id").alias("component")), "placed")
-    open_ = work.table(_region_pairs(placed, work).join(near, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    label = _linked(label, _confirmed(open_, sets, work), work)
+    placed = work.table(rows.join(label, F.col("id") == F.col("node"), "left").select("id", "n", "signature", F.coalesce("component", "id").alias("component")), "placed")
+    regions = _open_regions(placed, work)
+    open_ = work.table(_region_pairs(regions).join(near, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    links = _confirmed(open_, sets, work).union(_region_links(regions, placed, sets, work))
+    label = _linked(label, links, work)
     work.drop(sets)
 
     heads = classes.join(label, F.col("head") == F.col("node"), "left").select("mark1", "mark2", "n", F.coalesce("component", "head").alias("class_component"))
