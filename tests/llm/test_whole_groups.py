@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm import minhash_forest
+from tidemark.llm import minhash_forest, projection_passes
 
 
 def roots(ids, links):
@@ -48,3 +48,20 @@ def test_common_shingles_equal_brute_force(monkeypatch):
     rng = np.random.default_rng(0)
     x, y = ([np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(1, 40, size)] for size in (9, 5))
     assert minhash_forest.common(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
+def test_links_in_a_dense_topic(spark):
+    """A third of the vectors have a cosine of about 0.88 with each other, and pairs of about 0.96 among them."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    topic = unit(np.sqrt(0.88) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.12) * unit(rng.normal(size=(1000, 64))))
+    twins = unit(topic + np.sqrt(1 / 0.96**2 - 1) * unit(rng.normal(size=topic.shape)))
+    x = np.vstack((topic, twins, rng.normal(size=(4000, 64))))
+    y = unit(x)
+    links = [(a, b) for a, b in zip(*(k.tolist() for k in np.nonzero(y @ y.T >= 0.95)), strict=True) if a < b]
+    assert 500 < len(links) < 1500
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection_passes.near_vectors(df).collect()}
+    n = np.bincount(np.array(links).ravel(), minlength=len(x)).tolist()
+    expected = {i: (n[i], c) for i, c in roots(range(len(x)), links).items()}
+    assert sum(got[i] != expected[i] for i in expected) <= 0.01 * len(links)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import components, uniting
 from ..storage import Workspace
 
 LIMIT = 0.95
@@ -39,9 +39,14 @@ PART_ROWS = 50_000
 BLOCK = 512
 
 
+def depth_for(n: int) -> float:
+    """How many bits bring as many of n evenly spread vectors together as the window holds."""
+    return max(0.0, math.log2(max(n, 1) / NEIGHBOURS))
+
+
 def passes_for(n: int, limit: float = LIMIT) -> int:
     """How many passes n vectors need."""
-    share = (1 - math.acos(limit) / math.pi) ** max(0.0, math.log2(max(n, 1) / NEIGHBOURS))
+    share = (1 - math.acos(limit) / math.pi) ** depth_for(n)
     return 1 if share >= 1 - MISS else math.ceil(math.log(MISS) / math.log(1 - share))
 
 
@@ -168,6 +173,38 @@ def _count(limit: float):
     return run
 
 
+def _unite(limit: float):
+    """Of the links between two blocks of a run, the ones that unite components."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                ids, parts = ([np.array([r[c] for r in rows], dtype=np.int64) for rows in (x, y)] for c in ("id", "component"))
+                linked = (_unit([r["vec"] for r in x]) @ _unit([r["vec"] for r in y]).T) >= limit
+                a, b = np.nonzero(linked & (parts[0][:, None] != parts[1]))
+                used = uniting(parts[0][a].tolist(), parts[1][b].tolist())
+                u += ids[0][a[used]].tolist()
+                v += ids[1][b[used]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _run_links(nodes: DataFrame, keyed: DataFrame, label: DataFrame, bits: int, limit: float, work: Workspace) -> DataFrame:
+    """Links (u, v) among all vectors that share their first bits in a pass, where they are too many for the window."""
+    nodes = work.table(nodes.join(label, F.col("id") == F.col("node"), "left").select("id", "vec", F.coalesce("component", "id").alias("component")), "labelled")
+    run = ["pass", "dim", "run"]
+    keys = keyed.select("pass", "dim", F.shiftright("key", BITS - bits).alias("run"), "id").join(nodes.select("id", "component"), "id")
+    keys = work.table(keys, "keys")
+    crowds = keys.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    crowds = crowds.filter(f"n > {NEIGHBOURS + 1} AND low <> high").select(*run, F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = keys.join(crowds, run).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(nodes.select("id", "vec"), "id")
+    packed = work.table(rows.groupBy(*run, "block").agg(F.collect_list(F.struct("id", "component", "vec")).alias("rows")), "runs")
+    x, y = (packed.select(*run, F.col("block").alias(f"b{c}"), F.col("rows").alias(c)) for c in "xy")
+    return work.table(x.join(y, run).filter("bx <= by").select("x", "y").mapInArrow(_unite(limit), "u long, v long"), "links")
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", limit: float = LIMIT) -> DataFrame:
     """One row for each row of rows: id, n_links, component_id, kept.
 
@@ -188,12 +225,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     passes = passes_for(total, limit)
 
     order = ["pass", "dim", "key", "id"]
-    keyed = nodes.select("id", "vec").mapInArrow(_keys(passes), "pass int, dim int, key long, id long, vec binary")
-    keyed = keyed.repartitionByRange(max(1, total * passes // PART_ROWS), *order).sortWithinPartitions(*order)
+    keys = nodes.select("id", "vec").mapInArrow(_keys(passes), "pass int, dim int, key long, id long, vec binary")
+    keyed = keys.repartitionByRange(max(1, total * passes // PART_ROWS), *order).sortWithinPartitions(*order)
     scanned = work.table(keyed.select("pass", "dim", "id", "vec").mapInArrow(_scan(limit), _SCAN), "scan")
     borders = scanned.filter("border IS NOT NULL").select("border", "side", "pass", "dim", "id", "vec")
     found = scanned.filter("border IS NULL").select("u", "v").union(borders.groupBy("border").applyInPandas(_over_border(limit), "u long, v long"))
     label = components(found.filter("u <> v"), work)
+    more = _run_links(nodes, keys, label, int(depth_for(total)), limit, work)
+    label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), work)
 
     roots = label.select(F.col("component").alias("node"), "component").distinct()
     placed = work.table(nodes.join(label.union(roots), F.col("id") == F.col("node")).select("id", "n", "vec", "component"), "placed")

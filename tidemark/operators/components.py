@@ -52,6 +52,21 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
 
 
+def uniting(u, v) -> list[int]:
+    """Numbers of the links (u, v) that unite components, in their order."""
+    above: dict[int, int] = {}
+    out = []
+    for k, (x, y) in enumerate(zip(u, v, strict=True)):
+        while (z := above.setdefault(x, x)) != x:
+            above[x] = x = above[z]
+        while (z := above.setdefault(y, y)) != y:
+            above[y] = y = above[z]
+        if x != y:
+            above[x] = y
+            out.append(k)
+    return out
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) for all nodes of edges (u, v: long) but the smallest of each component."""
     now = work.table(edges.select("u", "v").filter("u <> v"), "links")
