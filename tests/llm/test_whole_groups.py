@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm import minhash_forest, projection_passes
+from tidemark.llm import minhash_forest, projection_passes, template_extract
 
 
 def roots(ids, links):
@@ -65,3 +65,27 @@ def test_links_in_a_dense_topic(spark):
     n = np.bincount(np.array(links).ravel(), minlength=len(x)).tolist()
     expected = {i: (n[i], c) for i, c in roots(range(len(x)), links).items()}
     assert sum(got[i] != expected[i] for i in expected) <= 0.01 * len(links)
+
+
+def texts(spark, pages):
+    """Main texts of one host's pages by number."""
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {x.page_id: x.text for x in template_extract.extract_main_text(df).collect()}
+
+
+PAGE = "<html><body><div class=top><span>Menu one</span></div><div class=c><p>{}</p><p>Read on here</p>{}</div><div class=end>bye</div></body></html>"
+
+
+def test_other_pages_do_not_empty_the_template(spark):
+    stories = [f"story number {i} " * 9 for i in range(10)]
+    box = "<div class=x><p>Some words to our readers</p></div>"
+    pages = [PAGE.format(s, box * (k % 5 != 0) * (1 + k % 2)) for k, s in enumerate(stories)]
+    got = texts(spark, [*pages, None, "", "<html><body><table><p>of another layout</table></body></html>"])
+    assert [got[i] for i in range(10)] == [s.strip() for s in stories] and got[10] == got[11] == ""
+
+
+def test_copies_of_an_article_keep_their_text(spark):
+    pages = ["<html><body><p>Menu</p><article class=one><p>the same words</p><p>at three places</p></article></body></html>"] * 3
+    got = texts(spark, [*pages, *("<html><body><p>Menu</p><article><p>%s</p></article></body></html>" % (w * 9) for w in ("one ", "two ", "three "))])
+    assert [got[i] for i in range(3)] == ["the same words\n\nat three places"] * 3

@@ -4,9 +4,13 @@ A page is a sequence of tokens: the tags of its containers, each told apart by
 the path of containers around it, and its text runs. Over the pages of one
 host, tokens with the same occurrence vector (the same number of occurrences
 on every page) form an equivalence class. A class is valid if it has enough
-tokens and pages. The class whose tokens occur once on every page is the
-host's outer template; classes of fewer pages or of repeated tokens nest in its
-gaps. Text runs that belong to the outer template are page furniture. What
+tokens and pages. The class whose tokens occur once on every page that has any
+is the host's outer template; classes of fewer pages or of repeated tokens that
+hold containers of their own are taken to nest in its gaps, without a check of
+their order: layouts, notices on some pages, repeated boxes. Text runs of both
+are page furniture, but a page of which the inner classes would leave nothing
+keeps their runs: such pages are copies of one article. Classes of text runs
+alone that miss a page are content that recurs, and stay. What
 remains between template tokens are the slots, and the container whose slots
 hold the host's articles is extracted, without the boilerplate nested in it.
 
@@ -143,6 +147,8 @@ def _occurrences(batches):
                         mass["open", _key("open", where), token[1].name, where] += len(run)
                 elif token[0] in ("open", "close"):
                     counts[token[0], _key(token[0], token[1].path), token[1].name, token[1].path if token[0] == "open" else ""] += 1
+            if counts:
+                counts["page", 0, "", ""] = 1
             for k, n in counts.items():
                 row = total.setdefault((host, *k), [0, 0, 0, 0])
                 row[0] ^= _mixed(number, n)
@@ -156,20 +162,21 @@ def _occurrences(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, furniture, containers) of pages (host, number, html): keys of the template's text runs, and its containers with their text."""
+    """(host, furniture, inner, containers) of pages (host, number, html): keys of the text runs of the outer template and of the classes in it, and containers with their text."""
     schema = "host string, kind string, token long, name string, path string, vector long, pages long, times long, chars long"
     tokens = pages.mapInArrow(_occurrences, schema).groupBy("host", "token", "kind", "name", "path")
     tokens = tokens.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"))
-    tokens = tokens.filter((F.col("pages") >= CLASS_PAGES) | (F.col("kind") != "text"))
-    members = tokens.groupBy("host", "vector", "pages", "times").agg(F.count("*").alias("members"))
+    hosts = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
+    tokens = tokens.filter((F.col("kind") != "page") & ((F.col("pages") >= CLASS_PAGES) | (F.col("kind") != "text")))
+    members = tokens.groupBy("host", "vector", "pages", "times").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "open").alias("nested"))
     valid = members.filter((F.col("members") >= CLASS_TOKENS) & (F.col("pages") >= CLASS_PAGES))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     tokens = tokens.join(valid, ["host", "vector", "pages", "times"]).join(hosts, "host")
     outer = (F.col("pages") == F.col("host_pages")) & (F.col("times") == F.col("pages"))
-    tokens = tokens.filter((F.col("kind") == "open") | ((F.col("kind") == "text") & outer)).withColumn("outer", outer)
+    tokens = tokens.filter((F.col("kind") == "open") | ((F.col("kind") == "text") & (outer | (F.col("nested") > 0)))).withColumn("outer", outer)
     ranked = tokens.withColumn("rank", F.row_number().over(Window.partitionBy("host", "kind").orderBy(F.desc("pages"), F.desc("chars"), "token"))).filter(F.col("rank") <= TEMPLATE_TOKENS)
     return ranked.groupBy("host").agg(
-        F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("furniture"),
+        F.collect_list(F.when((F.col("kind") == "text") & F.col("outer"), F.col("token"))).alias("furniture"),
+        F.collect_list(F.when((F.col("kind") == "text") & ~F.col("outer"), F.col("token"))).alias("inner"),
         F.collect_list(F.when(F.col("kind") == "open", F.struct("path", "name", "chars", "outer"))).alias("containers"),
     )
 
@@ -227,8 +234,11 @@ def main_text(page: str, containers: list[dict] = (), furniture: frozenset[int]
 def _extract(batches):
     for batch in batches:
         out, n = [], []
-        for page, containers, furniture in zip(batch.column("html").to_pylist(), batch.column("containers").to_pylist(), batch.column("furniture").to_pylist(), strict=True):
-            text = main_text(page or "", containers or (), frozenset(furniture or ()))
+        for page, containers, furniture, inner in zip(*(batch.column(c).to_pylist() for c in ("html", "containers", "furniture", "inner")), strict=True):
+            furniture, inner = frozenset(furniture or ()), frozenset(inner or ())
+            text = main_text(page or "", containers or (), furniture | inner)
+            if inner and not text:
+                text = main_text(page or "", containers or (), furniture)
             out.append(text)
             n.append(len(text))
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["row", "text", "n_chars"])
@@ -248,6 +258,6 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     work = Workspace(pages.sparkSession, "template-extract")
     known = work.table(templates(rows.select("host", F.xxhash64(F.to_json("row")).alias("number"), "html")), "templates")
     kind = rows.schema["row"].dataType.simpleString()
-    joined = rows.join(known, "host", "left").select("row", "html", "containers", "furniture")
+    joined = rows.join(known, "host", "left").select("row", "html", "containers", "furniture", "inner")
     out = joined.mapInArrow(_extract, f"row {kind}, text string, n_chars long")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "text", "n_chars")
