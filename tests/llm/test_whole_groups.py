@@ -89,3 +89,12 @@ def test_copies_of_an_article_keep_their_text(spark):
     pages = ["<html><body><p>Menu</p><article class=one><p>the same words</p><p>at three places</p></article></body></html>"] * 3
     got = texts(spark, [*pages, *("<html><body><p>Menu</p><article><p>%s</p></article></body></html>" % (w * 9) for w in ("one ", "two ", "three "))])
     assert [got[i] for i in range(3)] == ["the same words\n\nat three places"] * 3
+
+
+def test_templates_of_any_length(spark, monkeypatch):
+    """600 shared text runs in neutral containers, in several parts of a host."""
+    monkeypatch.setattr(template_extract, "PART_PAGES", 2)
+    notices = "".join(f"<p>clause {k}</p>" for k in range(600))
+    stories = [f"story number {i} " * 900 for i in range(9)]
+    got = texts(spark, [PAGE.format(s, notices) for s in stories])
+    assert got == {i: s.strip() for i, s in enumerate(stories)}

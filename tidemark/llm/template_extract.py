@@ -16,9 +16,8 @@ hold the host's articles is extracted, without the boilerplate nested in it.
 
 Vectors are never gathered: a token's vector is the XOR of a mixed hash of
 page and count, so that one aggregation over (host, token) yields the classes
-of any number of pages. A template has at most ``TEMPLATE_TOKENS`` text runs
-and containers for a page to be matched with, the ones with most pages first;
-text runs beyond that stay in the text.
+of any number of pages. Pages are then dealt in parts of their host, and each
+part meets all tokens of the host's template.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
@@ -37,7 +36,9 @@ from ..storage import Workspace
 #: A valid class has at least so many tokens and pages.
 CLASS_TOKENS = 3
 CLASS_PAGES = 3
-TEMPLATE_TOKENS = 200
+#: A host is dealt in parts of so many pages or characters, about.
+PART_PAGES = 256
+PART_CHARS = 1 << 22
 
 # Element names by their role.
 CONTAINERS = frozenset("html body header nav main article section aside footer div form ul ol dl table figure dialog details fieldset menu".split())
@@ -162,7 +163,7 @@ def _occurrences(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, furniture, inner, containers) of pages (host, number, html): keys of the text runs of the outer template and of the classes in it, and containers with their text."""
+    """(host, kind, token, name, path, chars, outer) of pages (host, number, html): text runs of the outer template and of the classes in it, and containers with their text."""
     schema = "host string, kind string, token long, name string, path string, vector long, pages long, times long, chars long"
     tokens = pages.mapInArrow(_occurrences, schema).groupBy("host", "token", "kind", "name", "path")
     tokens = tokens.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"))
@@ -172,13 +173,8 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = members.filter((F.col("members") >= CLASS_TOKENS) & (F.col("pages") >= CLASS_PAGES))
     tokens = tokens.join(valid, ["host", "vector", "pages", "times"]).join(hosts, "host")
     outer = (F.col("pages") == F.col("host_pages")) & (F.col("times") == F.col("pages"))
-    tokens = tokens.filter((F.col("kind") == "open") | ((F.col("kind") == "text") & (outer | (F.col("nested") > 0)))).withColumn("outer", outer)
-    ranked = tokens.withColumn("rank", F.row_number().over(Window.partitionBy("host", "kind").orderBy(F.desc("pages"), F.desc("chars"), "token"))).filter(F.col("rank") <= TEMPLATE_TOKENS)
-    return ranked.groupBy("host").agg(
-        F.collect_list(F.when((F.col("kind") == "text") & F.col("outer"), F.col("token"))).alias("furniture"),
-        F.collect_list(F.when((F.col("kind") == "text") & ~F.col("outer"), F.col("token"))).alias("inner"),
-        F.collect_list(F.when(F.col("kind") == "open", F.struct("path", "name", "chars", "outer"))).alias("containers"),
-    )
+    tokens = tokens.filter((F.col("kind") == "open") | ((F.col("kind") == "text") & (outer | (F.col("nested") > 0))))
+    return tokens.select("host", "kind", "token", "name", "path", "chars", outer.alias("outer"))
 
 
 def _articles(containers: list[dict]) -> set[str]:
@@ -231,17 +227,21 @@ def main_text(page: str, containers: list[dict] = (), furniture: frozenset[int]
     return "\n\n".join(b for b in blocks if b)
 
 
-def _extract(batches):
-    for batch in batches:
-        out, n = [], []
-        for page, containers, furniture, inner in zip(*(batch.column(c).to_pylist() for c in ("html", "containers", "furniture", "inner")), strict=True):
-            furniture, inner = frozenset(furniture or ()), frozenset(inner or ())
-            text = main_text(page or "", containers or (), furniture | inner)
-            if inner and not text:
-                text = main_text(page or "", containers or (), furniture)
-            out.append(text)
-            n.append(len(text))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(n, pa.int64())], names=["row", "text", "n_chars"])
+def _extract(pages: pa.Table, template: pa.Table) -> pa.Table:
+    """The texts of one part of a host."""
+    tokens = template.to_pylist()
+    containers = [t for t in tokens if t["kind"] == "open"]
+    articles = _articles(containers)
+    containers = [c for c in containers if c["path"] in articles]
+    furniture, inner = (frozenset(t["token"] for t in tokens if t["kind"] == "text" and t["outer"] == o) for o in (True, False))
+    every, out = furniture | inner, []
+    for page in pages.column("html").to_pylist():
+        text = main_text(page or "", containers, every)
+        if inner and not text:
+            text = main_text(page or "", containers, furniture)
+        out.append(text)
+    columns = [pages.column("row"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
+    return pa.table(columns, names=["row", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -257,7 +257,10 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     rows = pages.select(row.alias("row"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     work = Workspace(pages.sparkSession, "template-extract")
     known = work.table(templates(rows.select("host", F.xxhash64(F.to_json("row")).alias("number"), "html")), "templates")
+    sizes = rows.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / PART_PAGES, F.coalesce(F.sum(F.length("html")), F.lit(0)) / PART_CHARS)).alias("parts"))
+    sizes = work.table(sizes, "sizes")
+    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("html", F.to_json("row")), "parts")).select("host", "part", "row", "html")
+    known = known.join(sizes, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     kind = rows.schema["row"].dataType.simpleString()
-    joined = rows.join(known, "host", "left").select("row", "html", "containers", "furniture", "inner")
-    out = joined.mapInArrow(_extract, f"row {kind}, text string, n_chars long")
+    out = dealt.groupBy("host", "part").cogroup(known.groupBy("host", "part")).applyInArrow(_extract, f"row {kind}, text string, n_chars long")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "text", "n_chars")
