@@ -235,3 +235,33 @@ def test_token_counts(spark):
     expected = collections.Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, _, _ in rows)
     got = token_count.count_tokens(documents(spark, rows)).collect()
     assert collections.Counter((x.doc_id, x.n_tokens) for x in got) == expected and all(x.over_limit == (x.n_tokens > 1024) for x in got)
+
+
+def test_packed_ids_are_the_librarys(spark, sf):
+    """Every document of the table, with long white space besides, against the tokenizers library."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import default_path
+
+    t = Tokenizer.from_file(default_path())
+    own = spark.createDataFrame([(-1, "a" + " " * 10**6 + "b"), (-2, "\n" * 10**6), (-3, None), (-3, None)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(own)
+    pieces, filled = collections.defaultdict(list), collections.defaultdict(list)
+    for x in packing.pack_documents(docs).collect():
+        pieces[x.doc_id].append(x)
+        filled[x.sequence_id].append((x.offset, x.length))
+    for x in docs.distinct().collect():
+        ids = np.array([*t.encode(x.text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        rows = sorted(pieces.pop(x.doc_id), key=lambda p: p.start)
+        assert {p.doc_tokens for p in rows} == {len(ids)}
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in rows)
+        if x.doc_id != -3:
+            assert [p.start for p in rows] == [sum(q.length for q in rows[:k]) for k in range(len(rows))]
+        assert sum(p.length for p in rows) == len(ids) * (1 + (x.doc_id == -3))
+    assert not pieces
+    for rows in filled.values():
+        rows.sort()
+        assert [a for a, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and sum(n for _, n in rows) <= 2048

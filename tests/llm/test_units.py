@@ -49,6 +49,30 @@ def test_token_ids_are_the_librarys(text):
     assert v.ids(text.encode()).tolist() == ids and v.count(text.encode()) == len(ids)
 
 
+N = 10**6
+END = "<|endoftext|>"
+LONG = {
+    "spaces": " " * N,
+    "line feeds": "\n" * N,
+    "tabs": "\t" * N,
+    "mixed": "\n \t " * (N // 4),
+    "wide": " \u3000\xa0" * (N // 3) + "y",
+    "words around": "word" + " " * N + "next one" + "\n" * N + "x",
+    "special tokens around": "a" + " " * N + END + "\n" * 50_000 + END + END + " " * 50_000,
+    "at the bound": (" " * 32768 + "w ") * 3 + " " * 32767 + "e",
+    "letters": "a" * N,
+}
+
+
+@pytest.mark.parametrize("text", LONG.values(), ids=LONG)
+def test_long_runs_are_the_librarys(text):
+    from tokenizers import Tokenizer
+
+    v, t = vocabulary(default_path()), Tokenizer.from_file(default_path())
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert v.ids(text.encode()).tolist() == ids and v.count(text.encode()) == len(ids)
+
+
 def test_whole_tokens_are_one_token():
     from tokenizers import Tokenizer
 
@@ -83,6 +107,21 @@ def test_packing_round_trip(sizes):
     assert all(n <= packing.STEP for n in per_step.values())
 
 
+def test_step_groups_are_balanced():
+    packer, r = packing.Packer(0), random.Random(2)
+    for k in range(3000):
+        packer.add(k, np.zeros(int(r.paretovariate(1) * 60), dtype=np.uint32))
+    packer.finish()
+    rows, size, cost = packer.take(), collections.Counter(), collections.Counter()
+    for _, _, n, _, _, _, _, tier, step in rows:
+        size[tier, step] += n
+        cost[tier, step] += n * n
+    for tier in packing.TIERS:
+        full = [cost[k] for k, n in size.items() if k[0] == tier and n == packing.STEP]
+        assert len(full) < 4 or min(full[:4]) >= 0.9 * max(full[:4])
+        assert sum(n == packing.STEP for k, n in size.items() if k[0] == tier) >= len([1 for k in size if k[0] == tier]) - packing.LANES
+
+
 def brute_removed(texts, window):
     words = [t.split() for t in texts]
     count = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

@@ -11,7 +11,10 @@ has read the documents: nothing is shuffled, and a task holds ``POOL`` ids of
 remainders. A lost task runs again over the same rows and gives the same
 sequences, so docs should come straight from a table.
 
-Sequences of one tier are dealt into step groups of equal numbers of ids.
+Sequences of one tier are dealt into step groups of equal numbers of ids, so
+many groups at a time that their work can be balanced too: attention inside a
+sequence costs the square of each piece, and the dearest sequences go first, to
+the group that costs least so far. A task's last groups share what is left.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ END_ID = 1
 POOL = 1 << 20
 #: Ids in a step group.
 STEP = 1 << 16
+#: Step groups of a tier that are balanced against each other.
+LANES = 4
 
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -46,7 +52,7 @@ class Packer:
         self.pools: dict[int, list] = {t: [] for t in tiers}
         self.sums = dict.fromkeys(tiers, 0)
         self.items = self.sequences = self.steps = 0
-        self.open_steps: dict[int, list[int]] = {}
+        self.waiting: dict[int, list[tuple[int, list[tuple]]]] = {t: [] for t in tiers}
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -60,6 +66,8 @@ class Packer:
 
     def finish(self) -> None:
         self._pack(True)
+        for tier in self.tiers:
+            self._deal(tier)
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -130,16 +138,27 @@ class Packer:
         self._write(parts, tier)
 
     def _write(self, parts: list[tuple], tier: int) -> None:
-        group = self.open_steps.get(tier)
-        if group is None or group[1] + tier > self.step:
-            group = self.open_steps[tier] = [self.steps, 0]
-            self.steps += 1
-        group[1] += tier
-        offset = 0
+        offset, cost, rows = 0, 0, []
         for n, _, (doc, size), start, ids in parts:
-            self.rows.append((doc, start, n, zlib.crc32(ids.astype("<u4").tobytes()), size, self.base + self.sequences, offset, tier, self.base + group[0]))
-            offset += n
+            rows.append((doc, start, n, zlib.crc32(ids.astype("<u4").tobytes()), size, self.base + self.sequences, offset, tier))
+            offset, cost = offset + n, cost + n * n
         self.sequences += 1
+        self.waiting[tier].append((cost, rows))
+        if len(self.waiting[tier]) * tier >= LANES * self.step:
+            self._deal(tier)
+
+    def _deal(self, tier: int) -> None:
+        """Puts the waiting sequences of a tier into step groups of like size and cost."""
+        sequences, self.waiting[tier] = self.waiting[tier], []
+        groups = -(-len(sequences) * tier // self.step)
+        most = -(-len(sequences) // max(groups, 1))
+        least = [(0, 0, g) for g in range(groups)]
+        for cost, rows in sorted(sequences, key=lambda x: -x[0]):
+            total, n, g = heappop(least)
+            self.rows += [(*row, self.base + self.steps + g) for row in rows]
+            if n + 1 < most:
+                heappush(least, (total + cost, n + 1, g))
+        self.steps += groups
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -168,8 +187,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A null or empty text is the end id alone. Each id lies in exactly one
-    piece. Repeated rows are documents of their own. An empty table gives no
-    sequences. Other columns, whatever their names, are not read.
+    piece. Texts are read whole, however long; a long one fills sequences of
+    its own. Repeated rows are documents of their own, a null id is an id like
+    others, and equal lengths are packed in the order of arrival. An empty
+    table gives no sequences. Other columns, whatever their names, are not read.
     """
     if any(b != 2 * a for a, b in zip(tiers, tiers[1:], strict=False)) or step % tiers[-1]:
         raise ValueError("each tier is twice the one before, and a step group holds whole sequences")

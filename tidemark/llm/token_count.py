@@ -25,9 +25,11 @@ def _counts(path: str):
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit.
 
-    A null or empty text has 0 bytes and 0 tokens. Texts are read whole; rows
-    are independent, so repeated rows give repeated results, and nothing is
-    shuffled. Other columns, whatever their names, are not read.
+    A null or empty text has 0 bytes and 0 tokens. Texts are read whole, however
+    long, with white space of any length; a text of limit tokens is not over
+    it. Rows are independent, so repeated rows and ids, null ones included,
+    give repeated results, and nothing is shuffled. Other columns, whatever
+    their names, are not read. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()

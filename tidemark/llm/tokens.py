@@ -21,6 +21,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _STARTING_SPACE = re.compile(rb" (?!$|[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
 _DOUBTFUL_SPACE = re.compile(rb" (?:$|[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
 
+#: Longer runs of white space are cut out of a text before the pattern sees it: it looks ahead from each of their places.
+LONG_RUN = 1 << 15
+
+#: Fixed value: the white space of the pattern.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -52,10 +59,34 @@ class Vocabulary:
         self._bpe = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._ranks = ranks
         self._special = [s.encode() for s in special]
+        self._special_ids = special
+        self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def ids(self, text: bytes) -> np.ndarray:
         """Strings of special tokens inside a text count as these, which is the library's default."""
-        return self._bpe.encode_to_numpy(text.decode("utf-8", "replace"), allowed_special="all")
+        plain = text.decode("utf-8", "replace")
+        if len(plain) < LONG_RUN or not _LONG_RUN.search(plain):
+            return self._bpe.encode_to_numpy(plain, allowed_special="all")
+        out: list[np.ndarray] = []
+        for part in self._special_split.split(plain) if self._special_split else [plain]:
+            out.append(np.array([self._special_ids[part]], dtype=np.uint32) if part in self._special_ids else self._long(part))
+        return np.concatenate(out)
+
+    def _long(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens whose long runs of white space are cut out.
+
+        The pattern takes such a run as one piece, but for its last character
+        if a word follows. What stands before the run ends in another
+        character, so no piece crosses either cut.
+        """
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out.append(self._bpe.encode_to_numpy(text[at : run.start()]))
+            out.append(np.array(self._bpe._encode_single_piece(text[run.start() : end]), dtype=np.uint32))
+            at = end
+        out.append(self._bpe.encode_to_numpy(text[at:]))
+        return np.concatenate(out)
 
     @functools.cached_property
     def whole(self) -> frozenset[bytes]:
@@ -85,7 +116,7 @@ class Vocabulary:
         whole = self.whole
         rest = [p for p in pieces[1:] if p not in whole]
         merged = b" ".join([pieces[0], *rest])
-        return len(pieces) - 1 - len(rest) + (len(self._bpe.encode_to_numpy(merged.decode("utf-8", "replace"))) if merged else 0)
+        return len(pieces) - 1 - len(rest) + (len(self.ids(merged)) if merged else 0)
 
 
 @functools.lru_cache(maxsize=4)
