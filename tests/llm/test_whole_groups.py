@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import minhash_forest, projection_passes, template_extract
+from tidemark.llm.words import blocks
 
 
 def roots(ids, links):
@@ -43,6 +45,34 @@ def test_every_link_of_a_large_group(spark):
     assert got == roots(range(400), links)
 
 
+def test_every_link_of_scattered_texts(spark):
+    """1,500 texts of one region, most of them about 0.7 alike, so that links lie thinly among pairs that are none."""
+    r = random.Random(11)
+    base, texts = [f"w{i}" for i in range(160)], []
+    for _ in range(1500):
+        words = list(base)
+        for i in r.sample(range(160), r.choice((2, 3, 4, 5))):
+            words[i] = f"x{r.randrange(10**9)}"
+        texts.append(words)
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in texts]
+    links = [(a, b) for a in range(1500) for b in range(a) if 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    expected = roots(range(1500), links)
+    assert len(links) > 5000 and len(set(expected.values())) > 5
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(docs).collect()}
+    assert got == expected
+
+
+def test_a_long_text_hashes_like_short_ones():
+    words = [f"word{i % 700}" for i in range(700_000)]
+    raw = " ".join(words).encode()
+    block = next(blocks(pa.array([raw], pa.binary())))
+    starts, ends, _ = block.words()
+    short = next(blocks(pa.array([" ".join(words[:700]).encode()], pa.binary())))
+    own = short.hashes(*short.words()[:2])
+    assert len(raw) > 4 << 20 and (block.hashes(starts, ends).reshape(-1, 700) == own).all()
+
+
 def test_common_shingles_equal_brute_force(monkeypatch):
     monkeypatch.setattr(minhash_forest, "COLUMNS", 7)
     rng = np.random.default_rng(0)

@@ -10,15 +10,22 @@ other. Candidates are confirmed on the full shingle sets:
 
 1. each row with the next ``NEIGHBOURS`` rows of its region in all trees. Each
    row's likeliest candidate goes first, then its likeliest among those that
-   the found links leave in another component, then all that are left;
+   the found links leave in another component, then all that are left. Trees
+   are sorted over ranges of (region, order), so that no task holds a region;
 2. all rows of a region that are still in different components. Regions of up
-   to ``REGION_ROWS`` rows list their pairs; larger ones are compared block
-   against block in one task each, first by signatures, then the rows that have
-   a like one by their full sets, and list no pairs.
-
-Two sets of similarity 0.75 miss each other in all sixteen trees with a
-probability of 0.00016; a link that an already known path implies need not be
-confirmed. Texts with equal shingle sets are one row from the start.
+   to ``REGION_ROWS`` rows list their pairs. Larger ones list none: rows outside
+   the region's largest component are compared with all of its rows, block
+   against block, each two blocks a row of their own that any task can take,
+   first by signatures, then the rows that have a like one by their full sets.
+   Rows of the largest component, which step 1 has joined, aren't compared with
+   each other.
+
+Step 2 knows no depth and no cap, so the region of two rows decides alone
+whether they meet: two sets of similarity 0.75 share none of the sixteen with a
+probability of 0.00016, whatever the size of the group they lie in. Its work is
+(rows outside the largest component) x (rows) of a region. A link that an
+already known path implies need not be confirmed. Texts with equal shingle sets
+are one row from the start.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -46,8 +53,8 @@ FIRST_ROUNDS = 2
 #: Larger regions are compared in blocks.
 REGION_ROWS = 16
 #: Rows of a block of signatures, and shingles of a block of sets, about.
-BLOCK_ROWS = 256
-BLOCK_SHINGLES = 1 << 15
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 17
 #: A set counts as so many shingles at least, which bounds the rows of a block.
 LEAST_SHINGLES = BLOCK_SHINGLES // BLOCK_ROWS
 #: Shingles that are compared in one matrix product.
@@ -141,6 +148,33 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
 
 
+def _neighbours(batches):
+    """Rows in the order of a tree with the rows before them in their region, as (a, b, equal) with like signatures.
+
+    A pair over the border of two tasks is left to the comparison of whole regions.
+    """
+    region, ids, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, MINIMA), dtype=">u4")
+    for batch in batches:
+        old = len(ids)
+        region = np.concatenate((region, batch.column("region").to_numpy()))
+        ids = np.concatenate((ids, batch.column("id").to_numpy()))
+        found = np.concatenate((found, np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=">u4").reshape(-1, MINIMA)))
+        a, b, like = [], [], []
+        for k in range(1, NEIGHBOURS + 1):
+            first = max(old, k)
+            if first >= len(ids):
+                continue
+            equal = (found[first:] == found[first - k : len(ids) - k]).sum(axis=1)
+            good = np.flatnonzero((equal >= LEAST_EQUAL) & (region[first:] == region[first - k : len(ids) - k]))
+            u, v = ids[first + good], ids[first + good - k]
+            a.append(np.minimum(u, v))
+            b.append(np.maximum(u, v))
+            like.append(equal[good].astype(np.int32))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, like)], names=["a", "b", "equal"])
+        region, ids, found = region[-NEIGHBOURS:], ids[-NEIGHBOURS:], found[-NEIGHBOURS:]
+
+
 def _like_rows(batches):
     """The rows of two blocks of a region that have a like signature in another component of the other block."""
     for batch in batches:
@@ -237,7 +271,8 @@ def _trees(rows: DataFrame) -> DataFrame:
 def _crowded(rows: DataFrame) -> DataFrame:
     """The ids that share a region with another one."""
     placed = _trees(rows).select("region", "id")
-    return placed.withColumn("n", F.count("*").over(Window.partitionBy("region"))).filter("n > 1").select("id").distinct()
+    shared = placed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region")
+    return placed.join(shared, "region", "left_semi").select("id").distinct()
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -247,17 +282,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _neighbour_pairs(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("region").orderBy("key", "id")
-    near = F.array(*[F.lag(F.struct("id", "signature"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    rows = _trees(rows).select("region", "key", "id", "signature").withColumn("near", near).withColumn("near", F.explode(F.filter("near", lambda x: x.isNotNull())))
-    return _pairs(rows.select(F.col("near.id").alias("a"), F.col("near.signature").alias("sa"), F.col("id").alias("b"), F.col("signature").alias("sb")))
+    order = ["region", "key", "id"]
+    sorted_ = _trees(rows).select(*order, "signature").repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.select("region", "id", "signature").mapInArrow(_neighbours, "a long, b long, equal int").distinct()
 
 
 def _open_regions(rows: DataFrame, work: Workspace) -> DataFrame:
     """The rows of regions that hold different components, once for each of them, with the region's number of rows."""
-    at = Window.partitionBy("region")
-    rows = _trees(rows).select("region", "id", "n", "component", "signature", F.count("*").over(at).alias("rows"), F.min("component").over(at).alias("low"), F.max("component").over(at).alias("high"))
-    return work.table(rows.filter("low <> high").drop("low", "high"), "open")
+    placed = _trees(rows).select("region", "id", "n", "component", "signature")
+    sizes = placed.groupBy("region").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return work.table(placed.join(sizes.filter("low <> high").select("region", "rows"), "region"), "open")
 
 
 def _region_pairs(regions: DataFrame) -> DataFrame:
@@ -268,22 +302,35 @@ def _region_pairs(regions: DataFrame) -> DataFrame:
     return _pairs(near.select(F.col("x.id").alias("a"), F.col("x.signature").alias("sa"), F.col("y.id").alias("b"), F.col("y.signature").alias("sb")))
 
 
-def _blocked(rows: DataFrame, work: Workspace, *columns: str) -> DataFrame:
-    """Each two blocks of a region as (region, x, y); rows have (region, blocks)."""
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).groupBy("region", "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+def _blocked(rows: DataFrame, weight: Column, full: float, work: Workspace, *columns: str) -> DataFrame:
+    """(region, x, y) for each two blocks of a region whose rows are to be compared; rows have (region, id, component).
+
+    Blocks hold rows of about ``full`` weight. Those of the region's largest
+    component have the last numbers and are met by the others alone.
+    """
+    sizes = rows.groupBy("region", "component").agg(F.sum(weight).alias("mass"))
+    plan = sizes.groupBy("region").agg(F.max(F.struct("mass", "component")).alias("top"), F.sum("mass").alias("mass"))
+    rest = F.col("mass") - F.col("top.mass")
+    plan = plan.filter(rest > 0).select("region", F.col("top.component").alias("largest"), F.ceil(rest / full).alias("open"), F.ceil(F.col("top.mass") / full).alias("closed"))
+    plan = work.table(plan, "plan")
+    number = F.xxhash64("id")
+    block = F.when(F.col("component") == F.col("largest"), F.col("open") + F.pmod(number, "closed")).otherwise(F.pmod(number, "open"))
+    packed = rows.join(plan, "region").withColumn("block", block).groupBy("region", "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     packed = work.table(packed, "blocks")
-    x, y = (packed.select("region", F.col("block").alias(f"b{c}"), F.col("rows").alias(c)) for c in "xy")
-    return x.hint("merge").join(y, "region").filter("bx <= by").select("region", "x", "y")
+    pairs = plan.withColumn("bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("open") - 1)))
+    pairs = pairs.select("region", "bx", F.explode(F.sequence("bx", F.col("open") + F.col("closed") - 1)).alias("by"))
+    for c in "xy":
+        pairs = pairs.hint("merge").join(packed.select("region", F.col("block").alias(f"b{c}"), F.col("rows").alias(c)), ["region", f"b{c}"])
+    return pairs.select("region", "x", "y")
 
 
 def _region_links(regions: DataFrame, placed: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """Links (u, v) that unite the components of each large region as far as its full sets do."""
-    large = regions.filter(F.col("rows") > REGION_ROWS).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
-    wanted = work.table(_blocked(large, work, "id", "component", "signature").mapInArrow(_like_rows, "region long, id long").distinct(), "wanted")
-    mass = F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))).over(Window.partitionBy("region"))
-    wanted = wanted.join(placed.select("id", "n", "component"), "id").withColumn("blocks", F.ceil(mass / BLOCK_SHINGLES)).select("region", "id", "component", "blocks")
-    full = wanted.hint("merge").join(sets, "id")
-    return work.table(_blocked(full, work, "id", "component", "shingles").mapInArrow(_linked_rows, "u long, v long"), "links")
+    large = regions.filter(F.col("rows") > REGION_ROWS)
+    wanted = _blocked(large, F.lit(1), BLOCK_ROWS, work, "id", "component", "signature").mapInArrow(_like_rows, "region long, id long").distinct()
+    full = work.table(wanted.join(placed.select("id", "n", "component"), "id").hint("merge").join(sets, "id"), "wanted")
+    links = _blocked(full, F.greatest("n", F.lit(LEAST_SHINGLES)), BLOCK_SHINGLES, work, "id", "component", "shingles")
+    return work.table(links.mapInArrow(_linked_rows, "u long, v long"), "links")
 
 
 def _across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:

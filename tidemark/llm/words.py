@@ -62,10 +62,14 @@ def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive hashes, whatever the texts' bounds."""
-    if len(hashes) < n:
+    size = len(hashes) - n + 1
+    if size <= 0:
         return np.empty(0, dtype=np.uint64)
-    starts = np.arange(len(hashes) - n + 1)
-    return span_hash(hashes, starts, starts + n)
+    out = np.empty(size, dtype=np.uint64)
+    for at in range(0, size, BLOCK_BYTES):
+        starts = np.arange(min(BLOCK_BYTES, size - at))
+        out[at : at + len(starts)] = span_hash(hashes[at : at + len(starts) + n - 1], starts, starts + n)
+    return out
 
 
 @dataclass
@@ -102,7 +106,16 @@ class Block:
         return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return span_hash(_BYTE_CODE[self.data], starts, ends)
+        """A hash of each data[start:end]; spans follow each other. A long text is hashed in parts of about BLOCK_BYTES."""
+        if len(self.data) <= 2 * BLOCK_BYTES:
+            return span_hash(_BYTE_CODE[self.data], starts, ends)
+        out, at = np.empty(len(starts), dtype=np.uint64), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")))
+            first = starts[at]
+            out[at:to] = span_hash(_BYTE_CODE[self.data[first : ends[to - 1]]], starts[at:to] - first, ends[at:to] - first)
+            at = to
+        return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
