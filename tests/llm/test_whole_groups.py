@@ -128,3 +128,31 @@ def test_templates_of_any_length(spark, monkeypatch):
     stories = [f"story number {i} " * 900 for i in range(9)]
     got = texts(spark, [PAGE.format(s, notices) for s in stories])
     assert got == {i: s.strip() for i, s in enumerate(stories)}
+
+
+PLAIN = "<html><body><div><p>Top of the site</p><p>{}</p></div><div><div><p>{}</p><div><p>{}</p></div></div><div><p>Share this with friends</p><p>{}</p></div></div><div><p>All rights kept</p></div></body></html>"
+
+
+def test_articles_in_unnamed_containers(spark):
+    """No article, no class: the slots of the template alone tell where the text is, also on a page whose own article is short."""
+    r = random.Random(3)
+    stories = [" ".join(f"s{i}w{r.randrange(999)}" for _ in range(120 if i else 3)) for i in range(12)]
+    pages = [PLAIN.format(f"day {i}", "By our staff", s, f"seen {i} times") for i, s in enumerate(stories)]
+    assert texts(spark, pages) == dict(enumerate(stories))
+
+
+def test_equal_pages_keep_their_article(spark):
+    page = PAGE.format("the same story " * 9, "")
+    alone = texts(spark, [page] * 3)
+    assert len(set(alone.values())) == 1 and "the same story" in alone[0]
+    got = texts(spark, [page] * 4 + [PAGE.format(f"story number {i} " * 9, "") for i in range(5)] + [None, "", " "])
+    assert [got[i] for i in range(9)] == [("the same story " * 9).strip()] * 4 + [(f"story number {i} " * 9).strip() for i in range(5)]
+    assert [got[i] for i in range(9, 12)] == [""] * 3
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(None if i > 5 else i, f"http://h.example/{i}", PAGE.format(f"story number {i} " * 9, ""), "x", 1, "r", "h") for i in range(9)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, Text string, n_chars int, row string, host string")
+    out = template_extract.extract_main_text(df)
+    assert out.columns == ["page_id", "url", "row", "host", "text", "n_chars"]
+    assert sorted(x.text for x in out.collect()) == sorted([(f"story number {i} " * 9).strip() for i in range(9)] * 2)

@@ -4,20 +4,30 @@ A page is a sequence of tokens: the tags of its containers, each told apart by
 the path of containers around it, and its text runs. Over the pages of one
 host, tokens with the same occurrence vector (the same number of occurrences
 on every page) form an equivalence class. A class is valid if it has enough
-tokens and pages. The class whose tokens occur once on every page that has any
-is the host's outer template; classes of fewer pages or of repeated tokens that
-hold containers of their own are taken to nest in its gaps, without a check of
-their order: layouts, notices on some pages, repeated boxes. Text runs of both
-are page furniture, but a page of which the inner classes would leave nothing
-keeps their runs: such pages are copies of one article. Classes of text runs
-alone that miss a page are content that recurs, and stay. What
-remains between template tokens are the slots, and the container whose slots
-hold the host's articles is extracted, without the boilerplate nested in it.
+tokens and pages. The class whose tokens occur
+once on every page that has any is the host's outer template; classes of fewer
+pages or of repeated tokens that hold containers of their own are taken to nest
+in its gaps, without a check of their order: layouts, notices on some pages,
+repeated boxes. Text runs of both are page furniture, but a page of which they
+would leave nothing keeps those of the inner classes, or all: such pages are
+copies of one article. Classes of text runs alone that miss a page are content
+that recurs, and stay.
+
+What remains between template tokens are the slots. Each container of the
+template has the mean text that its slots hold on the host's pages. From the
+page's root, the way goes down into the container whose slots hold ``SHARE`` or
+more of the text, as long as there is one; where it ends is the article. Link
+text and furniture by name (navigation, forms, comments, adverts, which no
+template can tell from an article if they change from page to page) count for
+nothing and are left out. An element named article or main ends the way, and
+needs half of the text only. Containers that the template lacks, as on hosts of
+a page or two, are judged by the page itself.
 
 Vectors are never gathered: a token's vector is the XOR of a mixed hash of
 page and count, so that one aggregation over (host, token) yields the classes
-of any number of pages. Pages are then dealt in parts of their host, and each
-part meets all tokens of the host's template.
+of any number of pages. Equal pages of a host count as one page for the
+template. Pages are then dealt in parts of their host, and each part meets all
+tokens of the host's template.
 """
 
 from __future__ import annotations
@@ -39,13 +49,17 @@ CLASS_PAGES = 3
 #: A host is dealt in parts of so many pages or characters, about.
 PART_PAGES = 256
 PART_CHARS = 1 << 22
+#: The share of a container's slot text at which the article is looked for in the container below it; for those named ARTICLES.
+SHARE = 0.9
+NAMED_SHARE = 0.5
 
 # Element names by their role.
 CONTAINERS = frozenset("html body header nav main article section aside footer div form ul ol dl table figure dialog details fieldset menu".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img input".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
-ARTICLES = ("article", "main")
+ARTICLES = frozenset("article main".split())
+SECTIONS = frozenset("html body div section".split()) | ARTICLES
 #: Words of class, id and role names that mark furniture.
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
@@ -80,7 +94,7 @@ class _Open:
                 if a == "hidden" or a == "aria-hidden" and value == "true":
                     marked = True
                 elif a != "aria-hidden":
-                    label += f".{_DIGITS.sub('0', value)}"
+                    label += "." + _DIGITS.sub("0", value).replace("/", ":")
                     marked = marked or not NAMES.isdisjoint(_WORD.findall(value)) and name not in ("html", "body", *ARTICLES)
         self.name, self.label, self.path, self.furniture = name, label, f"{above}/{label}", within or marked
 
@@ -133,7 +147,10 @@ def _mixed(page: int, count: int) -> int:
 
 
 def _occurrences(batches):
-    """(host, token, kind, label) with the vector's XOR, pages, occurrences and characters, summed over a batch."""
+    """(host, kind, token, place, path) with the vector's XOR, pages, occurrences and slot characters, summed over a batch.
+
+    place is the container of a text run, or a container itself.
+    """
     for batch in batches:
         total: dict[tuple, list[int]] = {}
         for host, number, page in zip(batch.column("host").to_pylist(), batch.column("number").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -142,14 +159,17 @@ def _occurrences(batches):
             for token in page_tokens(page or ""):
                 if token[0] == "text":
                     where = token[1].path if token[1] else ""
-                    run = _clean(token[2]).strip()
-                    counts["text", _key("text", where, run), "", ""] += 1
+                    run, place = _clean(token[2]).strip(), _key("open", where)
+                    key = "text", _key("text", where, run), place, ""
+                    counts[key] += 1
                     if token[1] and not token[1].furniture and not token[3]:
-                        mass["open", _key("open", where), token[1].name, where] += len(run)
+                        mass[key] += len(run)
+                        mass["open", place, place, where] += len(run)
                 elif token[0] in ("open", "close"):
-                    counts[token[0], _key(token[0], token[1].path), token[1].name, token[1].path if token[0] == "open" else ""] += 1
+                    place = _key("open", token[1].path)
+                    counts[token[0], _key(token[0], token[1].path), place, token[1].path if token[0] == "open" else ""] += 1
             if counts:
-                counts["page", 0, "", ""] = 1
+                counts["page", 0, 0, ""] = 1
             for k, n in counts.items():
                 row = total.setdefault((host, *k), [0, 0, 0, 0])
                 row[0] ^= _mixed(number, n)
@@ -157,67 +177,90 @@ def _occurrences(batches):
                 row[2] += n
                 row[3] += mass.get(k, 0)
         keys = list(total)
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))]
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
         columns += [pa.array([total[k][i] for k in keys], pa.int64()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, names=["host", "kind", "token", "name", "path", "vector", "pages", "times", "chars"])
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "kind", "token", "place", "path", "vector", "pages", "times", "chars"])
+
 
+def _distinct(pages: DataFrame, work: Workspace) -> DataFrame:
+    """(host, number, html) of pages, equal ones of a host once; only those are moved."""
+    pages = pages.withColumn("number", F.xxhash64("html"))
+    copies = work.table(pages.groupBy("host", "number").agg(F.count("*").alias("n")).filter("n > 1").select("host", "number"), "copies")
+    once = pages.join(copies, ["host", "number"], "left_semi").groupBy("host", "number").agg(F.first("html").alias("html"))
+    return pages.join(copies, ["host", "number"], "left_anti").select("host", "number", "html").union(once)
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, kind, token, name, path, chars, outer) of pages (host, number, html): text runs of the outer template and of the classes in it, and containers with their text."""
-    schema = "host string, kind string, token long, name string, path string, vector long, pages long, times long, chars long"
-    tokens = pages.mapInArrow(_occurrences, schema).groupBy("host", "token", "kind", "name", "path")
+
+def templates(pages: DataFrame, work: Workspace) -> DataFrame:
+    """(host, kind, token, path, outer, slot) of pages (host, html): text runs of the outer template and of the classes in it, and containers with the mean text of their slots."""
+    schema = "host string, kind string, token long, place long, path string, vector long, pages long, times long, chars long"
+    tokens = _distinct(pages, work).mapInArrow(_occurrences, schema).groupBy("host", "token", "kind", "place", "path")
     tokens = tokens.agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"))
+    tokens = work.table(tokens.filter((F.col("pages") >= CLASS_PAGES) | (F.col("kind") == "page")), "tokens")
     hosts = tokens.filter("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
-    tokens = tokens.filter((F.col("kind") != "page") & ((F.col("pages") >= CLASS_PAGES) | (F.col("kind") != "text")))
+    tokens = tokens.filter("kind <> 'page'")
     members = tokens.groupBy("host", "vector", "pages", "times").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "open").alias("nested"))
-    valid = members.filter((F.col("members") >= CLASS_TOKENS) & (F.col("pages") >= CLASS_PAGES))
-    tokens = tokens.join(valid, ["host", "vector", "pages", "times"]).join(hosts, "host")
+    tokens = tokens.join(members.filter(F.col("members") >= CLASS_TOKENS), ["host", "vector", "pages", "times"]).join(hosts, "host")
     outer = (F.col("pages") == F.col("host_pages")) & (F.col("times") == F.col("pages"))
-    tokens = tokens.filter((F.col("kind") == "open") | ((F.col("kind") == "text") & (outer | (F.col("nested") > 0))))
-    return tokens.select("host", "kind", "token", "name", "path", "chars", outer.alias("outer"))
-
-
-def _articles(containers: list[dict]) -> set[str]:
-    """Paths of the template's containers that hold the articles."""
-    for name in ARTICLES:
-        paths = {c["path"] for c in containers if c["name"] == name and c["chars"]}
-        if paths:
-            return paths
-    best = max((c for c in containers if c["chars"]), key=lambda c: (c["chars"], c["outer"], c["path"]), default=None)
-    return {best["path"]} if best else set()
-
-
-def main_text(page: str, containers: list[dict] = (), furniture: frozenset[int] = frozenset()) -> str:
+    tokens = tokens.withColumn("outer", outer).filter((F.col("kind") == "open") | ((F.col("kind") == "text") & (F.col("outer") | (F.col("nested") > 0))))
+    fixed = F.sum(F.when(F.col("kind") == "text", F.col("chars")).otherwise(0)).alias("fixed")
+    fixed = tokens.filter("kind = 'text'").groupBy("host", "place").agg(fixed)
+    tokens = tokens.join(fixed, ["host", "place"], "left")
+    slot = F.when(F.col("kind") == "open", (F.col("chars") - F.coalesce("fixed", F.lit(0))) / F.col("pages"))
+    return tokens.select("host", "kind", "token", "path", "outer", slot.alias("slot"))
+
+
+def _name(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def article_path(slots: dict[str, float]) -> str:
+    """Where the article is, among containers (by path) whose slots hold so much text; the empty path is the page."""
+    below: dict[str, float] = defaultdict(float)
+    children: dict[str, set[str]] = defaultdict(set)
+    for path, text in slots.items():
+        while path:
+            below[path] += text
+            above = path.rpartition("/")[0]
+            children[above].add(path)
+            path = above
+        below[""] += text
+    node = ""
+    while _name(node) not in ARTICLES:
+        best = max((c for c in children[node] if _name(c) in SECTIONS), key=lambda c: (below[c], _name(c) in ARTICLES, c), default=None)
+        if best is None or not below[best] or below[best] < (NAMED_SHARE if _name(best) in ARTICLES else SHARE) * below[node]:
+            break
+        node = best
+    return node
+
+
+def main_text(page: str, slots: dict[str, float] | None = None, furniture: frozenset[int] = frozenset()) -> str:
     """The article of a page, its blocks joined by two line feeds.
 
-    containers and furniture are the host's template. Where the page has none
-    of its article containers, the page's own containers are judged alone.
+    slots (mean text by container path) and furniture (text tokens) are the
+    host's template; containers that it lacks count by their text on the page.
     """
     tokens = list(page_tokens(page))
-    seen = {t[1].path for t in tokens if t[0] == "open"}
-    within = {p for p in _articles(list(containers)) if p in seen}
-    if not within:
-        chars: dict[str, int] = defaultdict(int)
-        for t in tokens:
-            if t[0] == "text" and not t[3] and (t[1] is None or not t[1].furniture):
-                chars[t[1].path if t[1] else ""] += len(t[2].strip())
-        own = [{"path": t[1].path, "name": t[1].name, "chars": 1, "outer": False} for t in tokens if t[0] == "open" and t[1].name in ARTICLES and not t[1].furniture]
-        within = _articles(own) or ({max(chars, key=lambda p: (chars[p], p))} if chars else set())
+    own: dict[str, float] = defaultdict(float)
+    for t in tokens:
+        if t[0] == "text" and not t[3] and not (t[1] and t[1].furniture):
+            own[t[1].path if t[1] else ""] += len(t[2].strip())
+        elif t[0] == "open":
+            own[t[1].path] += 0
+    found = article_path({p: slots[p] if slots and p in slots else n for p, n in own.items()})
     blocks, now = [], []
-    depth = 0
+    depth = 0 if found else 1
     for t in tokens:
         if t[0] == "text":
-            inside = depth > 0 or "" in within and t[1] is None
-            if inside and not (t[1] and t[1].furniture) and not (furniture and _key("text", t[1].path if t[1] else "", _clean(t[2]).strip()) in furniture):
+            if depth > 0 and not (t[1] and t[1].furniture) and not (furniture and _key("text", t[1].path if t[1] else "", _clean(t[2]).strip()) in furniture):
                 now.append(t[2])
             continue
         if t[0] == "space":
             if now:
                 now.append(" ")
             continue
-        if t[0] == "open" and t[1].path in within:
+        if t[0] == "open" and t[1].path == found:
             depth += 1
-        elif t[0] == "close" and t[1].path in within:
+        elif t[0] == "close" and t[1].path == found:
             depth -= 1
         if now:
             blocks.append(_clean("".join(now)).strip())
@@ -230,16 +273,12 @@ def main_text(page: str, containers: list[dict] = (), furniture: frozenset[int]
 def _extract(pages: pa.Table, template: pa.Table) -> pa.Table:
     """The texts of one part of a host."""
     tokens = template.to_pylist()
-    containers = [t for t in tokens if t["kind"] == "open"]
-    articles = _articles(containers)
-    containers = [c for c in containers if c["path"] in articles]
-    furniture, inner = (frozenset(t["token"] for t in tokens if t["kind"] == "text" and t["outer"] == o) for o in (True, False))
-    every, out = furniture | inner, []
+    slots = {t["path"]: t["slot"] for t in tokens if t["kind"] == "open"}
+    outer, inner = (frozenset(t["token"] for t in tokens if t["kind"] == "text" and t["outer"] == o) for o in (True, False))
+    levels = [outer | inner, *([outer] if inner else []), *([frozenset()] if outer else [])]
+    out = []
     for page in pages.column("html").to_pylist():
-        text = main_text(page or "", containers, every)
-        if inner and not text:
-            text = main_text(page or "", containers, furniture)
-        out.append(text)
+        out.append(next((text for f in levels if (text := main_text(page or "", slots, f))), ""))
     columns = [pages.column("row"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
     return pa.table(columns, names=["row", "text", "n_chars"])
 
@@ -247,16 +286,20 @@ def _extract(pages: pa.Table, template: pa.Table) -> pa.Table:
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All columns of pages but the html, with text and n_chars (code points).
 
-    A null or empty page has an empty text. Pages without a host share the
-    empty host. Repeated pages count as pages of their own. Columns named text
-    or n_chars are replaced. An empty table gives an empty one.
+    A null or empty page has an empty text and no say in its host's template.
+    Pages without a host, null URLs included, share the empty host. Equal pages
+    and repeated rows have equal texts and count once for the template; a null
+    page_id is a value like others. Pages are read whole, however long; of
+    containers with equal slots, the last in path order is taken. Columns named
+    text or n_chars, in any case, are replaced. An empty table gives an empty
+    one.
     """
-    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    others = [c for c in pages.columns if c != html_col and c.lower() not in ("text", "n_chars")]
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(row.alias("row"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     work = Workspace(pages.sparkSession, "template-extract")
-    known = work.table(templates(rows.select("host", F.xxhash64(F.to_json("row")).alias("number"), "html")), "templates")
+    known = work.table(templates(rows.select("host", "html"), work), "templates")
     sizes = rows.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / PART_PAGES, F.coalesce(F.sum(F.length("html")), F.lit(0)) / PART_CHARS)).alias("parts"))
     sizes = work.table(sizes, "sizes")
     dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("html", F.to_json("row")), "parts")).select("host", "part", "row", "html")
