@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import LOWER, Block, blocks, span_hash
@@ -26,9 +26,15 @@ from .words import _BYTE_CODE as BYTE_CODE
 
 BUCKETS = 1 << 18
 CHAIN = 48
-#: Documents of each language that are read for training, about, and the most bytes of one.
+#: Documents of each language that are read for training, at most, and the characters of one: longer
+#: texts give FIT_WINDOWS windows spread over the whole text instead.
 FIT_DOCS = 160
-FIT_BYTES = 1 << 16
+FIT_CHARS = 1 << 16
+FIT_WINDOWS = 16
+#: More distinct languages are an error: each costs 2 ** 18 weights.
+MOST_LANGUAGES = 128
+#: Chains whose posteriors are held at a time.
+PART_CHAINS = 4096
 EPOCHS = 12
 SEED = 41
 
@@ -85,6 +91,13 @@ def _forward_backward(emission: np.ndarray, length: np.ndarray, start: np.ndarra
     return post, expected
 
 
+def _compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words data[start:end] alone, one after another, with their starts and ends there."""
+    stop = np.cumsum(ends - starts)
+    start = np.concatenate(([0], stop))[:-1]
+    return data[np.arange(stop[-1]) + np.repeat(starts - start, ends - starts)], start, stop
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -105,22 +118,24 @@ class Model:
         starts, ends, bounds = block.runs(LETTER)
         if not len(starts):
             return mean, counts
-        data = LOWER[block.data]
-        _, pick, back = np.unique(span_hash(BYTE_CODE[data], starts, ends), return_index=True, return_inverse=True)
-        emission = self.emissions(data, starts[pick], ends[pick])[back]
+        lower = Block(0, LOWER[block.data], block.offsets)
+        _, pick, back = np.unique(lower.hashes(starts, ends), return_index=True, return_inverse=True)
+        words = self.emissions(*_compact(lower.data, starts[pick], ends[pick]))
         sizes = np.diff(bounds)
         chains = -(-sizes // CHAIN)
         text = np.repeat(np.arange(len(block)), chains)
         number = np.arange(len(text)) - np.repeat(np.concatenate(([0], np.cumsum(chains)))[:-1], chains)
         begin = bounds[text] + number * CHAIN
         length = np.minimum(bounds[text + 1] - begin, CHAIN)
-        word = np.minimum(begin[:, None] + np.arange(CHAIN), len(starts) - 1)
-        post = _forward_backward(emission[word], length, self.start, self.move)
-        used = np.arange(CHAIN) < length[:, None]
-        best = post.argmax(axis=2)
-        for y in range(k):
-            mean[:, y] = np.bincount(text, weights=(post[:, :, y] * used).sum(axis=1), minlength=len(block))
-            counts[:, y] = np.bincount(text, weights=((best == y) & used).sum(axis=1), minlength=len(block)).astype(np.int64)
+        for at in range(0, len(text), PART_CHAINS):
+            part = slice(at, at + PART_CHAINS)
+            word = np.minimum(begin[part, None] + np.arange(CHAIN), len(starts) - 1)
+            post = _forward_backward(words[back[word]], length[part], self.start, self.move)
+            used = np.arange(CHAIN) < length[part, None]
+            best = post.argmax(axis=2)
+            for y in range(k):
+                mean[:, y] += np.bincount(text[part], weights=(post[:, :, y] * used).sum(axis=1), minlength=len(block))
+                counts[:, y] += np.bincount(text[part], weights=((best == y) & used).sum(axis=1), minlength=len(block)).astype(np.int64)
         return mean / np.maximum(sizes, 1)[:, None], counts
 
 
@@ -198,7 +213,7 @@ def _predict(shared, text_field: str | None):
                 lang[at], score[at], counts[at] = mean.argmax(axis=1), mean.max(axis=1), own
             words = [[{"lang": names[y], "words": int(row[y])} for y in np.flatnonzero(row)] for row in counts]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([names[y] for y in lang], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(words, kind)], names=["row", "lang_pred", "score", "labelled"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("letters"), pa.array([names[y] for y in lang], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(words, kind)], names=["row", "letters", "lang_pred", "score", "labelled"])
 
     return run
 
@@ -209,43 +224,56 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """About FIT_DOCS whole texts of each language, chosen by a hash of the id."""
-    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= FIT_BYTES))
-    usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    """FIT_DOCS texts of each language, or all there are, chosen by a hash of id and text; of long ones, windows of FIT_CHARS in all."""
+    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return [], []
+    # twice as many pass the hash as are wanted, so that the ranks below have few rows to sort
     share = F.lit(0)
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, FIT_DOCS / n))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < share).orderBy("id", "text", "lang").limit(2 * FIT_DOCS * len(sizes))
-    rows = chosen.collect()
+        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, 2 * FIT_DOCS / n))).otherwise(share)
+    usable = usable.withColumn("draw", F.xxhash64("id", "text", F.lit(SEED))).filter(F.pmod("draw", F.lit(1_000_000)) < share)
+    size, part = F.length("text"), FIT_CHARS // FIT_WINDOWS
+    windows = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda i: F.substring("text", (i * (size - part) / (FIT_WINDOWS - 1)).cast("int") + 1, F.lit(part)))
+    usable = usable.withColumn("text", F.when(size > FIT_CHARS, F.array_join(windows, " ")).otherwise(F.col("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    rows = usable.withColumn("rank", rank).filter(F.col("rank") <= FIT_DOCS).orderBy("lang", "rank").select(F.col("text").cast("binary").alias("text"), "lang").collect()
     return [bytes(r["text"]) for r in rows], [r["lang"] for r in rows]
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
     """All columns of docs but text and language (these too with keep), with lang_pred, score and labelled (words by language).
 
-    Learns from rows that are not held out and have a text and a language. A
-    text that is null or has no letter gets ``und`` and score 0, as do all
-    texts where nothing can be learnt. Predictions see the text alone: equal
-    texts get equal results. An empty table gives an empty one.
+    Learns from rows that are not held out and have a text and a language: a
+    bounded sample of FIT_DOCS texts of each language, of at most FIT_CHARS
+    characters each, taken from all over longer texts. A text that is null or
+    has no letter gets ``und`` and score 0, as do all texts where nothing can be
+    learnt. Texts of any length are read whole, in chains. Predictions see the
+    text alone: equal texts and repeated rows get equal results; of languages
+    with the same score the first by code point is taken. Null ids are ids like
+    others. Columns named lang_pred, score or labelled, in any case, are
+    replaced. An empty table gives an empty one. More than MOST_LANGUAGES
+    distinct languages are a ValueError.
     """
     spark = docs.sparkSession
     texts, labels = training_rows(docs, id_col, text_col, lang_col)
     model = fit(texts, labels)
-    others = [c for c in docs.columns if keep or c not in (text_col, lang_col)]
-    row = F.struct(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False)).alias("_letters"))
-    rows = docs.select(row.alias("row"), *([] if keep else [F.col(f"`{text_col}`").cast("binary").alias("text")]))
+    others = [c for c in docs.columns if (keep or c not in (text_col, lang_col)) and c.lower() not in ("lang_pred", "score", "labelled")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
+    letters = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False)).alias("letters")
+    rows = docs.select(row, letters, *([] if keep else [F.col(f"`{text_col}`").cast("binary").alias("text")]))
     labelled = "array<struct<lang: string, words: long>>"
     if model is None:
-        out = rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(labelled).alias("labelled"))
+        out = rows.select("row", "letters", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(labelled).alias("labelled"))
     else:
-        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), text_col if keep else None), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, labelled {labelled}")
-    known = F.col("row._letters")
+        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), text_col if keep else None), f"row {rows.schema['row'].dataType.simpleString()}, letters boolean, lang_pred string, score double, labelled {labelled}")
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in others],
-        F.when(known, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(known, F.col("score")).otherwise(0.0).alias("score"),
+        F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
         "labelled",
     )
