@@ -14,13 +14,15 @@ sequence also starts anywhere else, in the same text or another one.
    place is kept. Runs of such places that follow each other are the recurring
    passages, and each recurring window lies in exactly one of them.
 3. Automata. Texts are dealt over shards of about ``SHARD_BYTES`` bytes, and a
-   text's passages go to the shards where one of its windows occurs. In a
+   passage goes to the shards where one of its windows occurs. In a
    shard, the first ``PATTERN`` words of every ``GRID`` words of a passage go
    into an automaton: any window holds one of these patterns whole. All of the
    shard's texts stream through it, each hit is extended while passage and text
    agree, and a run of ``WINDOW`` words or more is removed.
 
-Windows are told apart by 64-bit hashes of their words.
+Windows, and texts with the same words, are told apart by two independent
+64-bit hashes of their words: of 10**13 windows, two different ones agree in
+both with a probability under 10**-12.
 """
 
 from __future__ import annotations
@@ -30,17 +32,23 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .words import Block, blocks, full_runs, run_hash, span_hash
+from .words import Block, blocks, full_runs, mix, run_hash, span_hash
 
 WINDOW = 35
 ANCHOR = 8
 GRID = 24
 PATTERN = 12
 SHARD_BYTES = 4 << 20
+OUT = ("n_words", "removed", "kept_sha256")
+
+
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the words, for the second hash of what they make up."""
+    return mix(hashes ^ np.uint64(0xA0761D6478BD642F))
 
 
 def _sliding(x: np.ndarray, n: int, pick, pad) -> np.ndarray:
@@ -67,14 +75,15 @@ def _anchor_lists(window: int):
     def run(batches):
         for batch in batches:
             out = [[]] * batch.num_rows
-            content = np.zeros(batch.num_rows, dtype=np.int64)
+            content, content2 = np.zeros((2, batch.num_rows), dtype=np.int64)
             for block in blocks(batch.column("text")):
                 starts, ends, bounds = block.words()
                 hashes = block.hashes(starts, ends)
                 at, least, runs = _window_anchors(hashes, bounds, window)
                 if not len(at):
                     continue
-                content[block.first : block.first + len(block)] = span_hash(hashes, bounds[:-1], bounds[1:]).view(np.int64)
+                for x, y in ((content, hashes), (content2, _second(hashes))):
+                    x[block.first : block.first + len(block)] = span_hash(y, bounds[:-1], bounds[1:]).view(np.int64)
                 # a run is an anchor if it is the least of some window that holds it
                 by_start = np.zeros(len(runs), dtype=np.uint64)
                 by_start[at] = least
@@ -86,7 +95,7 @@ def _anchor_lists(window: int):
                 for k in range(len(block)):
                     if cut[k + 1] > cut[k]:
                         out[block.first + k] = anchors[cut[k] : cut[k + 1]]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(content), pa.array(out, pa.list_(pa.int64()))], names=["key", "content", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(content), pa.array(content2), pa.array(out, pa.list_(pa.int64()))], names=["key", "content", "content2", "anchors"])
 
     return run
 
@@ -124,12 +133,12 @@ def _sorted_out(digest: bool):
 
 
 def _windows(window: int):
-    """For each text, the windows whose anchors recur: word positions and hashes."""
+    """For each text, the windows whose anchors recur: word positions and both hashes."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            places, hashes = [[]] * n, [[]] * n
+            places, hashes, hashes2 = [[]] * n, [[]] * n, [[]] * n
             lists = batch.column("anchors")
             for block in blocks(batch.column("text")):
                 starts, ends, bounds = block.words()
@@ -137,7 +146,7 @@ def _windows(window: int):
                 at, least, _ = _window_anchors(words, bounds, window)
                 if not len(at):
                     continue
-                whole = run_hash(words, window)[at].view(np.int64)
+                whole, whole2 = (run_hash(x, window)[at].view(np.int64) for x in (words, _second(words)))
                 cut = np.searchsorted(at, bounds)
                 for k in range(len(block)):
                     a, b = cut[k], cut[k + 1]
@@ -145,24 +154,28 @@ def _windows(window: int):
                     if len(good):
                         places[block.first + k] = (at[a:b][good] - bounds[k]).astype(np.int32)
                         hashes[block.first + k] = whole[a:b][good]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("weight"), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "weight", "places", "hashes"])
+                        hashes2[block.first + k] = whole2[a:b][good]
+            columns = [pa.array(x, pa.list_(t)) for x, t in ((places, pa.int32()), (hashes, pa.int64()), (hashes2, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("weight"), *columns], names=["key", "weight", "place", "hash", "hash2"])
 
     return run
 
 
 def _passages(window: int):
-    """The words of a text's passages."""
+    """The words of a text's passages, each with its run number: first place less rank of that place."""
 
     def run(batches):
         for batch in batches:
-            keys, texts = [], []
+            keys, runs, texts = [], [], []
             for key, text, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
                 words = text.as_buffer().to_pybytes().split()
-                own = np.unique(found.values.to_numpy())
+                own, rank = np.unique(found.values.to_numpy()), 1
                 for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
                     keys.append(key)
+                    runs.append(int(part[0]) - rank)
                     texts.append(b" ".join(words[part[0] : part[-1] + window]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["key", "text"])
+                    rank += len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.int32()), pa.array(texts, pa.binary())], names=["key", "run", "text"])
 
     return run
 
@@ -248,27 +261,32 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
 
     The text column is replaced by the kept words, joined by one space; with
     digest, it goes and kept_sha256 has their SHA-256 instead. A null text has
-    no words. Texts shorter than a window lose nothing. A row that occurs
-    twice is two places, so that its windows recur. Other columns go through
-    unread. An empty table gives an empty one.
+    no words and stays null. Texts shorter than a window lose nothing, longer
+    ones are read whole, whatever their length. A row that occurs twice is two
+    places, so that its windows recur; of equal texts none is preferred. Other
+    columns, null ids among them, go through unread, but those named n_words,
+    removed or kept_sha256, in any case, are replaced. An empty table gives an
+    empty one.
     """
     work = Workspace(docs.sparkSession, "phrase-automata")
-    others = [c for c in docs.columns if c != text_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").isNull().alias("_no_text"))
+    others = [c for c in docs.columns if c != text_col and c.lower() not in OUT]
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("of")] if others else []))
     docs = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     docs = docs.withColumn("key", F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}), "text"))
     kind = docs.schema["row"].dataType.simpleString()
 
-    anchors = work.table(docs.select("key", "text").mapInArrow(_anchor_lists(window), "key long, content long, anchors array<long>").filter(F.size("anchors") > 0), "anchors")
-    copies = anchors.groupBy("content").agg(F.count("*").alias("n"), F.min("key").alias("head")).filter("n > 1").select("content", "head")
+    anchors = work.table(docs.select("key", "text").mapInArrow(_anchor_lists(window), "key long, content long, content2 long, anchors array<long>").filter(F.size("anchors") > 0), "anchors")
+    content = ["content", "content2"]
+    copies = anchors.groupBy(*content).agg(F.count("*").alias("n"), F.min("key").alias("head")).filter("n > 1").select(*content, "head")
     weight = F.when(F.col("head").isNull(), 1).when(F.col("head") == F.col("key"), 2).otherwise(0)
-    marked = work.table(anchors.join(copies, "content", "left").select("key", weight.alias("weight"), F.when(weight > 0, F.col("anchors")).alias("anchors")), "marked")
+    marked = work.table(anchors.join(copies, content, "left").select("key", weight.alias("weight"), F.when(weight > 0, F.col("anchors")).alias("anchors")), "marked")
     work.drop(anchors)
     each = marked.select("key", "weight", F.explode("anchors").alias("anchor"))
-    recurring = each.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor")
+    # a table of its own, so that Spark can split the places of a frequent anchor when they are joined
+    recurring = work.table(each.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor"), "recurring")
     hits = each.join(recurring, "anchor").groupBy("key").agg(F.max("weight").alias("weight"), F.collect_set("anchor").alias("anchors"))
     hits = work.table(hits.union(marked.filter("weight = 0").select("key", "weight", "anchors").distinct()), "hits")
-    work.drop(marked)
+    work.drop(marked, recurring)
     sorted_ = docs.join(hits, "key", "left").select("row", "key", "weight", "text", "anchors")
     sorted_ = work.table(sorted_.mapInArrow(_sorted_out(digest), f"row {kind}, key long, weight int, anchors array<long>, n_words long, kept string, text binary"), "sorted")
     work.drop(hits)
@@ -276,16 +294,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     shards = 1 + int((open_.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
 
-    windows = sorted_.filter("weight > 0").select("key", "weight", "text", "anchors").mapInArrow(_windows(window), "key long, weight int, places array<int>, hashes array<long>")
-    each = windows.select("key", "weight", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("key", "weight", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
-    found = each.groupBy("hash").agg(F.sum("weight").alias("n"), F.min_by("place", "key").alias("place"), F.min("key").alias("key")).filter("n > 1")
-    found = work.table(found.select("hash", "key", "place"), "windows")
+    windows = sorted_.filter("weight > 0").select("key", "weight", "text", "anchors").mapInArrow(_windows(window), "key long, weight int, place array<int>, hash array<long>, hash2 array<long>")
+    each = windows.select("key", "weight", F.explode(F.arrays_zip("place", "hash", "hash2")).alias("w")).select("key", "weight", "w.*")
+    hashes = ["hash", "hash2"]
+    found = each.groupBy(*hashes).agg(F.sum("weight").alias("n"), F.min(F.struct("key", "place")).alias("at")).filter("n > 1")
+    found = work.table(found.select(*hashes, "at.key", "at.place"), "windows")
     places = found.groupBy("key").agg(F.collect_set("place").alias("places"))
     passages = sorted_.filter("weight > 0").select("key", "text").dropDuplicates(["key"]).join(places, "key").select("key", "text", "places")
-    passages = passages.mapInArrow(_passages(window), "key long, text binary")
-    routes = each.filter("weight = 1").select("hash", shard.alias("shard")).join(found.select("hash", "key"), "hash").select("key", "shard").distinct()
+    passages = passages.mapInArrow(_passages(window), "key long, run int, text binary")
+    # neighbouring places have the same run number; a text's places are its own words, so a window over them is bounded by it
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("place"))
+    runs = work.table(found.select(*hashes, "key", (F.col("place") - rank).cast("int").alias("run")), "runs")
+    routes = each.filter("weight = 1").select(*hashes, shard.alias("shard")).join(runs, hashes).select("key", "run", "shard").distinct()
 
-    patterns = passages.join(routes, "key")
+    patterns = passages.join(routes, ["key", "run"])
     texts = open_.select(shard.alias("shard"), F.lit(True).alias("is_doc"), "row", "text")
     both = patterns.select("shard", F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("row"), "text").union(texts)
     located = both.repartition("shard").sortWithinPartitions("shard", "is_doc").mapInArrow(_locate(window, digest), f"row {kind}, n_words long, removed array<struct<first: long, end: long>>, kept string")
@@ -293,10 +315,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     whole = F.when(F.col("weight").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))).otherwise(F.array().cast(spans))
     done = sorted_.filter("weight IS NULL OR weight <> 1").select("row", "n_words", whole.alias("removed"), "kept")
     out = done.union(located)
-    cols = [F.col(f"row.`{c}`").alias(c) for c in others]
+    cols = [F.col(f"row.of.`{c}`").alias(c) for c in others]
     if digest:
         return out.select(*cols, "n_words", "removed", F.col("kept").alias("kept_sha256"))
-    return out.select(*cols, F.when(~F.col("row._no_text"), F.col("kept")).alias(text_col), "n_words", "removed")
+    return out.select(*cols, F.when(~F.col("row.no_text"), F.col("kept")).alias(text_col), "n_words", "removed")
 
 
 def removed_words(spans: str = "removed"):
