@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..storage import Workspace
+from .grid import open_blocks
 from .words import LOWER, Block, blocks, full_runs, run_hash, span_hash
 
 SHINGLE = 5
@@ -302,34 +303,12 @@ def _region_pairs(regions: DataFrame) -> DataFrame:
     return _pairs(near.select(F.col("x.id").alias("a"), F.col("x.signature").alias("sa"), F.col("y.id").alias("b"), F.col("y.signature").alias("sb")))
 
 
-def _blocked(rows: DataFrame, weight: Column, full: float, work: Workspace, *columns: str) -> DataFrame:
-    """(region, x, y) for each two blocks of a region whose rows are to be compared; rows have (region, id, component).
-
-    Blocks hold rows of about ``full`` weight. Those of the region's largest
-    component have the last numbers and are met by the others alone.
-    """
-    sizes = rows.groupBy("region", "component").agg(F.sum(weight).alias("mass"))
-    plan = sizes.groupBy("region").agg(F.max(F.struct("mass", "component")).alias("top"), F.sum("mass").alias("mass"))
-    rest = F.col("mass") - F.col("top.mass")
-    plan = plan.filter(rest > 0).select("region", F.col("top.component").alias("largest"), F.ceil(rest / full).alias("open"), F.ceil(F.col("top.mass") / full).alias("closed"))
-    plan = work.table(plan, "plan")
-    number = F.xxhash64("id")
-    block = F.when(F.col("component") == F.col("largest"), F.col("open") + F.pmod(number, "closed")).otherwise(F.pmod(number, "open"))
-    packed = rows.join(plan, "region").withColumn("block", block).groupBy("region", "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    packed = work.table(packed, "blocks")
-    pairs = plan.withColumn("bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("open") - 1)))
-    pairs = pairs.select("region", "bx", F.explode(F.sequence("bx", F.col("open") + F.col("closed") - 1)).alias("by"))
-    for c in "xy":
-        pairs = pairs.hint("merge").join(packed.select("region", F.col("block").alias(f"b{c}"), F.col("rows").alias(c)), ["region", f"b{c}"])
-    return pairs.select("region", "x", "y")
-
-
 def _region_links(regions: DataFrame, placed: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     """Links (u, v) that unite the components of each large region as far as its full sets do."""
     large = regions.filter(F.col("rows") > REGION_ROWS)
-    wanted = _blocked(large, F.lit(1), BLOCK_ROWS, work, "id", "component", "signature").mapInArrow(_like_rows, "region long, id long").distinct()
+    wanted = open_blocks(large, ["region"], F.lit(1), BLOCK_ROWS, work, "id", "component", "signature").mapInArrow(_like_rows, "region long, id long").distinct()
     full = work.table(wanted.join(placed.select("id", "n", "component"), "id").hint("merge").join(sets, "id"), "wanted")
-    links = _blocked(full, F.greatest("n", F.lit(LEAST_SHINGLES)), BLOCK_SHINGLES, work, "id", "component", "shingles")
+    links = open_blocks(full, ["region"], F.greatest("n", F.lit(LEAST_SHINGLES)), BLOCK_SHINGLES, work, "id", "component", "shingles")
     return work.table(links.mapInArrow(_linked_rows, "u long, v long"), "links")
 
 

@@ -8,9 +8,11 @@ first b bits with probability (1 - angle / pi) ** b, and b is what brings as
 many vectors together as the window holds.
 
 Vectors that are equal are one class from the start. Dense groups outgrow any
-window, so links are counted afterwards: inside each component all classes are
-compared in blocks, without listing their pairs. Cosines are in double
-precision throughout.
+window, so two things follow. Runs of vectors that share those b bits and are
+more than the window holds are compared whole, rows outside the run's largest
+component with all. And links are counted inside each component, all classes
+with all. Both go block against block, each two blocks a row that any task can
+take, and list no pairs. Cosines are in double precision throughout.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components, uniting
 from ..storage import Workspace
+from .grid import all_blocks, open_blocks
 
 LIMIT = 0.95
 BITS = 48
@@ -110,7 +113,7 @@ def _near(x: np.ndarray, ids: np.ndarray, fresh: int, limit: float) -> tuple[np.
 
 
 def _scan(limit: float):
-    """Links inside a sorted partition, and its first and last rows for the comparison over its borders."""
+    """Links inside a sorted partition, as many as unite its rows, and its first and last rows for the comparison over its borders."""
 
     def edge(rows: pa.RecordBatch, border: int, side: int) -> pa.RecordBatch:
         n = rows.num_rows
@@ -134,6 +137,8 @@ def _scan(limit: float):
                     continue
                 part = rows.slice(a, b - a)
                 u, v = _near(_unit(part.column("vec").to_pylist()), part.column("id").to_numpy(), max(old - a, 0), limit)
+                used = uniting(u.tolist(), v.tolist())
+                u, v = u[used], v[used]
                 none = pa.nulls(len(u), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none, none, pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], schema=_SCAN_ARROW)
             tail = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
@@ -198,11 +203,9 @@ def _run_links(nodes: DataFrame, keyed: DataFrame, label: DataFrame, bits: int,
     keys = keyed.select("pass", "dim", F.shiftright("key", BITS - bits).alias("run"), "id").join(nodes.select("id", "component"), "id")
     keys = work.table(keys, "keys")
     crowds = keys.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    crowds = crowds.filter(f"n > {NEIGHBOURS + 1} AND low <> high").select(*run, F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = keys.join(crowds, run).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(nodes.select("id", "vec"), "id")
-    packed = work.table(rows.groupBy(*run, "block").agg(F.collect_list(F.struct("id", "component", "vec")).alias("rows")), "runs")
-    x, y = (packed.select(*run, F.col("block").alias(f"b{c}"), F.col("rows").alias(c)) for c in "xy")
-    return work.table(x.join(y, run).filter("bx <= by").select("x", "y").mapInArrow(_unite(limit), "u long, v long"), "links")
+    crowds = crowds.filter(f"n > {NEIGHBOURS + 1} AND low <> high").select(*run)
+    rows = work.table(keys.join(crowds, run).join(nodes.select("id", "vec"), "id"), "runs")
+    return work.table(open_blocks(rows, run, F.lit(1), BLOCK, work, "id", "component", "vec").select("x", "y").mapInArrow(_unite(limit), "u long, v long"), "links")
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", limit: float = LIMIT) -> DataFrame:
@@ -210,9 +213,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link
     with nothing, and so do rows without an id (component_id null, kept).
-    Vectors of different lengths are not compared. Repeated rows are vectors
-    of their own with a common id. Other columns, whatever their names, are
-    not read. An empty table gives an empty one.
+    Vectors of different lengths, however long, are not compared. Repeated rows
+    are vectors of their own with a common id; equal vectors all link. Other
+    columns, whatever their names, are not read. An empty table gives an empty
+    one.
     """
     spark = rows.sparkSession
     work = Workspace(spark, "projection-passes")
@@ -236,11 +240,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     roots = label.select(F.col("component").alias("node"), "component").distinct()
     placed = work.table(nodes.join(label.union(roots), F.col("id") == F.col("node")).select("id", "n", "vec", "component"), "placed")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    packed = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = work.table(packed.groupBy("component", "block").agg(F.collect_list(F.struct("id", "n", "vec")).alias("rows")), "blocks")
-    x, y = packed.select("component", F.col("block").alias("bx"), F.col("rows").alias("x")), packed.select("component", F.col("block").alias("by"), F.col("rows").alias("y"))
-    counted = x.join(y, "component").select("x", "y", (F.col("bx") == F.col("by")).alias("same")).mapInArrow(_count(limit), "id long, links long")
+    counted = all_blocks(placed, ["component"], BLOCK, work, "id", "n", "vec").select("x", "y", "same").mapInArrow(_count(limit), "id long, links long")
     counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
 
     heads = classes.select("mark1", "mark2", F.col("head"), F.col("n").alias("copies"))
