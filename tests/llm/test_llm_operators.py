@@ -265,3 +265,61 @@ def test_packed_ids_are_the_librarys(spark, sf):
     for rows in filled.values():
         rows.sort()
         assert [a for a, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and sum(n for _, n in rows) <= 2048
+
+
+CLASHES = ["score", "Labelled", "_letters", "lang_pred", "n_words", "Removed", "kept_sha256", "_no_text", "text2", "key", "weight", "no_text", "of", "vec", "size", "target", "taken", "matches", "n_tokens", "kept", "component_id"]
+
+
+@pytest.mark.parametrize("k", range(len(OPERATORS)))
+def test_clashing_names(spark, k):
+    """Inputs with the names of results and of intermediate columns: no column comes out twice."""
+    rows = [(i, f"these words are number {i} of them " * 12, "en", "a") for i in range(6)] + [(6, None, None, None)]
+    docs = documents(spark, rows).withColumns({c: F.lit(7) for c in CLASHES})
+    out = OPERATORS[k](spark, docs)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert len(out.select(*[f"`{c}`" for c in out.columns]).collect()) == 7
+
+
+def test_vectors_with_clashing_names(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(7) for c in ("id", "vec", "n_links", "component_id", "kept", "mark1", "head")})
+    got = sorted((x.vec_id or 0, x.n_links, x.component_id) for x in projection_passes.near_vectors(df).collect())
+    assert got == [(0, 0, None), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_a_language_of_long_texts_is_learnt(spark):
+    """All texts of one language are longer than the training bound, and only its later parts tell it apart."""
+    r = random.Random(0)
+    words = {"aa": "the and of with house".split(), "bb": "der und von mit haus".split()}
+    rows = [(i, " ".join(r.choices(words["aa"], k=40)), "aa", "s") for i in range(40)]
+    rows += [(40 + i, "99 " * 20_000 + " ".join(r.choices(words["bb"], k=20_000)), "bb", "s") for i in range(12)]
+    rows += [(60 + i, " ".join(r.choices(words["bb"], k=40)), None, "s") for i in range(8)]
+    got = {x.doc_id: x.lang_pred for x in crf_language.identify_language(documents(spark, rows)).collect()}
+    assert got == {i: "aa" if i < 40 else "bb" for i, *_ in rows}
+
+
+def test_too_many_languages(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        crf_language.identify_language(docs)
+
+
+def test_long_texts(spark):
+    """A text of 6 MB goes through all operators whole."""
+    words = [f"w{i % 5003}" for i in range(1_000_000)]
+    text = " ".join(words)
+    docs = documents(spark, [(1, text, "en", "a"), (2, "short text of the same language", "en", "a")])
+    assert {x.doc_id: x.n_words for x in phrase_automata.remove_repeats(docs).collect()} == {1: 1_000_000, 2: 6}
+    assert {x.doc_id: x.n_shingles for x in minhash_forest.near_duplicates(docs).collect()} == {1: 5003, 2: 2}
+    assert {x.doc_id: sum(y.words for y in x.labelled) for x in crf_language.identify_language(docs).collect()} == {1: 1_000_000, 2: 6}
+    assert {x.doc_id: x.size for x in mixing.mix_sources(docs).collect()} == {1: 1_000_000, 2: 6}
+    assert sum(x.length for x in packing.pack_documents(docs).collect() if x.doc_id == 1) > 1_000_000
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_forest", "op3_projection_passes", "op5_phrase_automata", "op6_water_filling"])
+def test_queries_equal_their_sql(spark, sf, name):
+    from compare import connect, same
+
+    from tidemark.llm import queries
+
+    assert same(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE_SQL[name]) > 0
