@@ -4,8 +4,9 @@ Every document gets the counts behind common quality rules. Two of them reject
 at once; for the rest an isolation forest judges the counts as rates: a
 document that random splits separate early from a sample of all documents is
 an anomaly. The forest is fitted on a bounded sample of the documents that the
-rules pass, and its threshold is where a bounded sample of labelled ones is
-told apart best while at most ``LOSS`` of its good rows fall. Repeated lines
+rules pass, and its threshold is where all labelled ones are told apart best
+while at most ``LOSS`` of the good rows fall: scores are counted in ``LEVELS``
+steps, so that only these counts reach the driver. Repeated lines
 and words are left to the rules: among the forest's rates they would set clean
 short texts apart.
 """
@@ -24,9 +25,10 @@ from .words import SPACE, blocks, full_runs, run_hash
 
 TREES = 128
 TREE_ROWS = 64
-#: Documents that are read for fitting and labelled ones for the threshold, about so many at most.
+#: Documents that the forest is fitted on, at most.
 FIT_ROWS = 8192
-THRESHOLD_ROWS = 8192
+#: Steps of the scores, which lie between 0 and 1.
+LEVELS = 10_000
 #: Share of labelled good rows that the threshold may reject.
 LOSS = 0.005
 SEED = 29
@@ -164,65 +166,85 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(float(_average_path(self.rows)), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float:
-    """The score from which rows are rejected: bad rows above less good rows above is greatest, and few good ones are."""
-    if good.all() or not good.any():
-        return float(np.quantile(scores, 1 - loss)) + 1e-9 if len(scores) else 2.0
-    levels = np.unique(scores)
-    bad_above = 1 - np.searchsorted(np.sort(scores[~good]), levels) / (~good).sum()
-    good_above = 1 - np.searchsorted(np.sort(scores[good]), levels) / good.sum()
+def threshold(scores: np.ndarray, good: np.ndarray, loss: float = LOSS, counts: np.ndarray | None = None) -> float:
+    """The score from which rows are rejected: bad rows above less good rows above is greatest, and few good ones are.
+
+    counts is the number of rows behind each score, 1 if it isn't given. Where
+    all rows are of one kind, the share ``loss`` of them is rejected at most.
+    """
+    if not len(scores):
+        return 2.0
+    counts = np.ones(len(scores)) if counts is None else counts
+    levels, at = np.unique(scores, return_inverse=True)
+    above = [np.bincount(at[k], weights=counts[k], minlength=len(levels))[::-1].cumsum()[::-1] for k in (good, ~good)]
+    if not above[0][0] or not above[1][0]:
+        above[0] = above[1] = above[0] + above[1]
+    good_above, bad_above = (x / x[0] for x in above)
     allowed = np.flatnonzero(good_above <= loss)
     if not len(allowed):
         return 2.0
-    k = allowed[np.argmax((bad_above - good_above)[allowed])]
-    return float(levels[k])
+    if above[0] is above[1]:
+        return float(levels[allowed[0]])
+    return float(levels[allowed[np.argmax((bad_above - good_above)[allowed])]])
 
 
 def _rejects_at_once() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _judge(forest: IsolationForest, limit: float):
+def _judge(forest: IsolationForest):
     def run(batches):
         for batch in batches:
             counts = np.column_stack([batch.column(c).to_numpy() for c in COUNTS]) if batch.num_rows else np.zeros((0, len(COUNTS)), dtype=np.int64)
             scores = forest.score(rates(counts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores < limit)], names=[*batch.schema.names, "anomaly", "normal"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "anomaly"])
 
     return run
 
 
-def _sample(rows: DataFrame, least: int, salt: int) -> np.ndarray:
-    """Rows (good, COUNTS...), about so many at most, chosen by a hash of the id."""
+def _sample(rows: DataFrame, most: int) -> np.ndarray:
+    """COUNTS of at most so many rows, those with the least hash of id and counts."""
     n = rows.count()
-    share = min(1.0, least / max(n, 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    got = chosen.select("id", "good", *COUNTS).orderBy("id").limit(2 * least).toPandas()
-    return got[["good", *COUNTS]].to_numpy(dtype=np.int64)
+    chosen = rows.withColumn("draw", F.xxhash64("id", *COUNTS, F.lit(SEED)))
+    if n > 2 * most:  # so that few rows are ranked
+        chosen = chosen.filter(F.pmod("draw", F.lit(1_000_000)) < int(2_000_000 * most / n) + 1)
+    return chosen.orderBy("draw", *COUNTS).limit(most).select(*COUNTS).toPandas().to_numpy(dtype=np.int64)
+
+
+def _limit(scored: DataFrame, labels: DataFrame, loss: float) -> int:
+    """The step of the scores from which rows are rejected, by all labelled rows; without any, by all rows."""
+    level = F.floor(F.col("anomaly") * LEVELS).cast("int").alias("level")
+    for rows in (scored.join(labels, "id").select(level, "good"), scored.select(level, F.lit(1).alias("good"))):
+        steps = rows.groupBy("level", (F.col("good") == 1).alias("good")).count().toPandas()
+        if len(steps):
+            break
+    limit = threshold(steps["level"].to_numpy(), steps["good"].to_numpy(dtype=bool), loss, steps["count"].to_numpy(dtype=np.float64))
+    return int(limit) if limit != 2.0 or 2 in set(steps["level"]) else LEVELS + 1
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", loss: float = LOSS) -> DataFrame:
     """One row for each row of docs: id, COUNTS, base_failed, anomaly, kept.
 
-    Null and empty texts have no words and so fail. labels holds ids with a
-    label, 1 for good; null ids and labels are not used, and of an id with
-    several labels the least counts. Where no row passes the base rules, they
-    alone decide; without labels the threshold is a quantile of the scores. Other columns, whatever their
-    names, are not read. An empty table gives an empty one.
+    Null and empty texts have no words and so fail. Texts are counted whole,
+    however long. labels holds ids with a label, 1 for good; null ids and
+    labels are not used, and of an id with several labels the least counts.
+    Where no row passes the base rules, they alone decide; without labels the
+    threshold is a quantile of the scores. Rows of equal counts get equal
+    verdicts, repeated rows among them; a null id is judged like others. Other
+    columns, whatever their names, are not read. An empty table gives an empty
+    one.
     """
     work = Workspace(docs.sparkSession, "isolation-rules")
     counted = work.table(rule_counts(docs, id_col, text_col), "counts")
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good"))
-    passed = counted.filter(~_rejects_at_once())
-    fit = _sample(passed.withColumn("good", F.lit(1)), FIT_ROWS, 1)
-    check = _sample(passed.join(marked, "id"), THRESHOLD_ROWS, 2)
     base = _rejects_at_once()
+    fit = _sample(counted.filter(~base), FIT_ROWS)
     if not len(fit):
         out = counted.withColumn("anomaly", F.lit(None).cast("double")).withColumn("normal", F.lit(True))
     else:
-        forest = IsolationForest(rates(fit[:, 1:]))
-        check = check if len(check) else fit
-        limit = threshold(forest.score(rates(check[:, 1:])), check[:, 0] == 1, loss)
         kind = counted.schema["id"].dataType.simpleString()
-        out = counted.mapInArrow(_judge(forest, limit), f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double, normal boolean")
+        scored = counted.mapInArrow(_judge(IsolationForest(rates(fit))), f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
+        scored = work.table(scored, "scores")
+        limit = _limit(scored.filter(~base), marked, loss)
+        out = scored.withColumn("normal", F.floor(F.col("anomaly") * LEVELS) < limit)
     return out.select(F.col("id").alias(id_col), *COUNTS, base.alias("base_failed"), "anomaly", (~base & F.col("normal")).alias("kept"))
