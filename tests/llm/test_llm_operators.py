@@ -323,3 +323,13 @@ def test_queries_equal_their_sql(spark, sf, name):
     from tidemark.llm import queries
 
     assert same(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE_SQL[name]) > 0
+
+
+def test_licence_query_finds_what_was_written(spark, tmp_path):
+    from tidemark.llm import queries
+
+    rows = [(1, "Words. Released under the\nMIT License.\n\nMore."), (2, "SPDX-License-Identifier: MIT OR ISC"), (3, "released into the public\ndomain."), (3, "no licence at all"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.n_matches, x.licences, x.spans) for x in queries.op1_license_sentences(spark, str(tmp_path)).collect())
+    expected = [(1, 1, "MIT", "MIT[7:38]mit.name"), (2, 2, "ISC,MIT", "MIT[25:28]spdx ISC[32:35]spdx"), (3, 0, "", ""), (3, 1, "LicenseRef-Public-Domain", "LicenseRef-Public-Domain[0:32]public-domain"), (4, 0, "", "")]
+    assert got == expected

@@ -1,12 +1,16 @@
 """Licence recognition by sentence rules.
 
 Texts are cut into fragments at line ends and sentence ends. Fragments, and
-runs of them up to a sentence's end (a sentence may be wrapped over lines),
-are normalised and looked up among known licence sentences; each gives an
-identifier. The identifiers of a text, in order, are then matched against an
-ordered list of rules: the first rule whose sequence occurs takes its
-sentences, and the search goes on among the rest. Sentences that belong to a
-licence but to no rule are reported as fragments of it.
+runs of them up to a sentence's end (a sentence may be wrapped over any number
+of lines), are normalised and looked up among known licence sentences; each
+gives an identifier, the longest run first. The identifiers of a text, in
+order, are then matched against an ordered list of rules: the first rule whose
+sequence occurs takes its sentences, and the search goes on among the rest.
+Sentences that belong to a licence but to no rule are reported as fragments of
+it. Two things belong to the rules' language: an asterisk in a sentence stands
+for a name or place of up to ``OPEN_WORDS`` words, and up to ``GAP``
+identifiers of other kinds (copyright lines, say) may lie between two
+sentences of a rule.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments that may make up one sentence.
-WRAPPED = 14
+#: Words that an asterisk in a known sentence may stand for.
+OPEN_WORDS = 40
 #: Identifiers of other kinds that may lie between two sentences of a rule.
 GAP = 2
 
-# Known sentences, normalised (see normalise); * stands for up to twelve words.
+# Known sentences, normalised (see normalise); * stands for any words, up to OPEN_WORDS.
 SENTENCES: dict[str, list[str]] = {
     "spdx": ["spdx license identifier *"],
     "copyright": ["copyright c *", "copyright * all rights reserved", "all rights reserved", "copyright 1*", "copyright 2*"],
@@ -117,35 +121,37 @@ RULES: list[tuple[str, list[str]]] = [
     ("LicenseRef-Public-Domain", ["public-domain"]),
 ]
 
-#: Every known sentence holds one of these, so that other texts need not be cut up.
-HINTS = (b"licen", b"copyright", b"rights reserved", b"permission", b"redistribut", b"as is", b"liable", b"you may", b"name of", b"advertising", b"free software", b"gnu", b"public domain", b"mpl", b"warrant", b"anyone is free", b"cc0", b"cc by", b"gpl")
+#: Every known sentence holds a word with one of these, so that other texts need not be cut up. Single words, as a sentence may be wrapped or hyphenated between two.
+HINTS = tuple(w.encode() for w in "licen copyright reserved permission redistribut liable advertising gnu domain warrant anyone cc0 gpl obtain".split())
 
 _MARK = re.compile(r"(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|<!--|dnl|rem)[ \t]?")
 _END = re.compile(r"[.;:!?](?=[\"')\]]*(?:\s|\Z))|\n[ \t]*\n|\Z")
 _OTHER = re.compile(r"[^a-z0-9.*]+")
-_STOP = re.compile(r"\.+(?= |\Z)")
+_STOP = re.compile(r" ?\.+(?= |\Z)")
 _ITEM = re.compile(r"^(?:[0-9]{1,2}|[a-z])[.)]?\s+(?=[a-z])")
 
 
 def normalise(text: str) -> str:
     """Lower case, one spelling of licence, words and version numbers only."""
     text = _OTHER.sub(" ", text.lower().replace("licence", "license")).strip()
-    return _STOP.sub("", text)
+    return _STOP.sub("", text).strip()
 
 
 def _pattern(sentence: str) -> re.Pattern[str]:
     """A known sentence with * as a pattern over normalised text."""
-    out = ""
+    out, first = "", rf"(?:\S+ ){{0,{OPEN_WORDS}}}"
     for i, word in enumerate(sentence.split(" ")):
         if word == "*":
-            out += r"(?: \S+){0,12}" if i else r"(?:\S+ ){0,12}"
+            out += rf"(?: \S+){{0,{OPEN_WORDS}}}" if i else first
         else:
-            out += (" " if i and out != r"(?:\S+ ){0,12}" else "") + re.escape(word).replace(r"\*", r"\S*")
+            out += (" " if i and out != first else "") + re.escape(word).replace(r"\*", r"\S*")
     return re.compile(out + r"\Z")
 
 
 _EXACT = {s: name for name, all_ in SENTENCES.items() for s in all_ if "*" not in s}
 _OPEN = [(_pattern(s), max(s.replace("*", " ").split(), key=len), name) for name, all_ in SENTENCES.items() for s in all_ if "*" in s]
+#: No known sentence has more words; an item's number may stand before it.
+_MOST_WORDS = 1 + max(len(s.split()) + OPEN_WORDS * s.split().count("*") for all_ in SENTENCES.values() for s in all_)
 _LICENCE = {s: licence for licence, parts in reversed(RULES) for s in parts}
 
 
@@ -167,13 +173,16 @@ def known_sentences(text: str) -> list[tuple[str, int, int]]:
     for end in _END.finditer(body):
         lines = list(re.finditer(r"[^\n]+", body[at : end.end()]))
         for k, line in enumerate(lines):
-            pieces.append((at + line.start(), at + line.end(), k == len(lines) - 1))
+            indent = len(line[0]) - len(line[0].lstrip())
+            pieces.append((at + line.start() + indent, at + line.end(), k == len(lines) - 1))
         at = end.end()
+    plain = [normalise(body[a:b]) for a, b, _ in pieces]
+    size = [p.count(" ") + bool(p) for p in plain]
     out, i = [], 0
     while i < len(pieces):
-        best, k = None, i
-        while k < len(pieces) and k < i + WRAPPED:
-            sentence = normalise(body[pieces[i][0] : pieces[k][1]])
+        best, k, words, sentence = None, i, 0, ""
+        while k < len(pieces) and (words := words + size[k]) <= _MOST_WORDS:
+            sentence = f"{sentence} {plain[k]}" if sentence and plain[k] else sentence or plain[k]
             name = sentence_id(sentence) or sentence_id(_ITEM.sub("", sentence))
             if name:
                 best = (name, k)
@@ -214,12 +223,31 @@ def match_rules(names: list[str]) -> list[tuple[str, list[int]]]:
     return sorted(out, key=lambda x: x[1][0])
 
 
-_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+_SPDX_WORD = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.:+-]+)")
+_SPDX_JOINT = ("AND", "OR", "WITH")
 
 
 def spdx_ids(text: str) -> list[tuple[str, int, int]]:
-    """(licence, first character, end) of the licences named by SPDX tags."""
-    return [(m[1], m.start(1), m.end(1)) for m in _SPDX.finditer(text)]
+    """(licence, first character, end) of every licence in the expressions of SPDX tags; an exception stays with its licence."""
+    out = []
+    for tag in _SPDX.finditer(text):
+        at, joint = tag.start(1), "OR"
+        while word := _SPDX_WORD.match(text, at, tag.end(1)):
+            at = word.end()
+            if word[1] in "()":
+                continue
+            if joint:
+                if joint == "WITH":
+                    out[-1] = (f"{out[-1][0]} WITH {word[1]}", out[-1][1], word.end(1))
+                else:
+                    out.append((word[1], word.start(1), word.end(1)))
+                joint = ""
+            elif word[1].upper() in _SPDX_JOINT:
+                joint = word[1].upper()
+            else:
+                break
+    return out
 
 
 def _scan(batches):
@@ -247,9 +275,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of docs: id, matches (licence, first and end character, sentences), licences.
 
     matches is in text order; licences has the distinct names, sorted. Null,
-    empty and other texts without licence sentences have empty lists. Rows are
-    independent and nothing is shuffled. Other columns, whatever their names,
-    are not read. An empty table gives an empty one.
+    empty and other texts without licence sentences have empty lists. Texts are
+    read whole, however long. Of two readings that start at the same place the
+    longer one counts, and of rules that could take a sentence the first. Rows
+    are independent, repeated rows and null ids too, and nothing is shuffled.
+    Other columns, whatever their names, are not read. An empty table gives an
+    empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

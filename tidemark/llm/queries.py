@@ -19,7 +19,8 @@ def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licences
 
     out = scan_licences(_documents(spark, sf_dir))
-    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"))
+    spans = F.transform("matches", lambda m: F.concat(m["licence"], F.lit("["), m["first"], F.lit(":"), m["end"], F.lit("]"), F.array_join(m["sentences"], "+")))
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licences", ",").alias("licences"), F.array_join(spans, " ").alias("spans"))
 
 
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
