@@ -8,6 +8,12 @@
 4. source_mix: documents are taken as often as their source's target asks for,
    each a row, so that a document taken twice is two rows.
 5. packing: the pieces of training sequences.
+
+All stages but the last return the columns of documents; other columns, whatever
+their names, are dropped by the first stage that meets them. Texts of any length
+are read whole. Rows with a null id stay rows of their own; a null text has no
+letters and goes with the first stage. Repeated rows are copies, of which one
+stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from tidemark.llm.minhash_forest import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.phrase_automata import remove_repeats
-from tidemark.storage import Workspace
+from tidemark.storage import Workspace, scratch
 
 #: A text of so many words or more goes if no language has this share of them.
 MIXED_WORDS = 20
@@ -39,10 +45,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id.
+
+    Ids are expected to be unique. If one isn't, rows of one id may be different
+    texts, so each (id, text) is a node of its own and any one of a group stays.
+    """
     ship(spark)
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    numbered = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return numbered.union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    unique = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    key = F.col("doc_id") if unique else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(*COLUMNS, key.alias("_key"))
+    copies = near_duplicates(keyed, id_col="_key").filter("NOT kept").select("_key")
+    kept = keyed.join(copies, "_key", "left_anti")
+    if not unique:
+        kept = kept.filter("_key IS NOT NULL").dropDuplicates(["_key"]).union(kept.filter("_key IS NULL"))
+    return kept.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again."""
+    """All stages over the documents of sf_dir, each written as Parquet and read again; what a stage and its operators wrote goes when the next one is done."""
     work = Workspace(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            then, docs = docs, work.table(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            work.drop(then)
     return docs

@@ -4,19 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: list[list[Workspace]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Workspaces made inside go when the block ends, so what is read later must have been written elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for work in _scratch.pop():
+            work.clear()
+
+
 class Workspace:
     """Tables of one operator run, below the shared folder."""
 
@@ -24,6 +43,9 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []
+        if _scratch:
+            _scratch[-1].append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again: lineage ends here, and a lost executor costs nothing before it."""
@@ -42,14 +64,22 @@ class Workspace:
         df.write.option("path", path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
         out = self.spark.table(table)
         out._tidemark_path, out._tidemark_table = path, table
+        self._tables.append(table)
         return out
 
+    def clear(self) -> None:
+        """Removes all tables."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if hasattr(t, "_tidemark_table"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {t._tidemark_table}")
-            path = jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(t._tidemark_path)
