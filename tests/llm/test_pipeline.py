@@ -76,3 +76,34 @@ def test_empty_table(spark, sf):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, sf):
+    r = "one two three four five six seven eight nine ten".split()
+    texts = {1: [" ".join(r)], 2: [" ".join(r), " ".join(reversed(r))], 3: [" ".join(reversed(r)) + " more", "a text of its own that nothing else repeats"]}
+    rows = [(i, t, "en", "a", len(t)) for i, all_ in texts.items() for t in all_] + [(3, texts[3][1], "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [x.text for x in corpus_pipeline.deduplicated(spark, docs, sf).collect()]
+    assert len(got) == 3 and {texts[1][0], texts[3][1]} < set(got)
+    assert (texts[2][1] in got) != (texts[3][0] in got)  # near copies of each other under two ids
+
+
+def test_clashing_names(spark, sf):
+    rows = [(i, f"these words are number {i} of them " * 12, "en", "a", 10) for i in range(6)] + [(6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, f in corpus_pipeline.STAGES:
+        extra = docs.selectExpr("*", *(f"7 AS {c}" for c in ("score", "labelled", "n_words", "removed", "kept", "_key", "size", "carried", "copy", "id", "component_id")))
+        out = f(spark, extra, sf)
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() > 0
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    import os
+
+    from tidemark.storage import shared_folder
+
+    root = shared_folder(spark).removeprefix("file://") + "/tidemark"
+    before = set(os.listdir(root))
+    n = corpus_pipeline.run(spark, sf).count()
+    new = set(os.listdir(root)) - before
+    assert n > 0 and len(new) == 1 and len(os.listdir(f"{root}/{new.pop()}")) == 1
