@@ -9,10 +9,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, where the application hasn't set them: texts may be long, and a batch is held
+#: by the JVM and by the Python worker at once.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application, and bounds Arrow batches."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     if getattr(context, "_tidemark_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
