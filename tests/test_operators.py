@@ -164,3 +164,19 @@ def test_paired_files_stop_at_the_shorter(spark, tmp_path):
     assert [(r.doc_id, r.seq, r.tokens, r.v) for r in got] == [(1, 0, ["a", "b"], [1.0, 2.0]), (2, 1, ["c"], [3.0, 4.0])]
     with pytest.raises(Exception):
         read_paired(spark, str(tmp_path / "none"), str(tmp_path / "v.csv")).collect()
+
+
+def test_blocks_by_number_and_bytes(spark):
+    from tidemark.config import Settings
+    from tidemark.operators import distances
+
+    rows = spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in range(10)], "pivot_id long, topic_id long, v array<double>")
+    assert distances.blocks_for(rows, Settings()) == 1 and distances.blocks_for(rows.limit(0), Settings()) == 1
+    assert distances.blocks_for(rows, Settings(broadcast_pivots=10)) == 1 and distances.blocks_for(rows, Settings(broadcast_pivots=9)) == 2
+    assert distances.blocks_for(rows, Settings(broadcast_bytes=160)) == 1 and distances.blocks_for(rows, Settings(broadcast_bytes=159)) == 2
+    docs = rows.select((rows.pivot_id + 100).alias("doc_id"), "v")
+    small, large = ({(r.doc_id, r.pivot_id, round(r.dist, 9)) for r in distances.pivot_pairs(docs, rows, s).collect()} for s in (Settings(), Settings(broadcast_bytes=50)))
+    assert small == large and len(small) == 100
+    centers = rows.selectExpr("pivot_id AS cluster_id", "v", "0.5D AS radius")
+    near = [{(r.doc_id, r.cluster_id) for r in distances.within_radius(docs, centers, F.col("radius"), s).collect()} for s in (Settings(), Settings(broadcast_bytes=50))]
+    assert near[0] == near[1] and len(near[0]) > 10

@@ -55,3 +55,16 @@ def test_empty_batch(spark):
     e = TopicStream(spark, Settings(dim=3))
     e.process(spark.createDataFrame([], SCHEMA), 0)
     assert e.table("topic").count() == 0 and e.flush().count() == 0
+
+
+def test_progress_of_each_batch(spark):
+    e = TopicStream(spark, Settings(dim=3, check=4))
+    e.process(spark.createDataFrame(events()[:7], SCHEMA), 0)
+    assert [{k: v for k, v in p.items() if k != "seconds"} for p in e.progress] == [{"batch_id": 0, "documents": 7, "matched": 0, "merged": 0, "expired": 0, "born": 1}]
+
+
+def test_clusters_that_no_one_joins_are_forgotten(spark):
+    e = TopicStream(spark, Settings(dim=3, check=4, retention=3))
+    lone = [(i, "publish", i, ["x"], v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0]])]
+    e.process(spark.createDataFrame(lone, SCHEMA), 0)
+    assert sorted(r.doc_id for r in e.table("residual").collect()) == [1, 2, 3]

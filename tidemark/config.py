@@ -28,6 +28,7 @@ class Settings:
     no_distance: float = 1e6  #: stands for a distance that does not exist
     #: Pivots that are sent to all executors at once; beyond it both sides are dealt in blocks.
     broadcast_pivots: int = 50_000
+    broadcast_bytes: int = 64 << 20  #: the same, for their vectors
 
     @property
     def first_radius(self) -> float:

@@ -21,23 +21,32 @@ def with_norm(rows: DataFrame) -> DataFrame:
     return rows.withColumn("norm", norm(F.col("v")))
 
 
+def blocks_for(rows: DataFrame, settings: Settings) -> int:
+    """In how many blocks rows with vectors v are sent; 1 if they may be broadcast, by number and by bytes."""
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return max(1, -(-n // settings.broadcast_pivots), -(-n * 8 * max(dim or 0, 0) // settings.broadcast_bytes))
+
+
+def _beside(left: DataFrame, right: DataFrame, key: str, blocks: int) -> DataFrame:
+    """All rows of left (d) beside all of right (p): right is broadcast, or both are dealt over a grid of blocks."""
+    if blocks == 1:
+        return with_norm(left).alias("d").crossJoin(F.broadcast(with_norm(right)).alias("p"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return with_norm(left).alias("d").join(with_norm(right).alias("p"), F.col("d.block") == F.col("p.block"))
+
+
 def pivot_pairs(docs: DataFrame, pivots: DataFrame, settings: Settings | None = None, measure=None) -> DataFrame:
     """(doc_id, topic_id, pivot_id, dist) of docs (doc_id, v) with all pivots (pivot_id, topic_id, v) but themselves.
 
     Pivots are the engine's state and usually few: up to
-    ``settings.broadcast_pivots`` they are broadcast, after a count. Beyond
-    that, both sides are dealt over a grid of blocks and joined on it.
+    ``settings.broadcast_pivots`` and ``broadcast_bytes`` they are broadcast,
+    after a count. Beyond that, both sides are dealt over a grid of blocks and
+    joined on it.
     """
     settings = settings or Settings()
-    left = with_norm(docs.select("doc_id", "v")).alias("d")
-    right = with_norm(pivots.select("pivot_id", "topic_id", "v")).alias("p")
-    if (n := pivots.count()) <= settings.broadcast_pivots:
-        pairs = left.join(F.broadcast(right), F.col("d.doc_id") != F.col("p.pivot_id"))
-    else:
-        blocks = -(-n // settings.broadcast_pivots)
-        left = docs.select("doc_id", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = pivots.select("pivot_id", "topic_id", "v").withColumn("block", F.pmod(F.xxhash64("pivot_id"), F.lit(blocks)))
-        pairs = with_norm(left).alias("d").join(with_norm(right).alias("p"), (F.col("d.block") == F.col("p.block")) & (F.col("d.doc_id") != F.col("p.pivot_id")))
+    pivots = pivots.select("pivot_id", "topic_id", "v")
+    pairs = _beside(docs.select("doc_id", "v"), pivots, "pivot_id", blocks_for(pivots, settings)).filter(F.col("d.doc_id") != F.col("p.pivot_id"))
     a, b = F.col("d.v"), F.col("p.v")
     dist = measure(a, b) if measure else cosine_distance(a, b, F.col("d.norm"), F.col("p.norm"))
     return pairs.select("d.doc_id", "p.topic_id", "p.pivot_id", dist.alias("dist")).filter("dist IS NOT NULL")
@@ -137,7 +146,7 @@ def nearest_topics(docs: DataFrame, pivots: DataFrame, k: int, settings: Setting
     beyond that the relational form takes over.
     """
     settings = settings or Settings()
-    if pivots.count() > settings.broadcast_pivots:
+    if blocks_for(pivots, settings) > 1:
         return top_topics(pair_distances(pivot_pairs(docs, pivots, settings)), k).select("doc_id", "rank", "topic_id", "dist")
     ship(docs.sparkSession)
     rows = pivots.select("pivot_id", "topic_id", "v").orderBy("pivot_id").collect()
@@ -151,8 +160,9 @@ def nearest_topics(docs: DataFrame, pivots: DataFrame, k: int, settings: Setting
     return docs.select("doc_id", "v").mapInArrow(_kernel(shared, k), "doc_id long, rank long, topic_id long, dist double")
 
 
-def within_radius(docs: DataFrame, centers: DataFrame, limit: Column) -> DataFrame:
+def within_radius(docs: DataFrame, centers: DataFrame, limit: Column, settings: Settings | None = None) -> DataFrame:
     """(doc_id, cluster_id, dist) of the clusters (cluster_id, v, radius) whose center is nearer than limit."""
-    pairs = with_norm(docs.select("doc_id", "v")).alias("d").join(F.broadcast(with_norm(centers)).alias("c"))
-    out = pairs.withColumn("dist", cosine_distance(F.col("d.v"), F.col("c.v"), F.col("d.norm"), F.col("c.norm")))
+    blocks = blocks_for(centers, settings or Settings())
+    out = _beside(docs.select("doc_id", "v"), centers, "cluster_id", blocks)
+    out = out.withColumn("dist", cosine_distance(F.col("d.v"), F.col("p.v"), F.col("d.norm"), F.col("p.norm")))
     return out.filter(F.col("dist") < limit).select("doc_id", "cluster_id", "dist")

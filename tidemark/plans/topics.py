@@ -18,7 +18,8 @@ from ..operators import metrics, multiset, proto, reports, subscriptions
 from ..operators import topics as T
 from ..operators.arrivals import arrivals
 from ..operators.similarity import edges_below
-from ..sources.paired import document_vectors, documents, vectors
+from ..sources.paired import document_vectors, documents, read_paired, vectors
+from ..storage import Workspace
 from .registry import query
 
 SETTINGS = Settings(dim=64, beta=1.5, k=3)
@@ -471,3 +472,22 @@ def birth_log(spark, d):
 @query("q41_topic_lines", with_(TOKENS) + "SELECT source AS topic_id, MAX(doc_id % 2) || ' : ' || ARRAY_TO_STRING(tokens, ' ') AS line FROM T GROUP BY source, tokens")
 def topic_lines(spark, d):
     return reports.text_lines(documents(spark, d).select(F.col("source").alias("topic_id"), "tokens", (F.col("doc_id") % 2).alias("flag")))
+
+
+_PAIRED = """
+WITH N AS (SELECT ROW_NUMBER() OVER (ORDER BY vec_id) AS doc_id, 'topic ' || label || '  of ' || vec_id AS line,
+  [ROUND(x::DOUBLE, 4)::FLOAT::DOUBLE FOR x IN embedding] AS v FROM embeddings)
+SELECT doc_id, doc_id - 1 AS seq, MD5(REPLACE(line, '  ', ' ')) AS digest, LEN(v)::BIGINT AS n, ROUND(LIST_SUM(v), 4) AS total FROM N
+"""
+
+
+@query("q42_paired_files", _PAIRED)
+def paired_files(spark, d):
+    """Texts and vectors in two line-aligned files, text and CSV, written from the table and read as the engine's input."""
+    work = Workspace(spark, "paired-files")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").coalesce(1)  # a file's lines have an order only within the file
+    cells = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ",")
+    rows.select(F.concat(F.lit("topic "), "label", F.lit("  of "), "vec_id")).write.text(f"{work.path}/texts")
+    rows.select(F.concat(cells, F.lit(",bad"))).write.text(f"{work.path}/vectors")
+    out = read_paired(spark, f"{work.path}/texts", f"{work.path}/vectors", 64)
+    return out.select("doc_id", "seq", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"), F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
