@@ -113,6 +113,8 @@ def test_two_means_degenerate(spark):
     same = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [1.0, 0.0]), (3, 8, [0.0, 1.0])], "vec_id long, topic_id long, v array<double>")
     parts = T.two_means(same).collect()
     assert {(r.vec_id, r.part) for r in parts} == {(1, 1), (2, 1), (3, 1)}
+    alike = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [2.0, 0.0])], "vec_id long, topic_id long, v array<double>")
+    assert {(r.vec_id, r.part) for r in T.two_means(alike).collect()} == {(1, 2), (2, 2)}
     assert T.pivots_of(same, T.two_means(same)).count() == 2
 
 

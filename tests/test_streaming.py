@@ -2,9 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.operators import proto
+from tidemark.storage import Workspace
 from tidemark.streaming.engine import TopicStream
 
 SCHEMA = "seq long, kind string, doc_id long, tokens array<string>, v array<double>"
@@ -68,3 +72,83 @@ def test_clusters_that_no_one_joins_are_forgotten(spark):
     lone = [(i, "publish", i, ["x"], v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0]])]
     e.process(spark.createDataFrame(lone, SCHEMA), 0)
     assert sorted(r.doc_id for r in e.table("residual").collect()) == [1, 2, 3]
+
+
+def _distance(a, b):
+    return 1 - a @ b / np.sqrt((a @ a) * (b @ b))
+
+
+def _angle(d):
+    return math.acos(min(1.0, max(-1.0, 1 - d)))
+
+
+def _sequential(vectors, alpha):
+    """The clusterer one document after the other, comparing everything: members, centers, radii."""
+    members, center, radius = {}, {}, {}
+    for i, v in enumerate(vectors):
+        taken = {}
+        for c in members:
+            if _distance(v, center[c]) < radius[c]:
+                near = sorted(_distance(v, vectors[j]) for j in members[c])[:2]
+                if sum(near) / len(near) < alpha / (math.log(1 + len(members[c])) + 1):
+                    taken[c] = near[0]
+        if not taken:
+            members[i], center[i], radius[i] = [i], v, alpha / (math.log(2) + 1)
+            continue
+        first, *others = sorted(taken)
+        if not others and _angle(radius[first]) < _angle(taken[first]) + _angle(alpha / (math.log(1 + len(members[first])) + 1)):
+            radius[first] *= 1.01
+        for c in others:
+            members[first] += members.pop(c)
+            d, a, b = _angle(_distance(center[first], center[c])), _angle(radius[first]), _angle(radius.pop(c))
+            other = center.pop(c)
+            if a + b + d <= 2 * alpha:
+                radius[first] = 1 - math.cos(max(min(a, b) + d, max(a, b)))
+                center[first] = (center[first] + other) / 2
+        members[first].append(i)
+    return members, center, radius
+
+
+def _added(spark, vectors, settings, bounds):
+    work = Workspace(spark, "test")
+    clusters = spark.createDataFrame([], "cluster_id long, v array<double>, radius double")
+    members = spark.createDataFrame([], "id long, cluster_id long, v array<double>")
+    everyone = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    for a, b in bounds:
+        docs = everyone.filter((F.col("id") >= a) & (F.col("id") < b))
+        now, clusters = proto.online_add(clusters, members, docs, settings, work)
+        members = work.table(now.join(everyone, "id"), "state")
+    return {r.id: r.cluster_id for r in members.collect()}, {r.cluster_id: r for r in clusters.collect()}
+
+
+def test_one_document_a_time_is_the_sequential_clusterer(spark):
+    # two clusters, a document that merges them, one that joins without a merge, one that founds a cluster, one more
+    vectors = [np.array(near(a)) * (1 + i) for i, a in enumerate([0.0, 1.0, 0.5, 0.55, 2.6, 1.2])]
+    members, center, radius = _sequential(vectors, 0.35)
+    found, clusters = _added(spark, vectors, Settings(dim=3, alpha=0.35), [(i, i + 1) for i in range(len(vectors))])
+    assert found == {i: c for c, ids in members.items() for i in ids}
+    assert set(clusters) == set(center)
+    for c, row in clusters.items():
+        assert np.allclose(row.v, center[c]) and math.isclose(row.radius, radius[c], rel_tol=1e-9)
+
+
+def test_balls_merge_only_while_they_stay_narrow(spark):
+    rows = spark.createDataFrame([(0.3, 0.05), (0.3, 1.9)], "r double, dist double")
+    r, dist = F.col("r"), F.col("dist")
+    got = rows.select(proto.merged_radius(r, r, dist, 1.0), proto.merged_center(F.array(F.lit(0.0)), F.array(F.lit(2.0)), r, r, dist, 1.0), proto.inflated(r, dist, F.lit(9), 1.0)).collect()
+    assert math.isclose(got[0][0], 1 - math.cos(_angle(0.3) + _angle(0.05)))
+    assert got[0][1] == [1.0]
+    assert (got[1][0], got[1][1]) == (0.3, [0.0]) and math.isclose(got[1][2], 0.303)
+
+
+def test_documents_of_one_call_found_clusters_together(spark):
+    vectors = [np.array(near(a)) for a in (0.0, 0.1, 0.2, 2.0, 2.1, 0.3)] + [np.zeros(3)]
+    found, clusters = _added(spark, vectors, Settings(dim=3, alpha=0.35), [(0, 5), (5, 7)])
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 0, 6: 6}
+    assert sorted(clusters) == [0, 3, 6]
+
+
+def test_clusters_due_to_become_topics_have_no_center(spark):
+    vectors = [np.array(near(0.01 * i)) for i in range(5)]
+    found, clusters = _added(spark, vectors, Settings(dim=3, check=4), [(0, 5)])
+    assert set(found.values()) == {0} and not clusters

@@ -12,15 +12,19 @@ from ..deploy import ship
 BLOCK = 1024
 
 
+def _rows(block):
+    """Ids, unit vectors (nan for zero vectors) and the rest of a block."""
+    ids, v = block.values.field("id").to_numpy(), block.values.field("v").flatten().to_numpy().reshape(len(block.values), -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return ids, v / np.sqrt((v**2).sum(axis=1, keepdims=True))
+
+
 def _compare(limit: float):
     def run(batches):
         for batch in batches:
             for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same").to_pylist(), strict=True):
-                (ia, a), (ib, b) = ((s.values.field("id").to_numpy(), s.values.field("v").flatten().to_numpy()) for s in (x, y))
-                a, b = a.reshape(len(ia), -1), b.reshape(len(ib), -1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    a, b = (m / np.sqrt((m**2).sum(axis=1, keepdims=True)) for m in (a, b))
-                    dist = 1 - a @ b.T
+                (ia, a), (ib, b) = _rows(x), _rows(y)
+                dist = 1 - a @ b.T
                 good = dist < limit
                 if same:
                     good &= ia[:, None] < ib[None, :]
@@ -30,6 +34,31 @@ def _compare(limit: float):
     return run
 
 
+def _within(batches):
+    for batch in batches:
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            (ia, a), (ib, b) = _rows(x), _rows(y)
+            dist = 1 - a @ b.T
+            i, j = np.nonzero(dist < y.values.field("radius").to_numpy()[None, :])
+            yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(ib[j]), pa.array(dist[i, j])], names=["a", "b", "dist"])
+
+
+def _packed(rows: DataFrame, size: int, *more: str) -> tuple[DataFrame, int]:
+    blocks = 1 + rows.count() // size
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("id", "v", *more)).alias("rows"))
+    return packed, blocks
+
+
+def neighbours_within(rows: DataFrame, balls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, dist): rows (id, v) that lie nearer to a ball (id, v, radius) than its radius. Blocks of both sides meet in
+    matrix products and only what lies inside is listed. Vectors have one length."""
+    ship(rows.sparkSession)
+    (left, _), (right, blocks) = _packed(rows, block), _packed(balls, block, "radius")
+    left = left.select(F.col("rows").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    pairs = left.join(right.select(F.col("block").alias("other"), F.col("rows").alias("y")), "other").select("x", "y")
+    return pairs.mapInArrow(_within, "a long, b long, dist double")
+
+
 def edges_below(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """(a, b, dist), a < b, for all pairs of rows (id, v) at a distance below limit.
 
@@ -38,8 +67,7 @@ def edges_below(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     nothing but links is listed. Vectors have one length.
     """
     ship(rows.sparkSession)
-    blocks = 1 + rows.count() // block
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed, blocks = _packed(rows, block)
     right = packed.select(F.col("block").alias("other"), F.col("rows").alias("y"))
     left = packed.select("block", F.col("rows").alias("x")).withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))))
     pairs = left.join(right, "other").select("x", "y", (F.col("block") == F.col("other")).alias("same"))

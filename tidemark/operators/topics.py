@@ -27,7 +27,7 @@ def two_means(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(vec_id, topic_id, part): each topic's vectors in two parts, by 2-means from its two lowest ids.
 
     Seeds must be distinct vectors; a topic with one distinct vector has one
-    part. Ties go to part 1. All topics move on together: a round is a join
+    part. Ties go to part 2, vectors without a distance to part 1. All topics move on together: a round is a join
     with the centers, of which there are two a topic, and one aggregation, so
     that no topic is gathered in a task.
     """
@@ -37,7 +37,7 @@ def two_means(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(rounds):
         both = now.groupBy("topic_id").agg(F.max(F.when(F.col("part") == 1, F.col("v"))).alias("c1"), F.max(F.when(F.col("part") == 2, F.col("v"))).alias("c2"))
         d1, d2 = cosine_distance(F.col("v"), F.col("c1")), cosine_distance(F.col("v"), F.col("c2"))
-        placed = vectors.join(both, "topic_id").withColumn("part", F.when(F.coalesce(d2 < d1, F.lit(False)), 2).otherwise(1)).select("vec_id", "topic_id", "part", "v")
+        placed = vectors.join(both, "topic_id").withColumn("part", F.when(F.coalesce((d2 <= d1) | F.col("c1").isNull(), F.lit(False)), 2).otherwise(1)).select("vec_id", "topic_id", "part", "v")
         if k < rounds - 1:
             cells = placed.select("topic_id", "part", F.posexplode("v").alias("pos", "x")).groupBy("topic_id", "part", "pos").agg(F.sum("x").alias("x"))
             rows = cells.groupBy("topic_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))

@@ -216,8 +216,8 @@ def _two_means_sql() -> str:
     parts = [E, """D AS (SELECT topic_id, v, MIN(vec_id) AS vec_id FROM E GROUP BY topic_id, v),
 S1 AS (SELECT topic_id, part, v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY topic_id ORDER BY vec_id) AS part FROM D) WHERE part <= 2)"""]
     for k in (1, 2, 3):
-        parts.append(f"""A{k} AS (SELECT e.vec_id, e.topic_id, e.v, CASE WHEN list_cosine_similarity(e.v, b.v) > list_cosine_similarity(e.v, a.v) THEN 2 ELSE 1 END AS part
-  FROM E e JOIN S{k} a ON a.topic_id = e.topic_id AND a.part = 1 LEFT JOIN S{k} b ON b.topic_id = e.topic_id AND b.part = 2),
+        parts.append(f"""A{k} AS (SELECT e.vec_id, e.topic_id, e.v, CASE WHEN a.v IS NULL AND b.v IS NOT NULL OR list_cosine_similarity(e.v, b.v) >= list_cosine_similarity(e.v, a.v) THEN 2 ELSE 1 END AS part
+  FROM E e LEFT JOIN S{k} a ON a.topic_id = e.topic_id AND a.part = 1 LEFT JOIN S{k} b ON b.topic_id = e.topic_id AND b.part = 2),
 S{k + 1} AS (SELECT topic_id, part, LIST(x ORDER BY pos) AS v FROM (SELECT topic_id, part, pos, SUM(x) AS x FROM
   (SELECT topic_id, part, UNNEST(v) AS x, UNNEST(RANGE(LEN(v))) AS pos FROM A{k}) GROUP BY topic_id, part, pos) GROUP BY topic_id, part)""")
     return with_(*parts)
@@ -446,15 +446,15 @@ def join_clusters(spark, d):
     return proto.assign_lowest(proto.accepted(D.member_distances(_pairs(spark, d)), sizes, wide))
 
 
-@query("q38_merged_balls", with_(E, P) + ", F AS (SELECT a.topic_id, a.pivot_id AS a, b.pivot_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist, [(s[1] + s[2]) / 2 FOR s IN LIST_ZIP(a.v, b.v)] AS m FROM P a JOIN P b ON a.topic_id = b.topic_id AND a.pivot_id < b.pivot_id) SELECT topic_id, a, b, ROUND(1 - COS(LEAST(ACOS(1 - 0.3) + ACOS(1 - dist), PI())), 6) AS radius, ROUND(SQRT(list_dot_product(m, m)), 6) AS center_norm, ROUND(CASE WHEN dist > 0.3 THEN 0.303 ELSE 0.3 END, 6)::DOUBLE AS grown FROM F")
+@query("q38_merged_balls", with_(E, P) + ", F AS (SELECT a.topic_id, a.pivot_id AS a, b.pivot_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist, [(s[1] + s[2]) / 2 FOR s IN LIST_ZIP(a.v, b.v)] AS m FROM P a JOIN P b ON a.topic_id = b.topic_id AND a.pivot_id < b.pivot_id) SELECT topic_id, a, b, ROUND(CASE WHEN 2 * ACOS(1 - 0.3) + ACOS(1 - dist) > 2 * 1.5 THEN 0.3 ELSE 1 - COS(LEAST(ACOS(1 - 0.3) + ACOS(1 - dist), PI())) END, 6) AS radius, ROUND(SQRT(list_dot_product(m, m)), 6) AS center_norm, ROUND(CASE WHEN ACOS(1 - 0.3) < ACOS(1 - dist) + ACOS(1 - 1.5 / (LN(1 + 20) + 1)) THEN 0.303 ELSE 0.3 END, 6)::DOUBLE AS grown FROM F")
 def merged_balls(spark, d):
     rows = _pivots(spark, d).withColumn("n", norm(F.col("v")))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.topic_id") == F.col("b.topic_id")) & (F.col("a.pivot_id") < F.col("b.pivot_id")))
     dist = cosine_distance(F.col("a.v"), F.col("b.v"), F.col("a.n"), F.col("b.n"))
     rows = pairs.select(F.col("a.topic_id").alias("topic_id"), F.col("a.pivot_id").alias("a"), F.col("b.pivot_id").alias("b"), dist.alias("dist"), midpoint(F.col("a.v"), F.col("b.v")).alias("m"))
-    r = F.lit(0.3)
-    return rows.select("topic_id", "a", "b", F.round(proto.merged_radius(r, r, F.col("dist")), 6).alias("radius"), F.round(norm(F.col("m")), 6).alias("center_norm"), F.round(proto.inflated(r, F.col("dist")), 6).alias("grown"))
+    r, alpha = F.lit(0.3), 1.5
+    return rows.select("topic_id", "a", "b", F.round(proto.merged_radius(r, r, F.col("dist"), alpha), 6).alias("radius"), F.round(norm(F.col("m")), 6).alias("center_norm"), F.round(proto.inflated(r, F.col("dist"), F.lit(20), alpha), 6).alias("grown"))
 
 
 @query("q39_cluster_report", COMPONENTS + "SELECT cluster_id, ROUND(0.66 / (LN(2) + 1), 6) AS radius, COUNT(*) AS members FROM O GROUP BY cluster_id")
