@@ -13,7 +13,7 @@ from tidemark.operators import metrics, multiset, proto, subscriptions
 from tidemark.operators import topics as T
 from tidemark.operators.components import components
 from tidemark.operators.similarity import edges_below
-from tidemark.sources.paired import read_paired
+from tidemark.sources.paired import numbered_lines, read_paired
 from tidemark.storage import Workspace
 
 
@@ -166,6 +166,21 @@ def test_paired_files_stop_at_the_shorter(spark, tmp_path):
     assert [(r.doc_id, r.seq, r.tokens, r.v) for r in got] == [(1, 0, ["a", "b"], [1.0, 2.0]), (2, 1, ["c"], [3.0, 4.0])]
     with pytest.raises(Exception):
         read_paired(spark, str(tmp_path / "none"), str(tmp_path / "v.csv")).collect()
+    with pytest.raises(ValueError, match="3 texts and 2 vectors"):
+        read_paired(spark, str(tmp_path / "t.txt"), str(tmp_path / "v.csv"), strict=True)
+
+
+def test_lines_of_several_files_and_parts_are_in_order(spark, tmp_path):
+    lines, at = [f"line {i} " + "x" * (i % 50) for i in range(900)], 0
+    for k, n in enumerate((5, 800, 1, 0, 94)):  # parts of unlike sizes
+        (tmp_path / f"part-{k}.txt").write_text("".join(x + "\n" for x in lines[at : at + n]))
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = numbered_lines(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in got] == list(enumerate(lines))
 
 
 def test_blocks_by_number_and_bytes(spark):
@@ -182,3 +197,24 @@ def test_blocks_by_number_and_bytes(spark):
     centers = rows.selectExpr("pivot_id AS cluster_id", "v", "0.5D AS radius")
     near = [{(r.doc_id, r.cluster_id) for r in distances.within_radius(docs, centers, F.col("radius"), s).collect()} for s in (Settings(), Settings(broadcast_bytes=50))]
     assert near[0] == near[1] and len(near[0]) > 10
+
+
+def test_erased_documents_leave_their_clusters_a_new_first_one(spark):
+    members = spark.createDataFrame([(1, 1), (2, 1), (5, 1), (3, 3), (4, 4)], "id long, cluster_id long")
+    gone = spark.createDataFrame([(1,), (3,), (9,)], "id long")
+    assert {tuple(r) for r in proto.erase_documents(members, gone).select("id", "cluster_id").collect()} == {(2, 2), (5, 2), (4, 4)}
+
+
+def test_a_search_refines_around_its_best_settings(spark):
+    tried = []
+
+    def measure(alpha, beta):
+        tried.append((alpha, beta))
+        return 1 - abs(alpha - 0.66), 1 - abs(beta - 0.76), 1.0  # equal times: none counts
+
+    got = metrics.grid_search(spark, measure, [0.6, 0.7, 0.9], [0.7, 0.8], step=0.02, width=2).collect()
+    assert [(r.alpha, r.beta) for r in got] == tried and (0.9, 0.7) not in tried and len(tried) == 5 + 25
+    assert all(r.norm_time == 0 for r in got)
+    best = max((r for r in got if r.stage == 2), key=lambda r: r.score)
+    assert (best.alpha, best.beta, best.score) == (0.66, 0.76, 1.0)
+    assert metrics.grid_search(spark, measure, [], []).count() == 0

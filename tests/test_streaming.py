@@ -152,3 +152,30 @@ def test_clusters_due_to_become_topics_have_no_center(spark):
     vectors = [np.array(near(0.01 * i)) for i in range(5)]
     found, clusters = _added(spark, vectors, Settings(dim=3, check=4), [(0, 5)])
     assert set(found.values()) == {0} and not clusters
+
+
+def test_report_of_waiting_clusters_has_their_radii(spark):
+    s = Settings(dim=3, alpha=0.35, check=9)
+    e = TopicStream(spark, s)
+    rows = [(i, "publish", i, [f"w{i}"], near(a)) for i, a in enumerate([0.0, 0.1, 2.0, 0.55])]
+    e.process(spark.createDataFrame(rows[:3], SCHEMA), 0)
+    e.process(spark.createDataFrame(rows[3:], SCHEMA), 1)
+    got = {r.cluster_id: (r.radius, r.members) for r in e.clusters().collect()}
+    clusters = {r.cluster_id: r.radius for r in e.table("cluster").collect()}
+    assert {c: n for c, (_, n) in got.items()} == {0: 3, 2: 1}
+    assert {c: r for c, (r, _) in got.items()} == clusters and clusters[0] > clusters[2] == s.first_radius
+
+
+def test_command_line_reads_two_files(spark, tmp_path):
+    from tidemark.__main__ import arguments, run
+
+    vectors = [near(0.01 * i) for i in range(6)] + [near(0.0), near(0.02), [0.0, 0.0, 1.0]]
+    (tmp_path / "t.txt").write_text("".join(f"word{i} of  it\n" for i in range(9)))
+    (tmp_path / "v.csv").write_text("".join(",".join(map(str, v)) + "\n" for v in vectors))
+    out = f"file://{tmp_path}/out"
+    files = [str(tmp_path / "t.txt"), str(tmp_path / "v.csv"), out]
+    engine = run(spark, arguments([*files, "--dim", "3", "--check", "4", "--batch", "6", "--subscriptions", "0"]))
+    assert [p["born"] for p in engine.progress][0] == 1
+    placed = {int(r.doc_id): int(r.topic_id) for r in spark.read.csv(f"{out}/assigned", header=True).collect()}
+    assert set(placed.values()) == {0} and len(placed) >= 8
+    assert any(r.value.endswith("word1 of it") for r in spark.read.text(f"{out}/topics").collect())

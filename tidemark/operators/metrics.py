@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +52,26 @@ def grid(alphas: list[float], betas: list[float]) -> list[tuple[float, float]]:
 def refined(best: tuple[float, float], step: float = 0.02, width: int = 2) -> list[tuple[float, float]]:
     """A finer grid around the best settings of a coarse one."""
     return [(round(best[0] + i * step, 6), round(best[1] + j * step, 6)) for i in range(-width, width + 1) for j in range(-width, width + 1)]
+
+
+#: nmi, fmr and time of the settings alpha and beta.
+Measure = Callable[[float, float], tuple[float, float, float]]
+
+
+def searched(spark: SparkSession, measure: Measure, settings: Iterable[tuple[float, float]]) -> DataFrame:
+    """(alpha, beta, nmi, fmr, time, norm_time, score) of each of the settings: one run each, its measures alone return."""
+    rows = [(float(a), float(b), *map(float, measure(a, b))) for a, b in settings]
+    out = spark.createDataFrame(rows, "alpha double, beta double, nmi double, fmr double, time double")
+    out = out.withColumn("norm_time", normalised_time(F.col("time")))
+    return out.withColumn("score", score(F.col("nmi"), F.col("fmr"), F.col("norm_time")))
+
+
+def grid_search(spark: SparkSession, measure: Measure, alphas: list[float], betas: list[float], step: float = 0.02, width: int = 2) -> DataFrame:
+    """Both stages of a search, as (stage, alpha, ..., score): the grid, then a finer one around its best settings. Times
+    are scaled within a stage; of equal scores the lowest alpha and beta are taken."""
+    coarse = searched(spark, measure, grid(alphas, betas))
+    best = coarse.orderBy(F.desc("score"), "alpha", "beta").first()
+    out = coarse.select(F.lit(1).alias("stage"), "*")
+    if best is None:
+        return out
+    return out.union(searched(spark, measure, refined((best["alpha"], best["beta"]), step, width)).select(F.lit(2), "*"))

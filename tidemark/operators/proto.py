@@ -36,6 +36,13 @@ def erase(members: DataFrame, clusters: DataFrame) -> DataFrame:
     return members.join(clusters.select("cluster_id"), "cluster_id", "left_anti")
 
 
+def erase_documents(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """members (id, cluster_id) without the documents (id); a cluster that loses its first member bears the next one's id."""
+    left = members.join(documents.select("id"), "id", "left_anti")
+    lowest = left.groupBy("cluster_id").agg(F.min("id").alias("_first"))
+    return left.join(lowest, "cluster_id").withColumn("cluster_id", F.col("_first")).drop("_first")
+
+
 def accepted(scored: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
     """Rows (doc_id, topic_id, dist) whose distance is below the join limit of that many members (topic_id, members)."""
     return scored.join(sizes, "topic_id").filter(F.col("dist") < join_limit(F.col("members"), settings.alpha))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..storage import Workspace
 
 BLOCK = 1024
 
@@ -44,6 +45,8 @@ def _within(batches):
 
 
 def _packed(rows: DataFrame, size: int, *more: str) -> tuple[DataFrame, int]:
+    """Rows in blocks of about so many; they are written first, as they are counted and then read by each side of a join."""
+    rows = Workspace(rows.sparkSession, "blocks").table(rows.select("id", "v", *more), "rows")
     blocks = 1 + rows.count() // size
     packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("id", "v", *more)).alias("rows"))
     return packed, blocks

@@ -457,9 +457,14 @@ def merged_balls(spark, d):
     return rows.select("topic_id", "a", "b", F.round(proto.merged_radius(r, r, F.col("dist"), alpha), 6).alias("radius"), F.round(norm(F.col("m")), 6).alias("center_norm"), F.round(proto.inflated(r, F.col("dist"), F.lit(20), alpha), 6).alias("grown"))
 
 
-@query("q39_cluster_report", COMPONENTS + "SELECT cluster_id, ROUND(0.66 / (LN(2) + 1), 6) AS radius, COUNT(*) AS members FROM O GROUP BY cluster_id")
+_GROWN = "0.66 / (LN(2) + 1)"
+
+
+@query("q39_cluster_report", COMPONENTS + f"SELECT cluster_id, ROUND({_GROWN} * CASE WHEN MIN(label) % 2 = 0 THEN 1.01 ELSE 1 END, 6) AS radius, COUNT(*) AS members FROM O JOIN embeddings e ON e.vec_id = O.cluster_id GROUP BY cluster_id")
 def cluster_report(spark, d):
-    return reports.cluster_report(_clusters(spark, d), SETTINGS).select("cluster_id", _r("radius"), "members")
+    """Clusters that an even label's vector has founded have grown once; the others are not in the table of radii."""
+    grown = vectors(spark, d).filter("topic_id % 2 = 0").select(F.col("vec_id").alias("cluster_id"), F.lit(SETTINGS.first_radius * 1.01).alias("radius"))
+    return reports.cluster_report(_clusters(spark, d), SETTINGS, grown).select("cluster_id", _r("radius"), "members")
 
 
 @query("q40_birth_log", COMPONENTS + ", N AS (SELECT cluster_id, ROW_NUMBER() OVER (ORDER BY cluster_id) - 1 AS topic_id FROM O GROUP BY cluster_id HAVING COUNT(*) > 3) SELECT topic_id, N.cluster_id, COUNT(*) AS members, MIN(id) AS first_doc, MAX(id) AS last_doc FROM N JOIN O ON O.cluster_id = N.cluster_id GROUP BY ALL")
@@ -491,3 +496,49 @@ def paired_files(spark, d):
     rows.select(F.concat(cells, F.lit(",bad"))).write.text(f"{work.path}/vectors")
     out = read_paired(spark, f"{work.path}/texts", f"{work.path}/vectors", 64)
     return out.select("doc_id", "seq", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"), F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("q43_erase_documents", COMPONENTS + "SELECT id, MIN(id) OVER (PARTITION BY cluster_id) AS cluster_id FROM O WHERE id % 3 <> 0")
+def erase_documents(spark, d):
+    """Every third document is taken out of its cluster."""
+    members = _clusters(spark, d)
+    return proto.erase_documents(members, members.filter("id % 3 = 0")).select("id", "cluster_id")
+
+
+@query("q44_residual_match", COMPONENTS.rstrip() + ",\n" + ",\n".join([P, X, R, L, BEST, MATCH]) + " SELECT doc_id, topic_id, ROUND(dist, 6) AS dist FROM M WHERE doc_id IN (SELECT id FROM O WHERE cluster_id NOT IN (SELECT cluster_id FROM O GROUP BY cluster_id HAVING COUNT(*) > 3))")
+def residual_match(spark, d):
+    """Documents that still wait are matched with the topics that there are."""
+    members = _clusters(spark, d)
+    waiting = proto.erase(members, proto.births(members, CHECK)).select(F.col("id").alias("doc_id"))
+    docs = _docs(spark, d).join(waiting, "doc_id")
+    return D.match(docs, D.pair_distances(D.pivot_pairs(docs, _pivots(spark, d), SETTINGS)), SETTINGS.beta).select("doc_id", "topic_id", _r("dist"))
+
+
+ALPHAS, BETAS = [0.6, 0.7], [1.4, 1.5, 1.6]
+_SEARCH = with_(E, P, X, R, L, BEST) + """, GB AS (SELECT UNNEST([1.4, 1.5, 1.6])::DOUBLE AS beta), GA AS (SELECT UNNEST([0.6, 0.7])::DOUBLE AS alpha),
+M AS (SELECT beta, doc_id, CASE WHEN dist < beta THEN topic_id ELSE -1 END AS topic_id FROM B, GB),
+J AS (SELECT beta, E.topic_id AS l, M.topic_id AS c, COUNT(*)::DOUBLE AS n FROM E JOIN M ON M.doc_id = E.vec_id GROUP BY ALL),
+JT AS (SELECT beta, SUM(n) AS t FROM J GROUP BY 1), JL AS (SELECT beta, l, SUM(n) AS n FROM J GROUP BY 1, 2), JC AS (SELECT beta, c, SUM(n) AS n FROM J GROUP BY 1, 2),
+JM AS (SELECT J.beta, SUM(J.n / t * LN(J.n * t / (JL.n * JC.n))) AS mi FROM J JOIN JL ON JL.beta = J.beta AND JL.l = J.l JOIN JC ON JC.beta = J.beta AND JC.c = J.c JOIN JT ON JT.beta = J.beta GROUP BY 1),
+HL AS (SELECT JL.beta, -SUM(n / t * LN(n / t)) AS h FROM JL JOIN JT USING (beta) GROUP BY 1), HC AS (SELECT JC.beta, -SUM(n / t * LN(n / t)) AS h FROM JC JOIN JT USING (beta) GROUP BY 1),
+S AS (SELECT M.beta, AVG((topic_id >= 0)::INT) AS fmr, SUM((topic_id < 0)::INT)::DOUBLE AS time FROM M GROUP BY 1),
+Z AS (SELECT alpha, S.beta, CASE WHEN HL.h + HC.h = 0 THEN 1 ELSE mi / ((HL.h + HC.h) / 2) END AS nmi, fmr, time FROM GA, S JOIN JM ON JM.beta = S.beta JOIN HL ON HL.beta = S.beta JOIN HC ON HC.beta = S.beta),
+N AS (SELECT *, (time - MIN(time) OVER ()) / (MAX(time) OVER () - MIN(time) OVER ()) AS norm_time FROM Z)
+SELECT alpha, beta, ROUND(nmi, 6) AS nmi, ROUND(fmr, 6) AS fmr, time, ROUND(norm_time, 6) AS norm_time, ROUND(nmi * fmr * (1 - norm_time), 6) AS score FROM N"""
+
+
+@query("q45_grid_search", _SEARCH.replace("\n, GB", ", GB"))
+def grid_search(spark, d):
+    """The first stage of a search over matches. Documents without a topic, which need a second round, stand for the time."""
+    labels = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("topic_id").alias("label"))
+    best = Workspace(spark, "grid-search").table(D.best_topic(_scored(spark, d)).join(labels, "doc_id"), "best")
+    found = {}
+
+    def measure(alpha: float, beta: float) -> tuple[float, float, float]:
+        if beta not in found:
+            rows = best.withColumn("topic_id", F.when(F.col("dist") < beta, F.col("topic_id")).otherwise(F.lit(-1)))
+            rate = metrics.first_match_rate(rows).first()
+            found[beta] = metrics.normalised_mutual_information(rows, "label", "topic_id").first()["nmi"], rate["fmr"], rate["n_docs"] - rate["n_matched"]
+        return found[beta]
+
+    return metrics.searched(spark, measure, metrics.grid(ALPHAS, BETAS)).select("alpha", "beta", _r("nmi"), _r("fmr"), "time", _r("norm_time"), _r("score"))

@@ -10,25 +10,31 @@ from ..functions.vectors import as_doubles
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value) of a text file's lines in order, from 0.
+    """(seq, value) of the lines of a text file, or of a folder's files by name, from 0.
 
-    Lines are numbered inside their partition, and each partition's start
-    comes from a sum over partitions: one row each, so that no task holds all
-    lines.
+    Spark deals files in parts by size, in an order of its own. Lines are
+    numbered inside the part that a task reads, and each part's start comes
+    from a sum over parts: one row each, so that no task holds all lines.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    lines = lines.withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND((1 << 33) - 1))
-    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return lines.join(starts, "part").select((F.col("start") + F.col("row")).alias("seq"), "value")
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *where).withColumn("at", F.monotonically_increasing_id())
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return lines.join(starts, ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("seq"), "value")
 
 
-def read_paired(spark: SparkSession, text_path: str, vector_path: str, dim: int | None = None) -> DataFrame:
+def read_paired(spark: SparkSession, text_path: str, vector_path: str, dim: int | None = None, strict: bool = False) -> DataFrame:
     """(doc_id, seq, tokens, v): line i of one file with line i of the other, up to the shorter one.
 
     Cells of a vector line that are no numbers are dropped; with dim, rows
-    whose vectors are of another length are left out.
+    whose vectors are of another length are left out. With strict, files of
+    different lengths are a ValueError; that reads both once more.
     """
+    if strict:
+        n, m = (spark.read.text(p).count() for p in (text_path, vector_path))
+        if n != m:
+            raise ValueError(f"{n} texts and {m} vectors")
     texts = numbered_lines(spark, text_path).select("seq", tokens(F.col("value")).alias("tokens"))
     vectors = numbered_lines(spark, vector_path).select("seq", as_doubles(parse_floats(F.col("value"))).alias("v"))
     out = texts.join(vectors, "seq").select((F.col("seq") + 1).alias("doc_id"), "seq", "tokens", "v")
