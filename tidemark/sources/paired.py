@@ -52,10 +52,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """(doc_id, v) of rows (doc_id, tokens): hashed term frequencies, as counts of exploded tokens."""
-    words = rows.select("doc_id", F.explode("tokens").alias("w"))
-    counts = words.groupBy("doc_id", bucket(F.col("w")).alias("b")).count().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", F.col("count").cast("double")))).alias("m"))
-    return counts.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    """(doc_id, v) of rows (doc_id, tokens): hashed term frequencies, as counts of exploded tokens. A null for each bucket
+    follows the tokens, so that every bucket has a count, 0 at least. Rows without tokens have none."""
+    n = F.size("tokens")
+    nulls = F.array_repeat(F.lit(None).cast("string"), BUCKETS)
+    words = rows.filter(n > 0).select("doc_id", n.alias("n"), F.posexplode(F.concat("tokens", nulls)).alias("at", "w"))
+    b = F.when(F.col("w").isNull(), F.col("at") - F.col("n")).otherwise(bucket(F.col("w"))).alias("b")
+    counts = words.groupBy("doc_id", b).agg(F.count("w").cast("double").alias("n"))
+    return counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "n")))["n"].alias("v"))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
