@@ -179,3 +179,20 @@ def test_command_line_reads_two_files(spark, tmp_path):
     placed = {int(r.doc_id): int(r.topic_id) for r in spark.read.csv(f"{out}/assigned", header=True).collect()}
     assert set(placed.values()) == {0} and len(placed) >= 8
     assert any(r.value.endswith("word1 of it") for r in spark.read.text(f"{out}/topics").collect())
+
+
+def test_versions_share_what_stays_and_grow_by_parts(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import state
+
+    monkeypatch.setattr(state, "MOST_PARTS", 3)
+    kept = state.Snapshots(spark, f"file://{tmp_path}/s")
+    assert kept.parts(kept.latest()) == {} and kept.read("a", "x long").count() == 0
+    row = lambda x: spark.createDataFrame([(x,)], "x long")
+    for v in range(6):
+        kept.write(v, kept.parts(kept.latest()), {"b": row(v)} if v in (0, 4) else {}, {"a": row(v)})
+        assert sorted(r.x for r in kept.read("a", "x long").collect()) == list(range(v + 1))
+        assert [r.x for r in kept.read("b", "x long").collect()] == [4 if v >= 4 else 0]
+    assert kept.versions() == [4, 5]
+    assert kept.parts(5) == {"a": ["v-3/a", "v-4/a", "v-5/a"], "b": ["v-4/b"]}
+    assert kept.parts(4)["a"] == ["v-3/a", "v-4/a"]
+    assert sorted(f.name for f in (tmp_path / "s").iterdir() if f.name.startswith("v-")) == ["v-3", "v-4", "v-5"]

@@ -149,13 +149,12 @@ def nearest_topics(docs: DataFrame, pivots: DataFrame, k: int, settings: Setting
     if blocks_for(pivots, settings) > 1:
         return top_topics(pair_distances(pivot_pairs(docs, pivots, settings)), k).select("doc_id", "rank", "topic_id", "dist")
     ship(docs.sparkSession)
-    rows = pivots.select("pivot_id", "topic_id", "v").orderBy("pivot_id").collect()
-    rows = [r for r in rows if any(r["v"])]
-    if not rows:
+    rows = pivots.select("pivot_id", "topic_id", "v").filter(F.size("v") > 0).orderBy("pivot_id").toArrow()
+    matrix = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.empty((0, 1))
+    size = np.sqrt((matrix**2).sum(axis=1))
+    if not size.any():
         return docs.sparkSession.createDataFrame([], "doc_id long, rank long, topic_id long, dist double")
-    matrix = np.array([r["v"] for r in rows], dtype=np.float64)
-    matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
-    state = (np.array([r["pivot_id"] for r in rows]), np.array([r["topic_id"] for r in rows]), matrix)
+    state = (*(rows.column(c).to_numpy()[size > 0] for c in ("pivot_id", "topic_id")), matrix[size > 0] / size[size > 0, None])
     shared = docs.sparkSession.sparkContext.broadcast(state)
     return docs.select("doc_id", "v").mapInArrow(_kernel(shared, k), "doc_id long, rank long, topic_id long, dist double")
 
