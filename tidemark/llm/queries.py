@@ -82,6 +82,25 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import align_tokenizers
+
+    return align_tokenizers(_documents(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import conversation_trie
+
+    ship(spark)
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_sentences": op1_license_sentences,
     "op2_minhash_forest": op2_minhash_forest,
@@ -93,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_isolation_rules": op8_isolation_rules,
     "op9_whole_token_count": op9_whole_token_count,
     "op10_hierarchical_packing": op10_hierarchical_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_winnowing": op13_winnowing,
 }
 
 OP6_SQL = r"""
@@ -157,10 +179,45 @@ K AS (SELECT doc_id, SUM(gone)::BIGINT AS n_removed, STRING_AGG(word, ' ' ORDER
 SELECT W.doc_id, LEN(w)::BIGINT AS n_words, COALESCE(n_removed, 0) AS n_removed, SHA256(COALESCE(kept, '')) AS kept_sha256 FROM W LEFT JOIN K ON K.doc_id = W.doc_id
 """
 
-#: Languages, licences, templates, forests and token ids have no SQL; tests compare them with brute force.
+OP12_SQL = r"""
+WITH T AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+G AS (SELECT *, SHA256(CONCAT(STRLEN(role)::VARCHAR, ':', role, text)) AS g FROM T),
+C AS (SELECT conv_id, LIST({'g': g, 'b': STRLEN(text)} ORDER BY turn NULLS FIRST, g) AS w FROM G GROUP BY conv_id),
+H AS (SELECT conv_id, w, LIST_REDUCE(LIST_PREPEND(4294967295::BIGINT, LIST_TRANSFORM(STR_SPLIT(conv_id::VARCHAR, ''), lambda c: ASCII(c)::BIGINT)), lambda x, y:
+  LIST_REDUCE(LIST_PREPEND(XOR(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda p, q: XOR(p >> 1, 3988292384 * (p & 1)))) AS r FROM C),
+R AS (SELECT H.conv_id, (XOR(r, 4294967295) % 9)::INT AS h, H.w, C.w AS o FROM H LEFT JOIN C ON C.conv_id = H.conv_id - H.conv_id % 5),
+B AS (SELECT conv_id AS c, LIST_CONCAT(COALESCE(o[1:h], []), w[h + 1:]) AS s FROM R),
+P AS (SELECT c, UNNEST(RANGE(0, LEN(s) + 1)) AS d, s FROM B),
+N AS (SELECT c, d, LEN(s) = d AS ends, COALESCE(s[d].b, 0) AS b, MIN(c) OVER (PARTITION BY d, LIST_TRANSFORM(s[1:d], lambda x: x.g)) AS node FROM P),
+K AS (SELECT node, d, COUNT(*) AS n, MAX(b) AS b, STRING_AGG(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends) AS e FROM N GROUP BY node, d),
+U AS (SELECT K.*, N.node AS up FROM K LEFT JOIN N ON N.c = K.node AND N.d = K.d - 1),
+L AS (SELECT up, d - 1 AS d, COUNT(*) AS children FROM U WHERE d > 0 GROUP BY ALL),
+V AS (SELECT U.*, COALESCE(children, 0) AS children FROM U LEFT JOIN L ON L.up = U.node AND L.d = U.d),
+S AS (SELECT N.node, N.d, SUM(CASE WHEN V.children = 0 THEN 1 ELSE 0 END) AS leaves, SUM((V.n - 1) * V.b) AS saved FROM V JOIN N ON N.c = V.node AND N.d <= V.d GROUP BY ALL)
+SELECT V.node AS conv_id, V.d::BIGINT AS depth, V.up AS parent_conv_id, V.n AS n_convs, V.children AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, SHA256(COALESCE(e, '')) AS ends_sha256
+FROM V JOIN S ON S.node = V.node AND S.d = V.d
+"""
+
+OP13_SQL = r"""
+WITH D AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, COALESCE(REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+I AS (SELECT item_id, REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+IW AS (SELECT DISTINCT item_id, LEN(x) AS n, ARRAY_TO_STRING(x, ' ') AS t FROM (SELECT item_id, UNNEST([w[i:i + 9] FOR i IN RANGE(1, GREATEST(LEN(w) - 9, 1) + 1)]) AS x FROM I WHERE LEN(w) > 0)),
+S AS (SELECT DISTINCT n FROM IW),
+P AS (SELECT k, w, n, UNNEST(RANGE(1, LEN(w) - n + 2)) AS i FROM D, S WHERE LEN(w) >= n),
+DW AS (SELECT k, n, i, ARRAY_TO_STRING(w[i:i + n - 1], ' ') AS t FROM P),
+M AS (SELECT k, i, DW.n, item_id FROM DW JOIN IW ON IW.t = DW.t),
+C AS (SELECT k, COUNT(DISTINCT p) AS hit FROM (SELECT k, UNNEST(RANGE(i, i + n)) AS p FROM (SELECT DISTINCT k, i, n FROM M)) GROUP BY k),
+J AS (SELECT k, COUNT(*) AS items, STRING_AGG(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM M WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, LEN(w)::BIGINT AS n_words, COALESCE(hit, 0)::BIGINT AS n_hit, COALESCE(items, 0)::BIGINT AS n_items, SHA256(COALESCE(l, '')) AS items_sha256, COALESCE(hit, 0) > 0 AS contaminated
+FROM D LEFT JOIN C ON C.k = D.k LEFT JOIN J ON J.k = D.k
+"""
+
+#: Languages, licences, templates, forests, token ids and alignments have no SQL; tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_forest": OP2_SQL,
     "op3_projection_passes": OP3_SQL,
     "op5_phrase_automata": OP5_SQL,
     "op6_water_filling": OP6_SQL,
+    "op12_conversation_trie": OP12_SQL,
+    "op13_winnowing": OP13_SQL,
 }
