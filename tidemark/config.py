@@ -25,6 +25,7 @@ class Settings:
     subscriptions: int = 1_000_000  #: arrivals that count as subscriptions before publishing starts
     publications: int = 2_000_000
     publish_from: int = 1  #: row at which publishing starts again
+    ordered: bool = False  #: a batch has the outcome of one document after the other, whatever its size
     no_distance: float = 1e6  #: stands for a distance that does not exist
     #: Pivots that are sent to all executors at once; beyond it both sides are dealt in blocks.
     broadcast_pivots: int = 50_000

@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_scratch: list[list[Workspace]] = []
+#: Workspaces of the open scratch blocks of this thread, outermost first.
+_scratch: ContextVar[tuple[list[Workspace], ...]] = ContextVar("scratch", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,12 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Workspaces made inside go when the block ends, so what is read later must have been written elsewhere."""
-    _scratch.append([])
+    """Workspaces made inside, by this thread, go when the block ends, so what is read later must have been written elsewhere."""
+    mine: list[Workspace] = []
+    token = _scratch.set((*_scratch.get(), mine))
     try:
         yield
     finally:
-        for work in _scratch.pop():
+        _scratch.reset(token)
+        for work in mine:
             work.clear()
 
 
@@ -44,8 +48,8 @@ class Workspace:
         self.path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []
-        if _scratch:
-            _scratch[-1].append(self)
+        if open_ := _scratch.get():
+            open_[-1].append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again: lineage ends here, and a lost executor costs nothing before it."""
@@ -67,6 +71,12 @@ class Workspace:
         self._tables.append(table)
         return out
 
+    def dealt(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """As table(), in one folder for each value of key, so that a filter on it reads no other rows."""
+        path = f"{self.path}/{name}-dealt"
+        df.repartition(key).write.partitionBy(key).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def clear(self) -> None:
         """Removes all tables."""
         for table in self._tables:
