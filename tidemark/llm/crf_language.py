@@ -223,20 +223,29 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def language_sizes(usable: DataFrame) -> dict[str, int]:
+    """Labelled rows of the MOST_LANGUAGES languages that have most of them; ties go by code point."""
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    return {r["lang"]: r["count"] for r in counts.collect()}
+
+
+def draw_below(n: int) -> int:
+    """The limit that some 2 * FIT_DOCS of n draws of 63 bits lie below, or all."""
+    return min((1 << 63) - 1, (1 << 64) * FIT_DOCS // n)
+
+
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
     """FIT_DOCS texts of each language, or all there are, chosen by a hash of id and text; of long ones, windows of FIT_CHARS in all."""
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = language_sizes(usable)
     if not sizes:
         return [], []
     # twice as many pass the hash as are wanted, so that the ranks below have few rows to sort
-    share = F.lit(0)
+    share = F.lit(0).cast("long")
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, 2 * FIT_DOCS / n))).otherwise(share)
-    usable = usable.withColumn("draw", F.xxhash64("id", "text", F.lit(SEED))).filter(F.pmod("draw", F.lit(1_000_000)) < share)
+        share = F.when(F.col("lang") == name, F.lit(draw_below(n))).otherwise(share)
+    usable = usable.withColumn("draw", F.xxhash64("id", "text", F.lit(SEED))).filter(F.shiftrightunsigned("draw", 1) < share)
     size, part = F.length("text"), FIT_CHARS // FIT_WINDOWS
     windows = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda i: F.substring("text", (i * (size - part) / (FIT_WINDOWS - 1)).cast("int") + 1, F.lit(part)))
     usable = usable.withColumn("text", F.when(size > FIT_CHARS, F.array_join(windows, " ")).otherwise(F.col("text")))
@@ -256,8 +265,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text alone: equal texts and repeated rows get equal results; of languages
     with the same score the first by code point is taken. Null ids are ids like
     others. Columns named lang_pred, score or labelled, in any case, are
-    replaced. An empty table gives an empty one. More than MOST_LANGUAGES
-    distinct languages are a ValueError.
+    replaced. An empty table gives an empty one. Of more than MOST_LANGUAGES
+    distinct languages the most frequent ones are learnt.
     """
     spark = docs.sparkSession
     texts, labels = training_rows(docs, id_col, text_col, lang_col)

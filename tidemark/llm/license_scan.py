@@ -16,6 +16,8 @@ sentences of a rule.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,7 +130,6 @@ _MARK = re.compile(r"(?m)^[ \t]*(?://+|/?\*+/?|#+|;+|--+|<!--|dnl|rem)[ \t]?")
 _END = re.compile(r"[.;:!?](?=[\"')\]]*(?:\s|\Z))|\n[ \t]*\n|\Z")
 _OTHER = re.compile(r"[^a-z0-9.*]+")
 _STOP = re.compile(r" ?\.+(?= |\Z)")
-_ITEM = re.compile(r"^(?:[0-9]{1,2}|[a-z])[.)]?\s+(?=[a-z])")
 
 
 def normalise(text: str) -> str:
@@ -148,21 +149,82 @@ def _pattern(sentence: str) -> re.Pattern[str]:
     return re.compile(out + r"\Z")
 
 
-_EXACT = {s: name for name, all_ in SENTENCES.items() for s in all_ if "*" not in s}
-_OPEN = [(_pattern(s), max(s.replace("*", " ").split(), key=len), name) for name, all_ in SENTENCES.items() for s in all_ if "*" in s]
 #: No known sentence has more words; an item's number may stand before it.
 _MOST_WORDS = 1 + max(len(s.split()) + OPEN_WORDS * s.split().count("*") for all_ in SENTENCES.values() for s in all_)
 _LICENCE = {s: licence for licence, parts in reversed(RULES) for s in parts}
 
 
+class _Open:
+    """A sentence with asterisks: its pattern, a word that must be there, its most words, and what follows an asterisk at its start."""
+
+    def __init__(self, number: int, sentence: str, name: str):
+        words = sentence.split()
+        self.number, self.name, self.pattern = number, name, _pattern(sentence)
+        first = next(i for i, w in enumerate(words) if "*" in w)
+        self.word = max((w for w in words[first:] if "*" not in w), key=len, default="")
+        self.most = len(words) + OPEN_WORDS * words.count("*")
+        self.follows = tuple(words[1:4]) if not first else None
+
+
+def _trie() -> dict:
+    """Known sentences by word; "" holds the name of one that ends here, "*" the open ones whose first asterisk comes next."""
+    root: dict = {}
+    for number, (name, sentence) in enumerate((name, s) for name, all_ in SENTENCES.items() for s in all_):
+        node = root
+        for word in sentence.split():
+            if "*" in word:
+                node.setdefault("*", []).append(_Open(number, sentence, name))
+                break
+            node = node.setdefault(word, {})
+        else:
+            node.setdefault("", name)
+    return root
+
+
+_TRIE = _trie()
+_NUMBER = re.compile(r"(?:[0-9]{1,2}|[a-z])[.)]?")
+
+
+def _sentence_at(words: list[str], at: int, ends: Iterator[int], followed: dict[tuple, list[int]]) -> tuple[int, str] | None:
+    """(number of the end, name) of the longest known sentence from a word on; ends are the word numbers where lines end.
+
+    The trie is followed word by word and open sentences are tried only when
+    what stands before their asterisk is there, so most lines are left at once.
+    """
+    best, node, start = None, _TRIE, at
+    near = lambda x: (k := bisect_left(followed[x.follows], start)) < len(followed[x.follows]) and followed[x.follows][k] <= start + OPEN_WORDS
+    live = [x for x in _TRIE.get("*", ()) if near(x)]
+    for k, end in enumerate(ends):
+        while node is not None and at < end:
+            node = node.get(words[at])
+            at += 1
+            live += node.get("*", ()) if node else ()
+        name = node.get("") if node and at == end else None
+        if not name and live:
+            live = [x for x in live if end - start <= x.most]
+            text = " ".join(words[start:end]) if live else ""
+            name = next((x.name for x in sorted(live, key=lambda x: x.number) if x.word in text and x.pattern.match(text)), None)
+        if name:
+            best = k, name
+        if node is None and not live:
+            break
+    return best
+
+
+def _followed(words: list[str]) -> dict[tuple, list[int]]:
+    """Where the words stand that follow an asterisk at a sentence's start."""
+    out = {x.follows: [] for x in _TRIE.get("*", ())}
+    for at in range(len(words) - 2):
+        if (three := tuple(words[at : at + 3])) in out:
+            out[three].append(at)
+    return out
+
+
 def sentence_id(sentence: str) -> str | None:
     """The identifier of a normalised sentence."""
-    if found := _EXACT.get(sentence):
-        return found
-    for pattern, word, name in _OPEN:
-        if word in sentence and pattern.match(sentence):
-            return name
-    return None
+    words = sentence.split(" ")
+    found = _sentence_at(words, 0, iter([len(words)]), _followed(words))
+    return found[1] if found else None
 
 
 def known_sentences(text: str) -> list[tuple[str, int, int]]:
@@ -176,22 +238,38 @@ def known_sentences(text: str) -> list[tuple[str, int, int]]:
             indent = len(line[0]) - len(line[0].lstrip())
             pieces.append((at + line.start() + indent, at + line.end(), k == len(lines) - 1))
         at = end.end()
-    plain = [normalise(body[a:b]) for a, b, _ in pieces]
-    size = [p.count(" ") + bool(p) for p in plain]
+    lines: list[list] = []  # first character, end, whether a sentence ends, words
+    for a, b, ends in pieces:
+        if plain := normalise(body[a:b]):
+            lines.append([a, b, ends, plain])
+        elif lines and ends:  # a line without words joins nothing, but may end what stands before it
+            lines[-1][2] = True
+    words: list[str] = []
+    starts = []
+    for line in lines:
+        starts.append(len(words))
+        words += line[3].split(" ")
+    starts.append(len(words))
+    followed = _followed(words)
+
+    def ends(i: int) -> Iterator[int]:
+        for k in range(i, len(lines)):
+            if starts[k + 1] - starts[i] > _MOST_WORDS:
+                return
+            yield starts[k + 1]
+            if lines[k][2]:
+                return
+
     out, i = [], 0
-    while i < len(pieces):
-        best, k, words, sentence = None, i, 0, ""
-        while k < len(pieces) and (words := words + size[k]) <= _MOST_WORDS:
-            sentence = f"{sentence} {plain[k]}" if sentence and plain[k] else sentence or plain[k]
-            name = sentence_id(sentence) or sentence_id(_ITEM.sub("", sentence))
-            if name:
-                best = (name, k)
-            if pieces[k][2]:
-                break
-            k += 1
+    while i < len(lines):
+        at = starts[i]
+        best = _sentence_at(words, at, ends(i), followed)
+        if _NUMBER.fullmatch(words[at]) and at + 1 < len(words) and "a" <= words[at + 1][0] <= "z":
+            after = _sentence_at(words, at + 1, ends(i), followed)
+            best = max(best or (-1, ""), after, key=lambda x: x[0]) if after else best
         if best:
-            out.append((best[0], pieces[i][0], pieces[best[1]][1]))
-            i = best[1] + 1
+            out.append((best[1], lines[i][0], lines[i + best[0]][1]))
+            i += best[0] + 1
         else:
             i += 1
     return out

@@ -63,7 +63,14 @@ SECTIONS = frozenset("html body div section".split()) | ARTICLES
 #: Words of class, id and role names that mark furniture.
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: Words beside which such a name tells of something else.
+TELLING = frozenset("with without has no article main".split())
+#: Containers nested deeper have the path of the one at this depth.
+DEEPEST = 200
+#: The share of a page's text that names must leave.
+OUTSIDE = 0.1
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"]*"|'[^']*')*)[^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _SPACES = re.compile(r"\s+")
@@ -82,12 +89,12 @@ def _key(*parts: str) -> int:
 
 
 class _Open:
-    """An open container: its name, its label in paths, the path to it, and whether it is furniture."""
+    """An open container: its name, its label in paths, the path to it, the text in it, and whether it is furniture."""
 
-    __slots__ = ("furniture", "label", "name", "path")
+    __slots__ = ("above", "chars", "depth", "furniture", "label", "marked", "name", "path")
 
-    def __init__(self, name: str, attributes: str, above: str, within: bool):
-        label, marked = name, name in FURNITURE
+    def __init__(self, name: str, attributes: str, above: _Open | None, in_article: bool):
+        label, marked = name, name in FURNITURE and not (name == "header" and in_article)
         if attributes:
             for a, value in _NAMED.findall(attributes):
                 a, value = a.lower(), value.strip("\"'").lower()
@@ -95,13 +102,49 @@ class _Open:
                     marked = True
                 elif a != "aria-hidden":
                     label += "." + _DIGITS.sub("0", value).replace("/", ":")
-                    marked = marked or not NAMES.isdisjoint(_WORD.findall(value)) and name not in ("html", "body", *ARTICLES)
-        self.name, self.label, self.path, self.furniture = name, label, f"{above}/{label}", within or marked
+                    marked = marked or name not in ("html", "body", *ARTICLES) and any(_is_furniture(x) for x in value.split())
+        self.name, self.label, self.marked, self.above = name, label, marked, above
+        self.depth = above.depth + 1 if above else 1
+        self.path = f"{above.path if above else ''}/{label}" if self.depth <= DEEPEST else above.path
+        self.chars, self.furniture = 0, marked or bool(above and above.furniture)
 
 
-def page_tokens(page: str):
-    """('open' or 'close', container) and ('text', container or None, words, in a link) ('space',) and ('block',) for each token of a page."""
+def _is_furniture(token: str) -> bool:
+    words = _WORD.findall(token)
+    return not NAMES.isdisjoint(words) and TELLING.isdisjoint(words)
+
+
+def page_tokens(page: str) -> list[tuple]:
+    """('open' or 'close', container) and ('text', container or None, words, in a link) ('space',) and ('block',) for each token of a page.
+
+    Names may not silence a page: where less than OUTSIDE of its text, links
+    apart, lies outside of what they mark, marked containers that hold half of
+    the text or more are no furniture.
+    """
+    tokens = list(_scan(page))
+    everything = outside = 0
+    for t in tokens:
+        if t[0] == "text" and not t[3]:
+            n = len(t[2].strip())
+            everything += n
+            if t[1]:
+                t[1].chars += n
+            if not (t[1] and t[1].furniture):
+                outside += n
+    if outside >= OUTSIDE * everything:
+        return tokens
+    opened = [t[1] for t in tokens if t[0] == "open"]
+    for c in reversed(opened):
+        if c.above:
+            c.above.chars += c.chars
+    for c in opened:
+        c.furniture = bool(c.above and c.above.furniture) or c.marked and 2 * c.chars < everything
+    return tokens
+
+
+def _scan(page: str):
     stack: list[_Open] = []
+    names: dict[str, int] = defaultdict(int)
     at, link, skip = 0, 0, ""
     for found in _TOKEN.finditer(page):
         if not skip and found.start() > at and (run := page[at : found.start()]).strip():
@@ -120,13 +163,15 @@ def page_tokens(page: str):
         elif name in CONTAINERS:
             yield ("block",)
             if not end:
-                top = stack[-1] if stack else None
-                stack.append(_Open(name, found[3], top.path if top else "", top.furniture if top else False))
+                stack.append(_Open(name, found[3], stack[-1] if stack else None, names["article"] > 0))
+                names[name] += 1
                 yield "open", stack[-1]
-            elif any(x.name == name for x in stack):
+            elif names[name]:
                 while True:
                     yield "close", stack[-1]
-                    if stack.pop().name == name:
+                    closed = stack.pop().name
+                    names[closed] -= 1
+                    if closed == name:
                         break
         elif name == "a":
             link = max(0, link + (-1 if end else 1))
