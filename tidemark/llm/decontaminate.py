@@ -85,7 +85,10 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def _likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows without most of those whose key is not among keys: a bitmap of hashed keys, bounded in size, is broadcast."""
+    """rows without most of those whose key is not among keys: a bitmap of hashed keys, bounded in size, is broadcast.
+
+    Join the result by an inner join: a semi join would be planned before this filter.
+    """
     h = F.xxhash64("key")
     word, flag = h.bitwiseAND((1 << FILTER_BITS) - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
     bitmap = keys.groupBy(word.alias("_word")).agg(F.bit_or(flag).alias("_bits"))
@@ -124,7 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     met = work.table(met.groupBy("key").agg(F.collect_list(F.struct("size", "from", "to")).alias("runs")), "met")
 
     # windows of these runs, each compared whole
-    texts = _likely(rows.select("key", "text"), met).join(met.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = _likely(rows.select("key", "text"), met).join(met.select("key"), "key").groupBy("key").agg(F.first("text").alias("text"))
     starts = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["from"], r["to"]), lambda i: F.struct(i.alias("at"), r["size"].alias("size")))))
     seen = texts.join(met, "key").select("key", _let(words(F.col("text")), lambda w: F.transform(starts, lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.array_join(F.slice(w, s["at"] + 1, s["size"]), " ").alias("window")))).alias("s"))
     seen = seen.select("key", F.explode("s").alias("s")).select("key", "s.*")
