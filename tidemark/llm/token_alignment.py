@@ -32,7 +32,9 @@ from .tokens import _LONG_RUN, LONG_RUN, default_path, vocabulary
 #: A pair's rows of the first counting stage, and of the way back, are dealt over so many keys.
 SALTS = 16
 #: Bytes of units that a worker keeps between blocks.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
+#: Texts of a block are aligned in runs of about so many bytes.
+RUN_BYTES = 1 << 20
 
 _WHITE = rb"[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 #: A space where a unit starts: no space before it, and no white space and no end after it.
@@ -187,25 +189,38 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values, type=kind))
 
 
-def _block(texts: list[bytes | None], e: Encoder):
-    """(n_a, n_b, n_groups, digests, n_links, links, codes, counts) of a block's texts; links are places in codes."""
+def _run(texts: list[bytes | None], e: Encoder):
+    """(n_a, n_b, n_groups, n_links, digests, codes of the links) of some texts of a block."""
     rows = [[t] if t and not e.cuttable else units_of(t) if t else [] for t in texts]
-    numbers = e.numbers([u for r in rows for u in r])
     n_units = np.array([len(r) for r in rows], dtype=np.int64)
-    text_of = np.repeat(np.arange(len(rows)), n_units)
-    bad = np.unique(text_of[~e.good[numbers]])
-    numbers, text_of = (x[~np.isin(text_of, bad)] for x in (numbers, text_of))
+    numbers = e.numbers(list(itertools.chain.from_iterable(rows)))
+    n = len(rows)
+    del rows
+    text_of = np.repeat(np.arange(n), n_units)
+    if not e.good[numbers].all():
+        keep = ~np.isin(text_of, text_of[~e.good[numbers]])
+        numbers, text_of = numbers[keep], text_of[keep]
     (a, a_size), (b, b_size) = _gather(e.a, e.a_at, numbers), _gather(e.b, e.b_at, numbers)
-    n_a, n_b = (np.bincount(text_of, size, len(rows)).astype(np.int64) for size in (a_size, b_size))
+    n_a, n_b = (np.bincount(text_of, size, n).astype(np.int64) for size in (a_size, b_size))
     cuts, a_group, b_group, x, y = align(a, b, np.cumsum(e.a_size[a]), np.cumsum(e.b_size[b]))
-    a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
-    digests = _digests(a, b, a_group, b_group, a_to, b_to, len(e.a_size), len(e.b_size))
-    text_of_a = np.repeat(np.arange(len(rows)), n_a)
+    digests = _digests(a, b, a_group, b_group, np.cumsum(n_a), np.cumsum(n_b), len(e.a_size), len(e.b_size))
+    text_of_a = np.repeat(np.arange(n), n_a)
     first = np.append(True, a_group[1:] != a_group[:-1]) if len(a_group) else np.empty(0, bool)
-    n_groups = np.bincount(text_of_a[first], minlength=len(rows))
-    n_links = np.bincount(text_of_a[x], minlength=len(rows))
-    codes, links, counts = np.unique((a[x] << 32) | b[y], return_inverse=True, return_counts=True)
-    return n_a, n_b, n_groups, digests, n_links, links.astype(np.int32), codes, counts
+    n_groups, n_links = np.bincount(text_of_a[first], minlength=n), np.bincount(text_of_a[x], minlength=n)
+    return n_a, n_b, n_groups, n_links, digests, (a[x] << 32) | b[y]
+
+
+def _block(texts: list[bytes | None], e: Encoder):
+    """(n_a, n_b, n_groups, digests, n_links, links, codes, counts) of a block's texts; links are places in codes."""
+    done, at, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= RUN_BYTES or k == len(texts) - 1:
+            done.append(_run(texts[at : k + 1], e))
+            at, size = k + 1, 0
+    n_a, n_b, n_groups, n_links = (np.concatenate([d[i] for d in done]) for i in range(4))
+    codes, links, counts = np.unique(np.concatenate([d[5] for d in done]), return_inverse=True, return_counts=True)
+    return n_a, n_b, n_groups, [x for d in done for x in d[4]], n_links, links.astype(np.int32), codes, counts
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
