@@ -109,54 +109,144 @@ def inverse_top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("topic_id", "rank", "doc_id", "dist")
 
 
-def _kernel(shared, k: int):
+class Balls:
+    """Pivots of one vector length by topic, and a ball around each topic's: a unit center and an angle that reaches all of them."""
+
+    def __init__(self, ids: np.ndarray, topics: np.ndarray, unit: np.ndarray):
+        names, place, counts = np.unique(topics, return_inverse=True, return_counts=True)
+        kept = counts[place] > 1  # a topic with one pivot has no pair distance
+        order = np.lexsort((ids[kept], topics[kept]))
+        self.ids, self.unit = ids[kept][order], unit[kept][order]
+        self.names, self.first, self.counts = np.unique(topics[kept], return_index=True, return_counts=True)
+        self.first = np.cumsum(self.counts) - self.counts
+        sums = np.add.reduceat(self.unit, self.first, axis=0) if len(self.names) else np.empty((0, unit.shape[1]))
+        size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        self.center = np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
+        place = np.repeat(np.arange(len(self.names)), self.counts)
+        reach = np.arccos(np.clip((self.unit * self.center[place]).sum(axis=1), -1, 1))
+        self.reach = np.maximum.reduceat(reach, self.first) if len(self.names) else np.empty(0)
+        self.reach[size[:, 0] == 0] = np.pi
+
+    def nearest(self, doc: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each vector the k nearest topics below its limit, their pair distances (inf for none), and how many distances that took.
+
+        Two pivots in a ball lie at least as far as its nearest point, twice.
+        Each vector meets the k topics of the lowest bounds first; then only
+        those whose bound doesn't exceed the k-th distance found, or the limit.
+        """
+        n, t = len(doc), len(self.names)
+        score, took = np.full((n, t), np.inf), np.full(n, t, dtype=np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        able = np.isfinite(unit).all(axis=1)
+        unit[~able] = 0
+        apart = np.arccos(np.clip(unit @ self.center.T, -1, 1)) - self.reach
+        bound = 2 * (1 - np.cos(np.clip(apart, 0, np.pi))) - 1e-9
+        most = np.full(n, np.inf) if limit is None else np.where(np.isnan(limit), np.inf, limit)
+        todo = np.zeros((n, t), dtype=bool)
+        np.put_along_axis(todo, np.argpartition(bound, min(k, t) - 1, axis=1)[:, :k], True, axis=1)
+        todo &= able[:, None] & (bound <= most[:, None])
+        self._measure(doc, unit, todo, score, took)
+        known = np.minimum(np.partition(score, min(k, t) - 1, axis=1)[:, min(k, t) - 1] if k <= t else np.inf, most)
+        self._measure(doc, unit, able[:, None] & ~todo & (bound <= known[:, None]), score, took)
+        if limit is not None:
+            score[score >= most[:, None]] = np.inf
+        best = np.argsort(score, axis=1, kind="stable")[:, :k]
+        return best, np.take_along_axis(score, best, axis=1), took
+
+    def _measure(self, doc, unit, todo, score, took) -> None:
+        for t in np.flatnonzero(todo.any(axis=0)):
+            rows, own = np.flatnonzero(todo[:, t]), slice(self.first[t], self.first[t] + self.counts[t])
+            dist = 1 - unit[rows] @ self.unit[own].T
+            dist[doc[rows][:, None] == self.ids[own][None, :]] = np.inf
+            score[rows, t] = np.partition(dist, 1, axis=1)[:, :2].sum(axis=1)
+            took[rows] += self.counts[t]
+
+
+def _kernel(shared, k: int, limited: bool, count: bool):
     def run(batches):
-        ids, topics, unit = shared.value
-        order = np.argsort(topics, kind="stable")
-        ids, topics, unit = ids[order], topics[order], unit[order]
-        names, first = np.unique(topics, return_index=True)
-        bounds = np.append(first, len(topics))
+        balls: dict[int, Balls] = shared.value
+        everything = sum(len(b.ids) for b in balls.values())
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc = batch.column("doc_id").to_numpy()
-            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            size = np.sqrt(np.einsum("ij,ij->i", v, v))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1 - (v @ unit.T) / size[:, None]
-            dist[(doc[:, None] == ids[None, :]) | ~np.isfinite(dist)] = np.inf
-            score = np.full((len(doc), len(names)), np.inf)
-            for t in range(len(names)):
-                own = dist[:, bounds[t] : bounds[t + 1]]
-                if own.shape[1] >= 2:
-                    score[:, t] = np.partition(own, 1, axis=1)[:, :2].sum(axis=1)
-            best = np.argsort(score, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(score, best, axis=1)
-            row, col = np.nonzero(np.isfinite(value))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((col + 1).astype(np.int64)), pa.array(names[best[row, col]]), pa.array(value[row, col])], names=["doc_id", "rank", "topic_id", "dist"])
+            vectors = batch.column("v")
+            sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
+            starts, doc = np.cumsum(sizes) - sizes, batch.column("doc_id").to_numpy()
+            limit = batch.column("top_limit").to_numpy(zero_copy_only=False) if limited else None
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                if size not in balls or not len(balls[size].names):
+                    if count:
+                        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(np.zeros(len(rows), np.int64)), pa.array(np.full(len(rows), everything))], names=["doc_id", "computed", "all"])
+                    continue
+                own = balls[size]
+                best, value, took = own.nearest(doc[rows], flat[starts[rows][:, None] + np.arange(size)], k, limit[rows] if limited else None)
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(took), pa.array(np.full(len(rows), everything))], names=["doc_id", "computed", "all"])
+                    continue
+                row, col = np.nonzero(np.isfinite(value))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows][row]), pa.array((col + 1).astype(np.int64)), pa.array(own.names[best[row, col]]), pa.array(value[row, col])], names=["doc_id", "rank", "topic_id", "dist"])
 
     return run
 
 
+def _balls(pivots: DataFrame) -> dict[int, Balls]:
+    rows = pivots.select("pivot_id", "topic_id", F.col("v").cast("array<double>").alias("v")).filter(F.size("v") > 0).orderBy("pivot_id").toArrow()
+    ids, topics, lists = (rows.column(c).combine_chunks() for c in ("pivot_id", "topic_id", "v"))
+    ids, topics, flat, sizes = ids.to_numpy(), topics.to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    starts, out = np.cumsum(sizes) - sizes, {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        v = flat[starts[own][:, None] + np.arange(size)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = v / np.sqrt((v**2).sum(axis=1, keepdims=True))
+        good = np.isfinite(unit).all(axis=1)
+        out[size] = Balls(ids[own][good], topics[own][good], unit[good])
+    return out
+
+
+_NEAREST = "doc_id long, rank long, topic_id long, dist double"
+
+
 def nearest_topics(docs: DataFrame, pivots: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
     """(doc_id, rank, topic_id, dist) of the k nearest topics by pair distance, without listing pairs.
 
     Up to ``settings.broadcast_pivots`` pivots, checked by a count, go to the
-    executors as one matrix and documents stream past it in Arrow batches;
-    beyond that the relational form takes over.
+    executors as matrices and documents stream past them in Arrow batches,
+    passing by the topics whose ball is too far (``Balls``); beyond that the
+    relational form takes over. Vectors are compared with pivots of their own
+    length; null, empty and zero ones, and ones that aren't finite, have no
+    distance.
     """
     settings = settings or Settings()
     if blocks_for(pivots, settings) > 1:
         return top_topics(pair_distances(pivot_pairs(docs, pivots, settings)), k).select("doc_id", "rank", "topic_id", "dist")
+    return _streamed(docs.select("doc_id", "v"), pivots, k, False)
+
+
+def entering_topics(subs: DataFrame, pivots: DataFrame, k: int, settings: Settings | None = None) -> DataFrame:
+    """As nearest_topics, for subscriptions (doc_id, v, top_limit): only topics nearer than a subscription's limit, null for none.
+
+    The limit, as the radius within which a topic may enter, keeps a
+    subscription from being scored against topics whose ball lies outside.
+    """
+    settings = settings or Settings()
+    if blocks_for(pivots, settings) > 1:
+        near = pair_distances(pivot_pairs(subs, pivots, settings)).join(subs.select("doc_id", "top_limit"), "doc_id")
+        return top_topics(near.filter(F.col("top_limit").isNull() | (F.col("dist") < F.col("top_limit"))), k).select("doc_id", "rank", "topic_id", "dist")
+    return _streamed(subs.select("doc_id", "v", "top_limit"), pivots, k, True)
+
+
+def distances_computed(docs: DataFrame, pivots: DataFrame, k: int) -> DataFrame:
+    """(doc_id, computed, all): how many distances nearest_topics (with a top_limit, entering_topics) computes, centers among them, and how many pivots there are."""
+    limited = "top_limit" in docs.columns
+    return _streamed(docs.select("doc_id", "v", *(["top_limit"] if limited else [])), pivots, k, limited, count=True)
+
+
+def _streamed(docs: DataFrame, pivots: DataFrame, k: int, limited: bool, count: bool = False) -> DataFrame:
     ship(docs.sparkSession)
-    rows = pivots.select("pivot_id", "topic_id", "v").filter(F.size("v") > 0).orderBy("pivot_id").toArrow()
-    matrix = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.empty((0, 1))
-    size = np.sqrt((matrix**2).sum(axis=1))
-    if not size.any():
-        return docs.sparkSession.createDataFrame([], "doc_id long, rank long, topic_id long, dist double")
-    state = (*(rows.column(c).to_numpy()[size > 0] for c in ("pivot_id", "topic_id")), matrix[size > 0] / size[size > 0, None])
-    shared = docs.sparkSession.sparkContext.broadcast(state)
-    return docs.select("doc_id", "v").mapInArrow(_kernel(shared, k), "doc_id long, rank long, topic_id long, dist double")
+    shared = docs.sparkSession.sparkContext.broadcast(_balls(pivots))
+    docs = docs.filter(F.size("v") > 0).withColumn("v", F.col("v").cast("array<double>"))
+    return docs.mapInArrow(_kernel(shared, k, limited, count), "doc_id long, computed long, all long" if count else _NEAREST)
 
 
 def within_radius(docs: DataFrame, centers: DataFrame, limit: Column, settings: Settings | None = None) -> DataFrame:

@@ -542,3 +542,21 @@ def grid_search(spark, d):
         return found[beta]
 
     return metrics.searched(spark, measure, metrics.grid(ALPHAS, BETAS)).select("alpha", "beta", _r("nmi"), _r("fmr"), "time", _r("norm_time"), _r("score"))
+
+
+@query("q46_pruned_topk", with_(E, P, X, R, L, TOP) + "SELECT doc_id, rank, topic_id, ROUND(dist, 6) AS dist FROM K WHERE rank <= 3 AND doc_id % 20 = 0")
+def pruned_topk(spark, d):
+    """Subscriptions, each the rows whose id 20 divides, ranked over topics in order of their balls' bounds."""
+    return D.nearest_topics(_docs(spark, d).filter("doc_id % 20 = 0"), _pivots(spark, d), SETTINGS.k, SETTINGS).select("doc_id", "rank", "topic_id", _r("dist"))
+
+
+@query("q47_entering_topics", with_(E, P, X, R, L).rstrip() + """,
+S AS (SELECT doc_id, topic_id, dist FROM L WHERE doc_id % 20 = 0),
+T AS (SELECT doc_id, CASE WHEN COUNT(*) = 3 THEN MAX(dist) END AS worst FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY dist, topic_id) AS rk FROM S WHERE topic_id % 2 = 0) WHERE rk <= 3 GROUP BY doc_id)
+SELECT doc_id, rank, topic_id, ROUND(dist, 6) AS dist FROM (SELECT S.*, ROW_NUMBER() OVER (PARTITION BY S.doc_id ORDER BY dist, topic_id) AS rank FROM S LEFT JOIN T ON T.doc_id = S.doc_id WHERE topic_id % 2 = 1 AND (worst IS NULL OR dist < worst)) WHERE rank <= 3""")
+def entering(spark, d):
+    """Odd topics are new: the ones that enter the subscriptions' rankings over even topics, each found by its limit."""
+    subs, pivots = _docs(spark, d).filter("doc_id % 20 = 0"), _pivots(spark, d)
+    known = D.nearest_topics(subs, pivots.filter("topic_id % 2 = 0"), SETTINGS.k, SETTINGS)
+    limits = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("dist").alias("worst")).select("doc_id", F.when(F.col("n") == SETTINGS.k, F.col("worst")).alias("top_limit"))
+    return D.entering_topics(subs.join(limits, "doc_id", "left"), pivots.filter("topic_id % 2 = 1"), SETTINGS.k, SETTINGS).select("doc_id", "rank", "topic_id", _r("dist"))
