@@ -17,6 +17,7 @@ from ..operators import distances as D
 from ..operators import metrics, multiset, proto, reports, subscriptions
 from ..operators import topics as T
 from ..operators.arrivals import arrivals
+from ..operators.pivot_index import PivotIndex
 from ..operators.similarity import edges_below
 from ..sources.paired import document_vectors, documents, read_paired, vectors
 from ..storage import Workspace
@@ -560,3 +561,13 @@ def entering(spark, d):
     known = D.nearest_topics(subs, pivots.filter("topic_id % 2 = 0"), SETTINGS.k, SETTINGS)
     limits = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("dist").alias("worst")).select("doc_id", F.when(F.col("n") == SETTINGS.k, F.col("worst")).alias("top_limit"))
     return D.entering_topics(subs.join(limits, "doc_id", "left"), pivots.filter("topic_id % 2 = 1"), SETTINGS.k, SETTINGS).select("doc_id", "rank", "topic_id", _r("dist"))
+
+
+@query("q48_indexed_topk")
+def indexed_topk(spark, d):
+    """q07 by the walk through the pivots' index: half of the pivots are built in, the others inserted. Without SQL, as a search
+    may miss topics; tests hold it against q05 and q07."""
+    index, pivots = PivotIndex(spark, SETTINGS.dim, SETTINGS), _pivots(spark, d)
+    index.build(pivots.filter("pivot_id % 2 = 0"))
+    index.insert(pivots.filter("pivot_id % 2 = 1"))
+    return index.nearest_topics(_docs(spark, d), SETTINGS.k).select("doc_id", "rank", "topic_id", _r("dist"))
