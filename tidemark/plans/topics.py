@@ -16,7 +16,9 @@ from ..functions.vectors import angle, as_doubles, combined_norm_distance, cosin
 from ..operators import distances as D
 from ..operators import metrics, multiset, proto, reports, subscriptions
 from ..operators import topics as T
+from ..operators import thresholds as H
 from ..operators.arrivals import arrivals
+from ..operators.diameter import wide_pairs
 from ..operators.pivot_index import PivotIndex
 from ..operators.similarity import edges_below
 from ..sources.paired import document_vectors, documents, read_paired, vectors
@@ -571,3 +573,70 @@ def indexed_topk(spark, d):
     index.build(pivots.filter("pivot_id % 2 = 0"))
     index.insert(pivots.filter("pivot_id % 2 = 1"))
     return index.nearest_topics(_docs(spark, d), SETTINGS.k).select("doc_id", "rank", "topic_id", _r("dist"))
+
+
+@query("q49_wide_pairs", with_(E, """S AS (SELECT topic_id, sweep, ARG_MIN(vec_id, MD5(sweep || '/' || vec_id)) AS f FROM E, (SELECT UNNEST(RANGE(5)) AS sweep) GROUP BY ALL),
+A AS (SELECT S.topic_id, sweep, e.vec_id AS f, ROW_NUMBER() OVER (PARTITION BY S.topic_id, sweep ORDER BY 1 - list_cosine_similarity(e.v, x.v) DESC, e.vec_id) AS rk FROM S JOIN E x ON x.vec_id = f JOIN E e ON e.topic_id = S.topic_id AND e.vec_id <> f),
+B AS (SELECT A.topic_id, LEAST(f, e.vec_id) AS a, GREATEST(f, e.vec_id) AS b, 1 - list_cosine_similarity(e.v, x.v) AS dist FROM A JOIN E x ON x.vec_id = f JOIN E e ON e.topic_id = A.topic_id AND e.vec_id <> f WHERE rk = 1)""") + "SELECT topic_id AS cluster_id, a, b, ROUND(dist, 6) AS dist FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY topic_id ORDER BY dist DESC, a, b) AS rk FROM B) WHERE rk = 1")
+def swept_pairs(spark, d):
+    """The widest pair of each label by five double sweeps."""
+    return wide_pairs(vectors(spark, d).select(F.col("topic_id").alias("cluster_id"), F.col("vec_id").alias("id"), "v")).select("cluster_id", "a", "b", _r("dist"))
+
+
+CUTS, STEP = [0.9, 0.95, 1.0], 0.02  #: scales of single-linkage cuts, and the step of the finer ones
+_ALL_EDGES = "G AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_cosine_similarity(a.v, b.v) AS dist FROM E a JOIN E b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) < 0.65)"
+
+
+def _cuts_sql(k: str) -> str:
+    """O{k} (alpha, id, cluster_id): the clusters of each alpha of A{k}."""
+    return f"""S{k} AS (SELECT alpha, a AS x, b AS y FROM G, A{k} WHERE dist < alpha / (LN(2) + 1) UNION SELECT alpha, b, a FROM G, A{k} WHERE dist < alpha / (LN(2) + 1)),
+Q{k} AS (SELECT alpha, vec_id AS id, vec_id AS r FROM E, A{k} UNION SELECT Q{k}.alpha, Q{k}.id, S{k}.y FROM Q{k} JOIN S{k} ON S{k}.alpha = Q{k}.alpha AND S{k}.x = Q{k}.r),
+O{k} AS (SELECT alpha, id, MIN(r) AS cluster_id FROM Q{k} GROUP BY ALL)"""
+
+
+def _scored_sql(k: str) -> str:
+    """Z{k}: the scores of all settings of A{k} and B{k}."""
+    return f"""{_cuts_sql(k)},
+M{k} AS (SELECT O{k}.alpha, beta, E.topic_id AS l, CASE WHEN B.dist < beta THEN 't' || B.topic_id WHEN m > 3 THEN 'c' || O{k}.cluster_id ELSE '-' END AS c, COALESCE(B.dist < beta, FALSE)::INT AS hit
+  FROM O{k} JOIN (SELECT alpha, cluster_id, COUNT(*) AS m FROM O{k} GROUP BY ALL) z ON z.alpha = O{k}.alpha AND z.cluster_id = O{k}.cluster_id JOIN E ON E.vec_id = O{k}.id JOIN B{k} ON TRUE LEFT JOIN B ON B.doc_id = E.vec_id),
+J{k} AS (SELECT alpha, beta, l, c, COUNT(*)::DOUBLE AS n FROM M{k} GROUP BY ALL),
+JL{k} AS (SELECT alpha, beta, l, SUM(n) AS n FROM J{k} GROUP BY ALL), JC{k} AS (SELECT alpha, beta, c, SUM(n) AS n FROM J{k} GROUP BY ALL),
+JT{k} AS (SELECT alpha, beta, COUNT(*)::DOUBLE AS t, AVG(hit) AS fmr, SUM(1 - hit)::DOUBLE AS time FROM M{k} GROUP BY ALL),
+MI{k} AS (SELECT alpha, beta, SUM(J{k}.n / t * LN(J{k}.n * t / (JL{k}.n * JC{k}.n))) AS mi FROM J{k} JOIN JL{k} USING (alpha, beta, l) JOIN JC{k} USING (alpha, beta, c) JOIN JT{k} USING (alpha, beta) GROUP BY ALL),
+HL{k} AS (SELECT alpha, beta, -SUM(n / t * LN(n / t)) AS hl FROM JL{k} JOIN JT{k} USING (alpha, beta) GROUP BY ALL), HC{k} AS (SELECT alpha, beta, -SUM(n / t * LN(n / t)) AS hc FROM JC{k} JOIN JT{k} USING (alpha, beta) GROUP BY ALL),
+N{k} AS (SELECT alpha, beta, CASE WHEN hl + hc = 0 THEN 1 ELSE mi / ((hl + hc) / 2) END AS nmi, fmr, time, COALESCE((time - MIN(time) OVER ()) / NULLIF(MAX(time) OVER () - MIN(time) OVER (), 0), 0) AS norm_time FROM MI{k} JOIN HL{k} USING (alpha, beta) JOIN HC{k} USING (alpha, beta) JOIN JT{k} USING (alpha, beta)),
+Z{k} AS (SELECT *, nmi * fmr * (1 - norm_time) AS score FROM N{k})"""
+
+
+_FIRST = "A1 AS (SELECT UNNEST([0.9, 0.95, 1.0])::DOUBLE AS alpha), B1 AS (SELECT UNNEST([1.4, 1.5, 1.6])::DOUBLE AS beta)"
+_SECOND = """T AS (SELECT alpha, beta FROM Z1 ORDER BY ROUND(score, 9) DESC, alpha, beta LIMIT 1),
+A2 AS (SELECT ROUND(alpha + i * 0.02, 6) AS alpha FROM T, (SELECT UNNEST(RANGE(-2, 3)) AS i)), B2 AS (SELECT ROUND(beta + i * 0.02, 6) AS beta FROM T, (SELECT UNNEST(RANGE(-2, 3)) AS i))"""
+
+
+def _forest(spark, d, work):
+    """The spanning forest of the embeddings, up to the widest cut that either stage can ask for."""
+    widest = Settings(alpha=CUTS[-1] + 2 * STEP).first_radius
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), "v")
+    return rows.select("id"), H.spanning_forest(edges_below(rows, widest), work)
+
+
+@query("q50_cuts", "WITH RECURSIVE " + ",\n".join([E, _ALL_EDGES, _FIRST, _cuts_sql("1")]) + " SELECT alpha, id, cluster_id FROM O1")
+def threshold_cuts(spark, d):
+    """Single-linkage clusters at the first radius of three scales, from one spanning forest."""
+    work = Workspace(spark, "cuts")
+    nodes, forest = _forest(spark, d, work)
+    out = H.cuts(nodes, forest, [Settings(alpha=a).first_radius for a in CUTS], work)
+    return out.select(F.element_at(F.array(*map(F.lit, CUTS)), F.col("at") + 1).alias("alpha"), "id", "cluster_id")
+
+
+@query("q51_threshold_search", "WITH RECURSIVE " + ",\n".join([E, P, X, R, L, BEST, _ALL_EDGES, _FIRST, _scored_sql("1"), _SECOND, _scored_sql("2")]) + " SELECT stage, alpha, beta, ROUND(nmi, 6) AS nmi, ROUND(fmr, 6) AS fmr, time, ROUND(norm_time, 6) AS norm_time, ROUND(score, 6) AS score FROM (SELECT 1 AS stage, * FROM Z1 UNION ALL SELECT 2, * FROM Z2)")
+def threshold_search(spark, d):
+    """Both stages of a search over alpha, the scale of clusters, and beta, the limit of matches: one forest for all settings,
+    one table of scores for each stage. Documents without a topic go to their cluster, and stand for the time."""
+    work = Workspace(spark, "threshold-search")
+    nodes, forest = _forest(spark, d, work)
+    best = work.table(D.best_topic(_scored(spark, d)), "best")
+    labels = vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("topic_id").alias("label"))
+    cut = lambda alphas: H.cuts(nodes, forest, [Settings(alpha=a).first_radius for a in alphas], work)
+    out = H.two_stages(cut, labels, best.withColumnRenamed("doc_id", "id"), CUTS, BETAS, CHECK, STEP, work)
+    return out.select("stage", "alpha", "beta", _r("nmi"), _r("fmr"), "time", _r("norm_time"), _r("score"))
