@@ -21,7 +21,8 @@ from ..operators.arrivals import arrivals
 from ..operators.diameter import wide_pairs
 from ..operators.pivot_index import PivotIndex
 from ..operators.similarity import edges_below
-from ..sources.paired import document_vectors, documents, read_paired, vectors
+from ..sources import lines
+from ..sources.paired import document_vectors, documents, pair_lines, vectors
 from ..storage import Workspace
 from .registry import query
 
@@ -491,13 +492,12 @@ SELECT doc_id, doc_id - 1 AS seq, MD5(REPLACE(line, '  ', ' ')) AS digest, LEN(v
 
 @query("q42_paired_files", _PAIRED)
 def paired_files(spark, d):
-    """Texts and vectors in two line-aligned files, text and CSV, written from the table and read as the engine's input."""
-    work = Workspace(spark, "paired-files")
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").coalesce(1)  # a file's lines have an order only within the file
+    """Texts and vectors in line-aligned files, text and CSV, written from the table by several tasks and read by byte ranges."""
+    path = Workspace(spark, "paired-files").path
     cells = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ",")
-    rows.select(F.concat(F.lit("topic "), "label", F.lit("  of "), "vec_id")).write.text(f"{work.path}/texts")
-    rows.select(F.concat(cells, F.lit(",bad"))).write.text(f"{work.path}/vectors")
-    out = read_paired(spark, f"{work.path}/texts", f"{work.path}/vectors", 64)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    lines.write_aligned(rows.select("vec_id", F.concat(F.lit("topic "), "label", F.lit("  of "), "vec_id").alias("texts"), F.concat(cells, F.lit(",bad")).alias("vectors")), "vec_id", path, 8)
+    out = pair_lines(lines.numbered(spark, f"{path}/texts"), lines.numbered(spark, f"{path}/vectors", 1 << 16), 64)
     return out.select("doc_id", "seq", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"), F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 

@@ -24,6 +24,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(starts, ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("seq"), "value")
 
 
+def pair_lines(texts: DataFrame, numbers: DataFrame, dim: int | None = None) -> DataFrame:
+    """(doc_id, seq, tokens, v) of lines (seq, value) of texts and of vectors; see read_paired."""
+    texts = texts.select("seq", tokens(F.col("value")).alias("tokens"))
+    found = numbers.select("seq", as_doubles(parse_floats(F.col("value"))).alias("v"))
+    out = texts.join(found, "seq").select((F.col("seq") + 1).alias("doc_id"), "seq", "tokens", "v")
+    return out.filter(F.size("v") == dim) if dim else out
+
+
 def read_paired(spark: SparkSession, text_path: str, vector_path: str, dim: int | None = None, strict: bool = False) -> DataFrame:
     """(doc_id, seq, tokens, v): line i of one file with line i of the other, up to the shorter one.
 
@@ -35,10 +43,7 @@ def read_paired(spark: SparkSession, text_path: str, vector_path: str, dim: int
         n, m = (spark.read.text(p).count() for p in (text_path, vector_path))
         if n != m:
             raise ValueError(f"{n} texts and {m} vectors")
-    texts = numbered_lines(spark, text_path).select("seq", tokens(F.col("value")).alias("tokens"))
-    vectors = numbered_lines(spark, vector_path).select("seq", as_doubles(parse_floats(F.col("value"))).alias("v"))
-    out = texts.join(vectors, "seq").select((F.col("seq") + 1).alias("doc_id"), "seq", "tokens", "v")
-    return out.filter(F.size("v") == dim) if dim else out
+    return pair_lines(numbered_lines(spark, text_path), numbered_lines(spark, vector_path), dim)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
