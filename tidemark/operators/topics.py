@@ -64,33 +64,50 @@ def new_pivots(pairs: DataFrame, beta: float) -> DataFrame:
     return pairs.groupBy("doc_id", "topic_id").agg(F.min("dist").alias("dist")).filter(F.col("dist") > beta / 2)
 
 
+def unit_sums(pivots: DataFrame) -> DataFrame:
+    """(topic_id, v, k): the summed unit vectors of each topic's k pivots; zero vectors don't count."""
+    rows = pivots.withColumn("n", norm(F.col("v"))).filter("n > 0")
+    cells = rows.select("topic_id", "n", F.posexplode("v").alias("pos", "x")).groupBy("topic_id", "pos").agg(F.sum(F.col("x") / F.col("n")).alias("x"), F.count("*").alias("k"))
+    sums = cells.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.max("k").alias("k"))
+    return sums.select("topic_id", F.transform("c", lambda s: s["x"]).alias("v"), "k")
+
+
 def average_linkage(pivots: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(topic_a, topic_b, dist), a < b: the mean distance of their pivots; with of (topic_id), only pairs with one of these.
 
     The mean of cosines is a product of sums of unit vectors, so topics are
-    compared by one vector each instead of by all pairs of pivots.
+    compared by one vector each instead of by all pairs of pivots. All pairs
+    of topics are measured; ``topic_graph`` finds the near ones without that.
     """
-    rows = pivots.withColumn("n", norm(F.col("v"))).filter("n > 0")
-    cells = rows.select("topic_id", "n", F.posexplode("v").alias("pos", "x")).groupBy("topic_id", "pos").agg(F.sum(F.col("x") / F.col("n")).alias("x"), F.count("*").alias("k"))
-    sums = cells.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.max("k").alias("k"))
-    sums = sums.select("topic_id", F.transform("c", lambda s: s["x"]).alias("v"), "k")
-    a, b = sums.alias("a"), sums.alias("b")
+    sums = unit_sums(pivots)
     if of is None:
-        pairs = a.join(b, F.col("a.topic_id") < F.col("b.topic_id"))
-        low, high = F.col("a.topic_id"), F.col("b.topic_id")
-    else:
-        chosen = of.select("topic_id").distinct()
-        pairs = sums.join(chosen, "topic_id", "left_semi").alias("a").join(b, F.col("a.topic_id") != F.col("b.topic_id"))
-        low, high = F.least("a.topic_id", "b.topic_id"), F.greatest("a.topic_id", "b.topic_id")
-        return pairs.select(low.alias("topic_a"), high.alias("topic_b"), (1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))).alias("dist")).dropDuplicates(["topic_a", "topic_b"])
-    return pairs.select(low.alias("topic_a"), high.alias("topic_b"), (1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))).alias("dist"))
+        pairs = sums.alias("a").join(sums.alias("b"), F.col("a.topic_id") < F.col("b.topic_id"))
+        return pairs.select(F.col("a.topic_id").alias("topic_a"), F.col("b.topic_id").alias("topic_b"), _mean_distance().alias("dist"))
+    chosen = of.select("topic_id").distinct()
+    pairs = sums.join(chosen, "topic_id", "left_semi").alias("a").join(sums.alias("b"), F.col("a.topic_id") != F.col("b.topic_id"))
+    low, high = F.least("a.topic_id", "b.topic_id"), F.greatest("a.topic_id", "b.topic_id")
+    return pairs.select(low.alias("topic_a"), high.alias("topic_b"), _mean_distance().alias("dist")).dropDuplicates(["topic_a", "topic_b"])
+
+
+def linkage(pairs: DataFrame, sums: DataFrame) -> DataFrame:
+    """(topic_a, topic_b, dist): the average linkage of given pairs (topic_a, topic_b), by the topics' unit_sums."""
+    rows = pairs.join(sums.alias("a"), F.col("topic_a") == F.col("a.topic_id")).join(sums.alias("b"), F.col("topic_b") == F.col("b.topic_id"))
+    return rows.select("topic_a", "topic_b", _mean_distance().alias("dist"))
+
+
+def _mean_distance() -> Column:
+    return 1 - dot(F.col("a.v"), F.col("b.v")) / (F.col("a.k") * F.col("b.k"))
+
+
+def nearest_linked(linkage: DataFrame) -> DataFrame:
+    """(topic_id, nearest, dist): each topic's nearest other one; ties go to the lowest."""
+    both = linkage.select(F.col("topic_a").alias("topic_id"), F.col("topic_b").alias("nearest"), "dist").union(linkage.select("topic_b", "topic_a", "dist"))
+    return both.groupBy("topic_id").agg(F.min(F.struct("dist", "nearest")).alias("b")).select("topic_id", "b.nearest", "b.dist")
 
 
 def nearest_other(linkage: DataFrame, sizes: DataFrame, alpha: float) -> DataFrame:
     """(topic_id, nearest, dist, merge_limit): each topic's nearest other one and the limit under which they merge."""
-    both = linkage.select(F.col("topic_a").alias("topic_id"), F.col("topic_b").alias("nearest"), "dist").union(linkage.select("topic_b", "topic_a", "dist"))
-    best = both.groupBy("topic_id").agg(F.min(F.struct("dist", "nearest")).alias("b")).select("topic_id", "b.nearest", "b.dist")
-    return best.join(sizes, "topic_id").select("topic_id", "nearest", "dist", merge_limit(F.col("n_docs"), alpha).alias("merge_limit"))
+    return nearest_linked(linkage).join(sizes, "topic_id").select("topic_id", "nearest", "dist", merge_limit(F.col("n_docs"), alpha).alias("merge_limit"))
 
 
 def merge_map(merges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators.arrivals import arrivals
 from ..operators.diameter import wide_pairs
 from ..operators.pivot_index import PivotIndex
 from ..operators.similarity import edges_below
+from ..operators.topic_graph import TopicGraph
 from ..sources import lines
 from ..sources.paired import document_vectors, documents, pair_lines, vectors
 from ..storage import Workspace
@@ -640,3 +641,37 @@ def threshold_search(spark, d):
     cut = lambda alphas: H.cuts(nodes, forest, [Settings(alpha=a).first_radius for a in alphas], work)
     out = H.two_stages(cut, labels, best.withColumnRenamed("doc_id", "id"), CUTS, BETAS, CHECK, STEP, work)
     return out.select("stage", "alpha", "beta", _r("nmi"), _r("fmr"), "time", _r("norm_time"), _r("score"))
+
+
+KEPT = "K AS (SELECT * FROM P WHERE pivot_id % 7 <> 0)"
+_NEAR = "AVG(1 - list_cosine_similarity(a.v, b.v)) AS dist FROM {0} a JOIN {0} b ON a.topic_id <> b.topic_id GROUP BY ALL"
+
+
+def _near_sql(k: int, pivots: str) -> str:
+    """N{k}: the nearest topic of each topic of the table pivots, where it is nearer than 0.99."""
+    return f"N{k} AS (SELECT topic_id, nearest, dist FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY topic_id ORDER BY dist, nearest) AS rk FROM (SELECT a.topic_id, b.topic_id AS nearest, {_NEAR.format(pivots)})) WHERE rk = 1 AND dist < 0.99)"
+
+
+def _graph(spark, d) -> TopicGraph:
+    """Pivots in two inserts, then every seventh id goes."""
+    graph, pivots = TopicGraph(spark, SETTINGS.dim, MERGE_BELOW), _pivots(spark, d)
+    graph.insert(pivots.filter("pivot_id % 2 = 0"))
+    graph.insert(pivots.filter("pivot_id % 2 = 1"))
+    graph.erase(pivots.filter("pivot_id % 7 = 0"))
+    return graph
+
+
+@query("q52_pivot_links", with_(E, P, KEPT) + "SELECT a.pivot_id AS a, b.pivot_id AS b, ROUND(1 - list_cosine_similarity(a.v, b.v), 6) AS dist FROM K a JOIN K b ON a.pivot_id <> b.pivot_id WHERE 1 - list_cosine_similarity(a.v, b.v) < 0.99")
+def pivot_links(spark, d):
+    """The graph's links, in both directions, after inserts and erasures."""
+    return _graph(spark, d).table("link").select("a", "b", _r("dist"))
+
+
+@query("q53_graph_merges", with_(E, P, KEPT, _near_sql(1, "K"), "U AS (SELECT GREATEST(topic_id, nearest) AS topic_id, MIN(LEAST(topic_id, nearest)) AS survivor FROM N1 GROUP BY 1)", "K2 AS (SELECT pivot_id, COALESCE(survivor, K.topic_id) AS topic_id, v FROM K LEFT JOIN U ON U.topic_id = K.topic_id)", _near_sql(2, "K2")) + "SELECT 1::BIGINT AS stage, topic_id, nearest, ROUND(dist, 6) AS dist FROM N1 UNION ALL SELECT 2::BIGINT, topic_id, nearest, ROUND(dist, 6) FROM N2")
+def graph_merges(spark, d):
+    """Each topic's nearest one by the graph after erasures, and again after the merges that follow."""
+    graph, work = _graph(spark, d), Workspace(spark, "graph-merges")
+    stage = lambda k, rows: rows.select(F.lit(k).cast("long").alias("stage"), "topic_id", "nearest", _r("dist"))
+    first = work.table(graph.nearest(), "first")
+    graph.merge(T.merge_map(first))
+    return stage(1, first).union(stage(2, graph.nearest()))
