@@ -12,7 +12,7 @@ from tidemark.operators import distances as D
 from tidemark.operators import metrics, multiset, proto, subscriptions
 from tidemark.operators import topics as T
 from tidemark.operators.components import components
-from tidemark.operators.similarity import edges_below
+from tidemark.operators.similarity import edges_below, neighbours_within
 from tidemark.sources.paired import numbered_lines, read_paired
 from tidemark.storage import Workspace
 
@@ -82,6 +82,23 @@ def test_edges_equal_brute_force(spark, rows):
         assert {(r.a, r.b) for r in edges_below(rows.select(F.col("vec_id").alias("id"), "v"), 0.7, block).collect()} == true
 
 
+def test_blocks_meet_without_a_shuffle(spark, rows):
+    """Blocks that are exploded for each other move with the square of the table."""
+    vectors = rows.repartition(5).select(F.col("vec_id").alias("id"), "v")
+    balls = vectors.withColumn("radius", F.lit(0.7))
+    near, within = edges_below(vectors, 0.7, 3), neighbours_within(vectors, balls, 3).filter("a < b")
+    assert {(r.a, r.b) for r in near.collect()} == {(r.a, r.b) for r in within.collect()}
+    for df in (near, within):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_odd_vectors_have_no_edges(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1e-3, 70000.0]), (8, [0.0, -3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [(r.a, r.b) for r in edges_below(df, 0.5).collect()] == [(1, 2)]
+
+
 @pytest.mark.parametrize("part_links", [3, 250_000])
 def test_components_equal_union_find(spark, part_links, monkeypatch):
     from tidemark.operators import components as module
