@@ -66,3 +66,17 @@ def test_sweeps_of_odd_clusters(spark):
     assert found[1] == (1, 2, 1.0) and found[3][2] == 0.0 and found[4][:2] == (100, 169)
     assert set(found) == {1, 3, 4}
     assert wide_pairs(spark.createDataFrame([], "cluster_id long, id long, v array<double>")).count() == 0
+
+
+def test_a_part_keeps_its_forest_only(monkeypatch):
+    """Of a part's edges no more than it has nodes are shuffled, and the forest is the same."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "HELD", 50)
+    r = random.Random(2)
+    edges = sorted({(a, b, r.random()) for a in range(30) for b in range(a + 1, 30)})
+    rows = pa.table({"a": [e[0] for e in edges], "b": [e[1] for e in edges], "dist": [e[2] for e in edges]})
+    kept = [tuple(x.values()) for batch in H._part_forest(rows.to_batches(max_chunksize=40)) for x in batch.to_pylist()]
+    assert len(kept) == 29
+    order = sorted(edges, key=lambda e: e[2])
+    assert sorted(kept) == sorted(order[k] for k in H.uniting([e[0] for e in order], [e[1] for e in order]))

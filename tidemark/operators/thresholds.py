@@ -10,13 +10,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..storage import Workspace
-from .components import components
+from .components import components, uniting
 from .metrics import normalised_time, refined, score
 
+HELD = 500_000  #: edges that a task holds before it leaves out what closes a cycle
+
+
+def _part_forest(batches):
+    """A part's edges (a, b, dist) without those that close a cycle of lower ones: the whole's forest has none of them."""
+
+    def forest(rows: pa.Table) -> pa.Table:
+        a, b, dist = (rows.column(c).to_numpy() for c in ("a", "b", "dist"))
+        order = np.lexsort((b, a, dist))
+        return rows.take(order[uniting(a[order].tolist(), b[order].tolist())])
+
+    held, most = None, HELD
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if len(held) > most:
+            held = forest(held).combine_chunks()
+            most = max(HELD, 2 * len(held))
+    if held is not None and len(held):
+        yield from forest(held).to_batches(100_000)
+
 
 def spanning_forest(edges: DataFrame, work: Workspace) -> DataFrame:
     """(a, b, dist) of the minimum spanning forest of edges (a, b, dist), a <> b; of equal distances the lowest ids come first.
@@ -25,10 +49,14 @@ def spanning_forest(edges: DataFrame, work: Workspace) -> DataFrame:
     aggregation, and what these edges join becomes one component. Components
     at least halve in number, so rounds grow with the logarithm of it. Edges
     inside a component leave, and of several between two only the least stays.
-    Null distances are no edges; repeated ones count once.
+    Null distances are no edges; repeated ones count once. Where edges lie,
+    those that close a cycle of lower ones leave first, so that no more are
+    shuffled than each part has nodes.
     """
+    ship(edges.sparkSession)
     clean = edges.filter("a <> b AND dist IS NOT NULL AND NOT isnan(dist)")
-    clean = clean.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("dist").alias("dist"))
+    clean = clean.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), F.col("dist").cast("double").alias("dist"))
+    clean = clean.mapInArrow(_part_forest, "a long, b long, dist double").groupBy("a", "b").agg(F.min("dist").alias("dist"))
     left = work.table(clean.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("dist", "a", "b").alias("e")), "left")
     forest = []
     while left.limit(1).count():
