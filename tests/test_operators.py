@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,26 @@ def test_multisets(spark):
     assert sorted(map(tuple, multiset.difference(df, "k", "l", "r").collect())) == [(1, "a", 1), (1, "b", 1)]
 
 
+def test_multisets_move_arrays_once_by_key(spark):
+    """Rows of one key count together, whatever their batch; before, elements were shuffled one by one and joined."""
+    rows = [(k % 7, ["a", "b", "a"][: k % 4], ["a", None, f"x{k}"]) for k in range(300)] + [(None, ["q"], ["q"]), (9, None, ["a"])]
+    df = spark.createDataFrame(rows, "k long, l array<string>, r array<string>").repartition(3)
+    both, more = Counter(), Counter()
+    left, right = (Counter((r[0], x) for r in rows for x in r[side] or []) for side in (1, 2))
+    for (k, x), n in left.items():
+        m = right[k, x] if k is not None and x is not None else 0
+        both[k, x], more[k, x] = min(n, m), n - m
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = multiset.intersection(df, "k", "l", "r"), multiset.difference(df, "k", "l", "r")
+        for df, true in zip(found, (both, more), strict=True):
+            assert {(r.k, r.x): r.n for r in df.collect()} == {at: n for at, n in true.items() if n > 0}
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression [k") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_nmi_bounds(spark):
     same = spark.createDataFrame([(i % 3, (i % 3) * 10) for i in range(12)], "a long, b long")
     assert metrics.normalised_mutual_information(same, "a", "b").first()[0] == pytest.approx(1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import parse_floats
+from ..functions.text import parse_floats, tokens
 from ..functions.vectors import angle, as_doubles, combined_norm_distance, cosine_distance, half_angle_radius, join_limit, merge_limit, midpoint, norm, squared_l2
 from ..operators import distances as D
 from ..operators import metrics, multiset, proto, reports, subscriptions
@@ -319,18 +319,20 @@ BAGS = "Y1 AS (SELECT doc_id, x, COUNT(*) AS n FROM (SELECT doc_id, UNNEST(l) AS
 
 
 def _next(spark, d):
-    rows = documents(spark, d)
-    return rows.select("doc_id", F.col("tokens").alias("l"), F.lead("tokens").over(Window.partitionBy("source").orderBy("doc_id")).alias("r")).filter("r IS NOT NULL")
+    """(doc_id, l, r): texts, which are moved as they are and become tokens afterwards: arrays of tokens are several times larger."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    following = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("r")
+    return rows.select("doc_id", F.col("text").alias("l"), following).filter("r IS NOT NULL")
 
 
 @query("q22_multiset_intersection", with_(TOKENS, NEXT, BAGS) + "SELECT doc_id, x, LEAST(n, m) AS n FROM Y1 JOIN Y2 USING (doc_id, x)")
 def multiset_intersection(spark, d):
-    return multiset.intersection(_next(spark, d), "doc_id", "l", "r")
+    return multiset.intersection(_next(spark, d), "doc_id", tokens(F.col("l")), tokens(F.col("r")))
 
 
 @query("q23_multiset_difference", with_(TOKENS, NEXT, BAGS) + "SELECT doc_id, x, n - COALESCE(m, 0) AS n FROM Y1 LEFT JOIN Y2 USING (doc_id, x) WHERE n > COALESCE(m, 0)")
 def multiset_difference(spark, d):
-    return multiset.difference(_next(spark, d), "doc_id", "l", "r")
+    return multiset.difference(_next(spark, d), "doc_id", tokens(F.col("l")), tokens(F.col("r")))
 
 
 @query("q24_decay_expiry", with_(E, P) + ", Q AS (SELECT topic_id, pivot_id, POW(2, -0.2 * ((SELECT MAX(vec_id) FROM E) - pivot_id * 7)) AS score FROM P) SELECT topic_id, pivot_id, ROUND(score, 12) AS score, score < 1e-10 AS expired, MIN((score < 1e-10)::INT) OVER (PARTITION BY topic_id) = 1 AS topic_expired FROM Q")
