@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators import proto
+from tidemark.operators import topics as T
 from tidemark.storage import Workspace
 from tidemark.streaming.engine import TopicStream
 
@@ -67,6 +68,35 @@ def test_progress_of_each_batch(spark):
     assert [{k: v for k, v in p.items() if k != "seconds"} for p in e.progress] == [{"batch_id": 0, "documents": 7, "matched": 0, "merged": 0, "expired": 0, "born": 1}]
 
 
+def test_no_step_of_a_batch_has_a_large_plan(spark, monkeypatch):
+    """The driver holds the plans of all steps, and the code that is made for them."""
+    sizes, table = {}, Workspace.table
+
+    def measured(self, df, name, **options):
+        sizes[name] = max(sizes.get(name, 0), len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return table(self, df, name, **options)
+
+    monkeypatch.setattr(Workspace, "table", measured)
+    rows = [(i, "publish", i, [f"w{i}"], near(0.01 * i)) for i in range(6)]
+    rows += [(i, "publish", i, [f"w{i}"], [0.0, math.sin(0.01 * i), math.cos(0.01 * i)]) for i in range(6, 12)]
+    e = TopicStream(spark, Settings(dim=3, check=4))
+    e.replay(spark.createDataFrame(rows, SCHEMA), 6)
+    assert e.table("topic").count() == 2 and "fresh" in sizes
+    assert max(sizes.values()) < 100, sizes
+
+
+def test_a_replayed_batch_is_stored_once(spark, monkeypatch):
+    names, table = [], Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name, **options: names.append((name, "tokens" in df.columns)) or table(self, df, name, **options))
+    TopicStream(spark, Settings(dim=3, check=4)).replay(spark.createDataFrame(events(), SCHEMA), 100)
+    assert [n for n, texts in names if texts] == ["all", "waiting"]
+
+
+def test_topics_with_distinct_texts(spark):
+    texts = spark.createDataFrame([(1, ["a", "b"]), (1, ["a b"]), (1, ["a", "b"]), (2, ["x"]), (2, ["x"]), (3, []), (3, None)], "topic_id long, tokens array<string>")
+    assert sorted(tuple(r) for r in T.may_have_pivots(texts, 0).collect()) == [(1, 2), (2, 1), (3, 1)]
+
+
 def test_clusters_that_no_one_joins_are_forgotten(spark):
     e = TopicStream(spark, Settings(dim=3, check=4, retention=3))
     lone = [(i, "publish", i, ["x"], v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0]])]
