@@ -13,7 +13,7 @@ from tidemark.functions import text, vectors
 from tidemark.operators import distances as D
 from tidemark.operators import metrics, multiset, proto, subscriptions
 from tidemark.operators import topics as T
-from tidemark.operators.components import components
+from tidemark.operators.components import components, forests
 from tidemark.operators.similarity import edges_below, neighbours_within
 from tidemark.sources.paired import numbered_lines, read_paired, token_counts
 from tidemark.storage import Workspace
@@ -101,6 +101,14 @@ def test_odd_vectors_have_no_edges(spark):
     assert [(r.a, r.b) for r in edges_below(df, 0.5).collect()] == [(1, 2)]
 
 
+def test_forests_keep_components_and_drop_cycles(spark):
+    links = [(a, b) for a in range(40) for b in range(a)] + [(50, 51), (60, 60)]
+    kept = [tuple(r) for r in forests(spark.createDataFrame(links, "u int, v int").repartition(2)).collect()]
+    assert len(kept) <= 2 * 40 + 1 and {frozenset(x) for x in kept if x[0] >= 50} == {frozenset((50, 51))}
+    found = components(spark.createDataFrame(kept, "u long, v long"), Workspace(spark, "test"))
+    assert {tuple(r) for r in found.collect()} == {(a, 0) for a in range(1, 40)} | {(51, 50)}
+
+
 @pytest.mark.parametrize("part_links", [3, 250_000])
 def test_components_equal_union_find(spark, part_links, monkeypatch):
     from tidemark.operators import components as module

@@ -33,7 +33,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _forest(batches):
-    """The links of one part as stars: (node, smallest node of its component)."""
+    """The links of one part as stars: (node, smallest node of its component). Parts of many nodes are taken in several."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -41,15 +41,27 @@ def _forest(batches):
             above[x] = x = above[y]
         return x
 
+    def stars():
+        nodes = [x for x in above if root(x) != x]
+        for i in range(0, len(nodes), 100_000):
+            part = nodes[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             u, v = root(u), root(v)
             if u != v:
                 above[max(u, v)] = min(u, v)
-    nodes = [x for x in above if root(x) != x]
-    for i in range(0, len(nodes), 100_000):
-        part = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+        if len(above) > 2 * PART_LINKS:
+            yield from stars()
+            above.clear()
+    yield from stars()
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Fewer edges (u, v) with the same components: those that a task finds become stars before they are written or shuffled."""
+    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
+    return edges.mapInArrow(_forest, "u long, v long")
 
 
 def uniting(u, v) -> list[int]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.vectors import angle, cosine_distance, join_limit, midpoint
 from ..storage import Workspace
-from .components import components
+from .components import components, forests
 from .distances import member_distances
 from .similarity import edges_below, neighbours_within
 
@@ -18,7 +18,7 @@ from .similarity import edges_below, neighbours_within
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster_id) for all nodes (id): the lowest id that edges (a, b) lead to."""
     work = Workspace(nodes.sparkSession, "clusters")
-    label = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), work)
+    label = components(forests(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), work)
     return nodes.select("id").join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
