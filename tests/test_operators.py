@@ -130,6 +130,52 @@ def test_components_equal_union_find(spark, part_links, monkeypatch):
     assert {x.node: x.component for x in found.collect()} == {x: root(x) for x in parent if root(x) != x}
 
 
+def lowest_reached(rows, limit):
+    """Brute force: the lowest id that each one leads to by pairs of rows below limit."""
+    label = {i: i for i, _ in rows}
+    good = [(i, v) for i, v in rows if v and any(v) and not any(map(math.isnan, v))]
+    links = [(i, j) for i, v in good for j, w in good if i < j and cosine(v, w) < limit]
+    for _ in label:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("block,limit", [(1, 0.15), (2, 0.3), (5, 0.2), (1024, 0.2), (1, 0.7)])
+def test_near_components_equal_brute_force(spark, block, limit, monkeypatch):
+    """In groups of one block to all; ids that lie in several groups, copies, odd vectors and a chain are among the rows."""
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "FILE_BLOCKS", 3)
+    monkeypatch.setattr(similarity.groups_below, "__defaults__", (block,))
+    rows = [(i, v) for i, _, v in noise(70, 4, seed=block)] + [(200 + i, v) for i, _, v in noise(9, 4, seed=block)]
+    rows += [(7, [0.1, -1.0, 0.2, 0.0]), (68, [-0.3, 0.1, -1.0, 0.5]), (300, None), (301, []), (302, [0.0] * 4), (303, [float("nan"), 1.0, 0.0, 0.0])]
+    rows += [(400 + i, [math.cos(i / 5), math.sin(i / 5), 9.0, 0.0]) for i in range(30)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    found = proto.label_near(df.select("id"), df, limit).collect()
+    assert len(found) == len(rows) and {(r.id, r.cluster_id) for r in found} == set(lowest_reached(rows, limit).items())
+
+
+def test_near_components_of_nothing_and_of_null_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [2.0, 0.1]), (2, [1.0, 0.0])], "id long, v array<double>")
+    assert sorted(map(tuple, proto.label_near(df.select("id"), df, 0.5).collect()), key=str) == [(2, 2), (4, 2), (None, None)]
+    assert proto.label_near(df.select("id").filter("false"), df.filter("false"), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["q13b_residual", "q26_count_retention", "q40_birth_log", "q43_erase_documents"])
+def test_links_that_clusters_write_are_fewer_than_vectors(spark, name, tmp_path, monkeypatch):
+    """Each task that compares parts of a table passed on a link for each of its vectors."""
+    from tidemark import catalog
+
+    rows = [(i, [float(x) for x in v], i % 3) for i, _, v in noise(1200, 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = []
+    monkeypatch.setattr(proto, "components", lambda links, work: (written.append(links.count()), components(links, work))[1])
+    catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert written and max(written) < len(rows)
+
+
 def test_births_need_more_than_check(spark):
     members = spark.createDataFrame([(i, c) for c, n in ((1, 10), (2, 11), (3, 12)) for i in range(n)], "id long, cluster_id long")
     assert {r.cluster_id for r in proto.births(members, 10).collect()} == {2, 3}

@@ -10,6 +10,7 @@ checksum.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,30 +33,56 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _forest(batches):
-    """The links of one part as stars: (node, smallest node of its component). Parts of many nodes are taken in several."""
-    above: dict[int, int] = {}
+class Forest:
+    """Components of the links of one task; the root of each is its smallest node. Nodes without links are not kept."""
 
-    def root(x: int) -> int:
-        while (y := above.setdefault(x, x)) != x:
-            above[x] = x = above[y]
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
         return x
 
-    def stars():
-        nodes = [x for x in above if root(x) != x]
+    def unite(self, u: int, v: int) -> None:
+        u, v = self.root(u), self.root(v)
+        if u != v:
+            self.above[max(u, v)] = min(u, v)
+
+    def stars(self):
+        """Links (node, root) of all that is held, which is given up then. Many are taken in several batches."""
+        nodes = list(self.above)
         for i in range(0, len(nodes), 100_000):
             part = nodes[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([self.root(x) for x in part], pa.int64())], names=["u", "v"])
+        self.above.clear()
 
+    def full(self) -> bool:
+        return len(self.above) > 2 * PART_LINKS
+
+
+def _forest(batches):
+    """The links of one part as stars: (node, smallest node of its component). Parts of many nodes are taken in several."""
+    forest = Forest()
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            u, v = root(u), root(v)
-            if u != v:
-                above[max(u, v)] = min(u, v)
-        if len(above) > 2 * PART_LINKS:
-            yield from stars()
-            above.clear()
-    yield from stars()
+            forest.unite(u, v)
+        if forest.full():
+            yield from forest.stars()
+    yield from forest.stars()
+
+
+def united(above: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """above, the root of each number (the smallest of its component), after links between u and v."""
+    above = above.copy()
+    while (apart := above[u] != above[v]).any():
+        u, v = u[apart], v[apart]
+        a, b = above[u], above[v]
+        np.minimum.at(above, np.maximum(a, b), np.minimum(a, b))
+        while ((up := above[above]) != above).any():
+            above = up
+    return above
 
 
 def forests(edges: DataFrame) -> DataFrame:

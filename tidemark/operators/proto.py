@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.vectors import angle, cosine_distance, join_limit, midpoint
-from ..storage import Workspace
+from ..storage import Workspace, scratch
 from .components import components, forests
 from .distances import member_distances
-from .similarity import edges_below, neighbours_within
+from .similarity import edges_below, groups_below, neighbours_within
 
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,6 +22,17 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
+def label_near(nodes: DataFrame, rows: DataFrame, limit: float) -> DataFrame:
+    """As label_components, with the edges of all pairs of rows (id, v) at a distance below limit."""
+    work = Workspace(nodes.sparkSession, "clusters")
+    with scratch(nodes.sparkSession):
+        labels, links = groups_below(rows, limit)
+        found = components(links, Workspace(nodes.sparkSession, "links"))
+        first = labels.groupBy("id").agg(F.min("label").alias("label")).join(found, F.col("label") == F.col("node"), "left")
+        label = first.select("id", F.coalesce("component", "label").alias("cluster_id"))
+        return work.table(nodes.select("id").join(label, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id")), "clusters")
+
+
 def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(F.count("*").alias("members"))
 

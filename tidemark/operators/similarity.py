@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..storage import Workspace
+from .components import Forest, united
 
 BLOCK = 1024
 BLOCK_BYTES = 2 << 20  #: of a block's vectors, as doubles
@@ -90,9 +93,77 @@ def _within(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(ib[j]), pa.array(dist[i, j])], names=["a", "b", "dist"])
 
 
+def _apart(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, limit: float):
+    """Roots (ra, rb) that links below limit between rows of a and b unite. Of the rows of the most frequent root, which are
+    in one component already, none is compared with another."""
+    roots, n = np.unique(np.concatenate([ra, rb]), return_counts=True)
+    common = roots[n.argmax()]
+    one, two = ra == common, rb == common
+    for x, y in ((~one, np.ones(len(rb), bool)), (one, ~two)):
+        i, j = np.nonzero(1 - a[x] @ b[y].T < limit)
+        u, v = ra[x][i], rb[y][j]
+        yield u[u != v], v[u != v]
+
+
+def _grouped(size: int, limit: float):
+    """Blocks in groups of FILE_BLOCKS as they come, each row with its label: the smallest id that links inside the group lead to."""
+    pack = _pack(size, False)
+
+    def run(batches):
+        blocks = (x for batch in pack(batches) for x in batch.to_pylist())
+        while group := list(islice(blocks, FILE_BLOCKS)):
+            units = [_unit(x["kind"], x["ids"], x["v"]) for x in group]
+            ids, at = np.unique(np.concatenate([i for i, _ in units]), return_inverse=True)
+            at = np.split(at, np.cumsum([len(i) for i, _ in units])[:-1])
+            above = np.arange(len(ids))
+            for k, (_, a) in enumerate(units):
+                for j, (_, b) in enumerate(units[: k + 1]):
+                    for u, v in _apart(a, above[at[k]], b, above[at[j]], limit):
+                        above = united(above, u, v)
+            for x, k in zip(group, at, strict=True):
+                row = {c: [x[c]] for c in ("block", "kind", "ids", "v")} | {"part": [group[0]["block"]], "label": [ids[above[k]].tobytes()]}
+                kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row.values(), kinds, strict=True)], names=list(row))
+
+    return run
+
+
+def _uniting(limit: float):
+    """Links (u, v) between labels of pairs of blocks, as the stars of a task."""
+
+    def run(batches):
+        forest = Forest()
+        for x, _, a, _, b in _pairs(batches):
+            roots = []
+            for c in ("label", "label2"):
+                labels, at = np.unique(np.frombuffer(x[c], np.int64), return_inverse=True)
+                roots.append(np.array([forest.root(y) for y in labels.tolist()], np.int64)[at])
+            nodes = np.unique(np.concatenate(roots))
+            above = np.arange(len(nodes))
+            for u, v in _apart(a, roots[0], b, roots[1], limit):
+                above = united(above, np.searchsorted(nodes, u), np.searchsorted(nodes, v))
+            for u, v in zip(nodes.tolist(), nodes[above].tolist(), strict=True):
+                forest.unite(u, v)
+            if forest.full():
+                yield from forest.stars()
+        yield from forest.stars()
+
+    return run
+
+
+def _labels(batches):
+    for batch in batches:
+        for x in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x[c], np.int64)) for c in ("ids", "label")], names=["id", "label"])
+
+
+def _vectors(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.filter((F.size("v") > 0) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *more)
+
+
 def _packed(rows: DataFrame, size: int, *more: str) -> DataFrame:
     """Rows in blocks, in a table that each side of a join of blocks reads. They are packed where they lie, without a shuffle."""
-    rows = rows.filter(F.size("v") > 0).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *more)
+    rows = _vectors(rows, *more)
     return Workspace(rows.sparkSession, "blocks").table(rows.mapInArrow(_pack(size, bool(more)), FIELDS), "rows", compression="none", maxRecordsPerFile=FILE_BLOCKS)
 
 
@@ -104,6 +175,12 @@ def _beside(left: DataFrame, right: DataFrame, which=None) -> DataFrame:
     return left.crossJoin(right) if which is None else left.join(right, which)
 
 
+def _once():
+    """Of blocks (x, y) and (y, x) one is taken, by turns, so that all tasks have their share."""
+    x, y = F.col("block"), F.col("block2")
+    return ((x < y) == ((x + y) % 2 == 0)) & (x != y)
+
+
 def neighbours_within(rows: DataFrame, balls: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, dist): rows (id, v) that lie nearer to a ball (id, v, radius) than its radius. Blocks of both sides meet in
     matrix products and only what lies inside is listed. Vectors have one length."""
@@ -122,7 +199,25 @@ def edges_below(rows: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """
     ship(rows.sparkSession)
     packed = _packed(rows, block).drop("radius")
-    # of (x, y) and (y, x) one is taken, by turns, so that all tasks have their share
-    x, y = F.col("block"), F.col("block2")
-    pairs = _beside(packed, packed, (x == y) | ((x < y) == ((x + y) % 2 == 0)) & (x != y))
+    pairs = _beside(packed, packed, (F.col("block") == F.col("block2")) | _once())
     return pairs.mapInArrow(_compare(limit), "a long, b long, dist double")
+
+
+def groups_below(rows: DataFrame, limit: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(id, label) of rows (id, v), and links (u, v) between labels, that together have the components of edges_below.
+
+    Rows are stored with the component that they have inside their group of
+    ``FILE_BLOCKS`` blocks, so a task that compares blocks of two groups passes
+    on links between such components alone, at most one for each but the last
+    that it finds, and not between their rows. Rows that a task knows to be in
+    one component aren't compared.
+    """
+    ship(rows.sparkSession)
+    work = Workspace(rows.sparkSession, "groups")
+    fields = "block long, kind string, ids binary, v binary, part long, label binary"
+    packed = work.table(_vectors(rows).mapInArrow(_grouped(block, limit), fields), "rows", compression="none", maxRecordsPerFile=FILE_BLOCKS)
+    links = _beside(packed, packed, (F.col("part") != F.col("part2")) & _once()).mapInArrow(_uniting(limit), "u long, v long")
+    labels = packed.select("ids", "label").mapInArrow(_labels, "id long, label long")
+    # an id that several groups hold links their labels
+    more = labels.groupBy("id").agg(F.min("label").alias("v"), F.collect_set("label").alias("all")).filter(F.size("all") > 1)
+    return labels, links.union(more.select(F.explode("all").alias("u"), "v"))

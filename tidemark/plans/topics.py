@@ -198,7 +198,8 @@ COMPONENTS = "WITH RECURSIVE " + ",\n".join([E, EDGES, "NODES AS (SELECT vec_id
 
 
 def _clusters(spark, d):
-    return proto.label_components(vectors(spark, d).select(F.col("vec_id").alias("id")), _edges(spark, d))
+    rows = vectors(spark, d).select(F.col("vec_id").alias("id"), "v")
+    return proto.label_near(rows, rows, EDGE)
 
 
 @query("q12_components", COMPONENTS + "SELECT id, cluster_id FROM O")
