@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,19 @@ def test_a_search_refines_around_its_best_settings(spark):
     best = max((r for r in got if r.stage == 2), key=lambda r: r.score)
     assert (best.alpha, best.beta, best.score) == (0.66, 0.76, 1.0)
     assert metrics.grid_search(spark, measure, [], []).count() == 0
+
+
+def test_products_in_single_precision_lose_no_pair():
+    from tidemark.operators import similarity
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 5, size=(300, 16)).astype(np.float64)
+    a = np.concatenate([a, a[:40] * 3, np.zeros((2, 16))])
+    with np.errstate(invalid="ignore"):
+        unit = a / np.sqrt((a**2).sum(axis=1, keepdims=True))
+    dist = 1 - unit @ unit.T
+    for limit in (0.05, 0.9, float(dist[0, 1]), np.where(np.arange(len(a)) % 2, 0.1, 0.3)):
+        i, j, d = (np.concatenate(c) for c in zip(*similarity.close(unit, unit, limit), strict=True))
+        near = np.abs(dist - limit) > 1e-12
+        assert {(x, y) for x, y in zip(i, j) if near[x, y]} == {(x, y) for x, y in zip(*np.nonzero(dist < limit)) if near[x, y]}
+        assert np.abs(d - dist[i, j]).max() < 1e-12
