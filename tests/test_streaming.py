@@ -226,3 +226,11 @@ def test_versions_share_what_stays_and_grow_by_parts(spark, tmp_path, monkeypatc
     assert kept.parts(5) == {"a": ["v-3/a", "v-4/a", "v-5/a"], "b": ["v-4/b"]}
     assert kept.parts(4)["a"] == ["v-3/a", "v-4/a"]
     assert sorted(f.name for f in (tmp_path / "s").iterdir() if f.name.startswith("v-")) == ["v-3", "v-4", "v-5"]
+
+
+def test_documents_of_one_call_list_no_more_links_than_documents(spark, monkeypatch):
+    """All links of a dense group were listed, which grows with its square."""
+    listed, label = [], proto.label_components
+    monkeypatch.setattr(proto, "label_components", lambda nodes, edges: (listed.append(edges.count()), label(nodes, edges))[1])
+    found, _ = _added(spark, [np.array(near(0.001 * i)) for i in range(60)], Settings(dim=3), [(0, 60)])
+    assert set(found.values()) == {0} and listed[0] < 120
